@@ -83,7 +83,7 @@ def phases(blocks: dict[int, int], weights: dict[int, float], period: int) -> li
 
 def _ranked(docs: DataFrame, id_col: str, source_col: str, rows: int, seed: int) -> DataFrame:
     """(doc_id, source, rank): rank from 0 in a hashed order within the source, found without gathering a source."""
-    buckets = max(16, min(65_536, rows // 4_000))
+    buckets = max(64, min(65_536, rows // 500))
     hashed = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 16), F.lit(buckets)))
     sizes = hashed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).drop("n")

@@ -6,10 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, packing, quality, token_counts, toxicity
 from .common import table
 
 
+def _tokenizers():
+    """The folder of public vocabulary files; only the queries know it, the operators take paths."""
+    import public_tokenizers
+
+    return public_tokenizers
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _tokenizers()
+    return packing.pack(table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), _tokenizers().path("word_bpe_49k.json"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -20,7 +44,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality": op1_quality,
+        "op4_toxicity": op4_toxicity,
+        "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
+        "op8_token_counts": op8_token_counts,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
