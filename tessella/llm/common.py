@@ -3,13 +3,42 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@functools.cache
+def _ship(application: str) -> None:
+    """Send this package's source to the executors' Python workers, once for each application."""
+    root = Path(__file__).resolve().parents[1]
+    target = f"{tempfile.mkdtemp(prefix='tessella-')}/tessella.zip"
+    with zipfile.ZipFile(target, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, path.relative_to(root.parent))
+    SparkSession.getActiveSession().sparkContext.addPyFile(target)
+
+
+def with_python(spark: SparkSession) -> None:
+    """Make ready for Python functions on executors: the package is there, and an Arrow batch has few rows.
+
+    Texts are long, and Python workers share the executor's memory.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    _ship(spark.sparkContext.applicationId)
+
+
+#: Rows in one Arrow batch.
+BATCH_ROWS = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

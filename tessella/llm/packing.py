@@ -18,8 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
-from .textvec import small_batches
+from .common import with_python, written
 
 LIMIT = 2_048
 END_ID = 1
@@ -76,7 +75,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def pieces(docs: DataFrame, ranks_path: str, pattern: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's pieces, in one pass over the texts: doc_id, start, length, ids_crc32, doc_tokens."""
-    small_batches(docs.sparkSession)
+    with_python(docs.sparkSession)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = byte_bpe(ranks_path, pattern), np.array([END_ID], dtype=np.uint32).tobytes()

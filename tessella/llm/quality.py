@@ -25,8 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
-from .textvec import blocks, code_points, grams, small_batches, span_hashes, words
+from .common import held_out, with_python, written
+from .textvec import blocks, code_points, grams, span_hashes, words
 
 FOLDS, HELD = 5, 0
 THRESHOLD = 0.3
@@ -209,7 +209,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     Label rows without id or label are ignored; repeated ones count once, as bad if any says so. Without a positive
     label every score is 0.5.
     """
-    small_batches(docs.sparkSession)
+    with_python(docs.sparkSession)
     scorer = train(docs, labels, id_col, text_col)
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col), FOLDS, HELD), F.lit(False)).alias("held_out"), score_column(F.col(text_col), scorer).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

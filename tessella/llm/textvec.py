@@ -11,23 +11,13 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import SparkSession
 
 BLOCK_CHARS = 1 << 20
-#: Rows in one Arrow batch, so that a batch of long texts stays small.
-BATCH_ROWS = 500
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch to BATCH_ROWS rows: texts are long, and Python workers share the executor's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     h = (h ^ (h >> _U(30))) * _U(0xBF58476D1CE4E5B9)

@@ -26,7 +26,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textvec import BLOCK_CHARS, blocks, code_points, small_batches, span_hashes
+from .common import with_python
+from .textvec import BLOCK_CHARS, blocks, code_points, span_hashes
 
 LANE = 256
 MAX_COMPILED = 2_000_000
@@ -205,7 +206,7 @@ def count_tokens(texts: list[str], path: str) -> np.ndarray:
 
 def token_counts(docs: DataFrame, path: str, *, limit: int = 2_048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit. A null text counts as empty (no tokens)."""
-    small_batches(docs.sparkSession)
+    with_python(docs.sparkSession)
 
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -18,8 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, written
-from .textvec import blocks, grams, small_batches, words
+from .common import held_out, with_python, written
+from .textvec import blocks, grams, words
 
 BUCKETS = 1 << 22
 TRAIN_ROWS = 12_000
@@ -149,7 +149,7 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     training row and not held out. Label rows without id or label are ignored; repeated ones count once, as toxic if
     any says so.
     """
-    small_batches(docs.sparkSession)
+    with_python(docs.sparkSession)
     model = train(docs, labels, id_col=id_col, text_col=text_col)
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col), FOLDS, HELD), F.lit(False)).alias("held_out"), score_column(F.col(text_col), model).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
@@ -157,6 +157,6 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs, in all its columns, without the rows that score at or above the threshold."""
-    small_batches(docs.sparkSession)
+    with_python(docs.sparkSession)
     model = train(docs, labels, id_col=id_col, text_col=text_col)
     return docs.where(score_column(F.col(text_col), model) < threshold)
