@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, packing, quality, token_counts, toxicity, warc
+from . import exact_dedup, minhash, mixing, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -21,10 +21,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _tokenizers()
     return packing.pack(table(spark, sf_dir, "documents"), files.path("byte_bpe_50k.tiktoken"), files.PATTERN)
@@ -49,7 +57,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
+        "op2_minhash": op2_minhash,
         "op4_toxicity": op4_toxicity,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_packing": op6_packing,
         "op7_mixing": op7_mixing,
         "op8_token_counts": op8_token_counts,
