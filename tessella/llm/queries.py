@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, minhash, mixing, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from . import embed_join, exact_dedup, minhash, mixing, packing, quality, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_embed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -58,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
         "op2_minhash": op2_minhash,
+        "op3_embed_join": op3_embed_join,
         "op4_toxicity": op4_toxicity,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_packing": op6_packing,
