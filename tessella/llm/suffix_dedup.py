@@ -433,15 +433,18 @@ def removed_runs(keyed: DataFrame) -> DataFrame:
             out["part"] = np.arange(len(out)) < len(emit_rows)
             yield out
 
-    ordered = shared.repartition("h").sortWithinPartitions("h", "c", "key", "pos")
+    # Rows already known as repeats (a cover of zero) need no company, so they don't weigh on their anchor's task.
+    dealt_by = F.when(F.col("c") == 0, F.xxhash64("key", "pos")).otherwise(F.col("h"))
+    ordered = shared.repartition(dealt_by).sortWithinPartitions("h", "c", "key", "pos")
     found = written(ordered.mapInPandas(split, "h long, key long, pos long, part boolean"), "anchors")
     repeats = found.where("not part").select("key", F.shiftright("pos", 16).alias("start"), (F.col("pos").bitwiseAND(F.lit(255)) + LENGTH).alias("bytes"))
 
     parts = found.where("part")
     many = written(parts.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET_PARTS), "many")
     buckets = max(1, -(-parts.count() // BUCKET_PARTS))
+    wanted_rows = parts.select("key").distinct().count()
     wanted = parts.groupBy("key").agg(F.collect_list(F.struct("h", "pos")).alias("parts"))
-    wanted = small_enough(written(wanted, "wanted"), 256)
+    wanted = small_enough(written(wanted, "wanted"), 64 + 40 * BUCKET_PARTS * buckets // max(1, wanted_rows))
     around = keyed.join(wanted, "key").select("key", "text", "parts")
 
     def fetch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
