@@ -8,9 +8,12 @@ however long it is, and two texts agree in a coordinate with the probability of
 
 Texts with the same words are one class and only its first member goes on. Coordinates are joined in bands: a bucket
 holds the classes that agree in all of a band. No bucket's pairs are all made. First each member is held against one
-leader of its bucket, the member that shares most buckets with others; verified links make components. Then only
-members of one bucket that are still in different components, and whose sizes allow the similarity, are held against
-each other. All candidates are verified on the whole texts.
+leader of its bucket, the member that shares most buckets with others; verified links make components. Members of
+buckets that still hold several components then meet by single coordinates: two of them can only be similar enough if
+they agree in `AGREE` of all coordinates, so also in one of the `COORDINATES - AGREE + 1` rarest coordinates of each.
+Common passages fill common coordinates, so texts that only share these never meet. Where members of one coordinate
+are in several components, those outside its largest one are held against the others. All candidates are verified on
+the whole texts.
 """
 
 from __future__ import annotations
@@ -30,6 +33,9 @@ from .textvec import blocks, mix, words
 
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
+COORDINATES = BANDS * ROWS
+#: Coordinates in which texts of the similarity agree but for about one pair in 20,000 (of 64 expected).
+AGREE = 50
 
 _U = np.uint64
 _STEP, _COPY, _PLACE, _NAME = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
@@ -80,9 +86,9 @@ def dart_minhash(cell: np.ndarray, owner: np.ndarray, n: int, k: int) -> np.ndar
     return name.reshape(n, k)
 
 
-def describe(texts: list[str]) -> list[tuple[bytes | None, int, list[int] | None]]:
-    """For each text: 16 bytes that name its sequence of words, its number of shingles, its band hashes."""
-    out: list[tuple[bytes | None, int, list[int] | None]] = []
+def describe(texts: list[str]) -> list[tuple[bytes | None, int, np.ndarray | None]]:
+    """For each text: 16 bytes that name its sequence of words, its number of shingles, its signature of 32-bit values."""
+    out: list[tuple[bytes | None, int, np.ndarray | None]] = []
     for _, group in blocks(texts):
         hashes, owner = words(group)
         n = len(group)
@@ -93,12 +99,8 @@ def describe(texts: list[str]) -> list[tuple[bytes | None, int, list[int] | None
             np.add.at(seq[:, i], owner, mix(hashes ^ mix(place.astype(np.uint64) * _STEP + salt)))
         item, of = shingles(hashes, owner)
         size = np.bincount(of, minlength=n)
-        signature = dart_minhash(*cells(item, of), n, BANDS * ROWS).reshape(n, BANDS, ROWS)
-        band = np.tile(np.arange(1, BANDS + 1, dtype=np.uint64), (n, 1))
-        for i in range(ROWS):
-            band = mix(band * _STEP + signature[:, :, i])
-        band = band.view(np.int64)
-        out += [(seq[i].tobytes() if count[i] else None, int(size[i]), band[i].tolist() if size[i] else None) for i in range(n)]
+        signature = (dart_minhash(*cells(item, of), n, COORDINATES) >> _U(32)).astype(np.uint32).view(np.int32)
+        out += [(seq[i].tobytes() if count[i] else None, int(size[i]), signature[i] if size[i] else None) for i in range(n)]
     return out
 
 
@@ -114,11 +116,11 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = describe(frame["text"].tolist())
-            yield frame[["doc_id", "text_hash"]].astype({"doc_id": "Int64"}).assign(seq=[x[0] for x in found], size=[x[1] for x in found], bands=[x[2] for x in found])
+            yield frame[["doc_id", "text_hash"]].astype({"doc_id": "Int64"}).assign(seq=[x[0] for x in found], size=[x[1] for x in found], signature=[x[2] for x in found])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    made = rows.mapInPandas(run, "doc_id long, text_hash long, seq binary, size long, bands array<long>")
+    made = rows.mapInPandas(run, "doc_id long, text_hash long, seq binary, size long, signature array<int>")
     return written(made.withColumn("rid", F.monotonically_increasing_id()), "darts")
 
 
@@ -141,6 +143,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return written(found.mapInPandas(run, "u long, v long"), "verified")
 
 
+def _meeting(apart: DataFrame, signatures: DataFrame, fits) -> DataFrame:
+    """Pairs (u, v) of apart (rid, size, part) in different parts that share one of their rarest coordinates."""
+    tokens = apart.join(signatures, "rid").select("rid", "size", "part", F.posexplode("signature").alias("at", "value"))
+    tokens = tokens.select("rid", "size", "part", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")).alias("token"))
+    tokens = written(tokens, "tokens")
+    often = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "often")
+    known = tokens.join(small_enough(often, 24), "token")
+    of = Window.partitionBy("rid")
+    place = COORDINATES - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("times", "token"))
+    rare = known.withColumn("place", place).where(F.col("place") <= COORDINATES - AGREE + 1).select("rid", "size", "part", "token")
+    rare = written(rare, "rare")
+    parts = rare.groupBy("token", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    parts = small_enough(written(parts.where("parts > 1").drop("parts"), "parts"), 24)
+    rare = written(rare.join(parts, "token"), "rare")
+    left = rare.where("part <> main")
+    right = rare.select("token", F.col("rid").alias("lead"), F.col("size").alias("lead_size"), F.col("part").alias("lead_part"))
+    differ = (F.col("part") != F.col("lead_part")) & ((F.col("lead_part") == F.col("main")) | (F.col("rid") < F.col("lead")))
+    met = left.join(right, "token").where(differ & fits(F.col("size"), F.col("lead_size")))
+    return met.select(F.least("rid", "lead").alias("u"), F.greatest("rid", "lead").alias("v")).distinct()
+
+
 def near_groups(docs: DataFrame, *, threshold: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: rid, doc_id, text_hash, group_id, kept, n_texts.
 
@@ -154,9 +177,10 @@ def near_groups(docs: DataFrame, *, threshold: float = SIMILARITY, id_col: str =
     named = rows.where("seq is not null")
     classes = named.groupBy("seq").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"))
     classes = written(classes, "classes")
-    first = named.select("rid", "doc_id", "text_hash", "size", "bands").join(classes.select("rid"), "rid", "left_semi")
-    first = first.where("bands is not null")
-    entries = written(first.select("rid", "size", F.explode("bands").alias("h")), "bands")
+    first = named.select("rid", "doc_id", "text_hash", "size", "signature").join(classes.select("rid"), "rid", "left_semi")
+    first = written(first.where("signature is not null"), "first")
+    band = lambda b: F.xxhash64(b, F.slice("signature", b * ROWS + 1, ROWS))
+    entries = first.select("rid", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("h"))
     shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     entries = written(entries.join(small_enough(written(shared, "shared"), 24), "h"), "buckets")
     weight = written(entries.groupBy("rid").agg(F.sum("members").alias("weight")), "weights")
@@ -181,10 +205,8 @@ def near_groups(docs: DataFrame, *, threshold: float = SIMILARITY, id_col: str =
     part = F.coalesce("root", "rid")
     members = entries.join(small_enough(roots.withColumnRenamed("node", "rid"), 24), "rid", "left").select("h", "rid", "size", part.alias("part"))
     mixed = members.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("h")
-    members = written(members.join(small_enough(written(mixed, "mixed"), 16), "h", "left_semi"), "apart")
-    other = members.select("h", F.col("rid").alias("lead"), F.col("size").alias("lead_size"), F.col("part").alias("lead_part"))
-    apart = members.join(other, "h").where((F.col("rid") < F.col("lead")) & (F.col("part") != F.col("lead_part")) & fits(F.col("size"), F.col("lead_size")))
-    more = written(apart.select(*ordered).distinct().join(pairs, ["u", "v"], "left_anti"), "pairs")
+    apart = written(members.join(small_enough(written(mixed, "mixed"), 16), "h", "left_semi").select("rid", "size", "part").distinct(), "apart")
+    more = written(_meeting(apart, first.select("rid", "signature"), fits).join(pairs, ["u", "v"], "left_anti"), "pairs")
     links = links.unionByName(_verified(more, texts, threshold))
     roots = written(connected_components(links), "roots")
 
