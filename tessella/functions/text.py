@@ -138,7 +138,7 @@ def keyword_score_of(queries: Column, have: Column, low: Column) -> Column:
         boost = F.when(F.contains(low, q.low), 0.15).otherwise(0.0)
         return F.when(F.size(q.tokens) == 0, 0.0).otherwise(F.least(F.lit(1.0), hits / F.size(q.tokens) + boost))
 
-    best = F.aggregate(F.transform(queries, one), F.lit(0.0), F.greatest)
+    best = F.aggregate(F.transform(queries, one), F.lit(0.0), lambda a, b: F.greatest(a, b))
     return F.when(F.size(have) == 0, 0.0).otherwise(best)
 
 
