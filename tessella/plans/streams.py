@@ -1,3 +1,36 @@
+"""Streaming jobs run over what is there, compared by their final state."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import tables as O
+from ..streaming import jobs
+from . import model
 from .registry import Plans
 
 PLANS = Plans()
+
+
+def _stream(spark, sf_dir, name, columns):
+    """A table as a stream of files."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 5).parquet(f"{path}*").select(*columns)
+
+
+@PLANS.add(f"WITH {model.CHUNKS} SELECT source_id, count(*) AS chunks, 'indexed' AS status FROM chunks GROUP BY source_id")
+def stream_ingest(spark, sf_dir):
+    """K-04, K-09, S-22, C-10"""
+    out = jobs.work_dir(spark, "ingest")
+    jobs.ingest(_stream(spark, sf_dir, "documents", [F.col("doc_id").alias("source_id"), "text"]), f"{out}/data", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/data/state").select("source_id", "chunks", "status")
+
+
+@PLANS.add("SELECT 'chunk:' || event_id AS vector_id FROM events WHERE event_id % 3 <> 0")
+def stream_index_sync(spark, sf_dir):
+    """K-07 for a stream of chunk ids (here events) against an index that has every third"""
+    out = jobs.work_dir(spark, "sync")
+    index = model.read(spark, sf_dir, "events").where("event_id % 3 = 0").select(O.vector_id(F.col("event_id")).alias("vector_id"))
+    jobs.sync_index(_stream(spark, sf_dir, "events", [F.col("event_id").alias("id")]), index, f"{out}/data", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/data").select("vector_id")
