@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import small_enough, with_python, written
-from .graph import connected_components
+from .graph import connected_components, tree
 
 SIMILARITY, BLOCKS, TILE = 0.9, 4, 16_384
 #: Vectors of the sample that the rotation and the budgets come from.
@@ -50,20 +50,6 @@ def _units(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _tree(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """For each of n nodes the smallest node that the links connect it to."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def tile_links(block: int, blocks: list[tuple[int, int, float]], left: tuple, right: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of two tiles (ids, counts, raw vectors, rotated vectors): each id's links, and its root or itself; left is right: within one."""
     same = left is right
@@ -97,7 +83,7 @@ def tile_links(block: int, blocks: list[tuple[int, int, float]], left: tuple, ri
     counts = left[1] if same else np.concatenate((left[1], right[1]))
     np.add.at(links, u, counts[v])
     np.add.at(links, v, counts[u])
-    return ids, links, ids[_tree(len(ids), u, v)]
+    return ids, links, ids[tree(len(ids), u, v)]
 
 
 def _links(classes: DataFrame, dim: int, threshold: float, kind: str, tile: int) -> DataFrame:

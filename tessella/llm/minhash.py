@@ -148,15 +148,13 @@ def _meeting(apart: DataFrame, signatures: DataFrame, fits) -> DataFrame:
     tokens = apart.join(signatures, "rid").select("rid", "size", "part", F.posexplode("signature").alias("at", "value"))
     tokens = tokens.select("rid", "size", "part", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")).alias("token"))
     tokens = written(tokens, "tokens")
-    often = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "often")
-    known = tokens.join(small_enough(often, 24), "token")
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     of = Window.partitionBy("rid")
     place = COORDINATES - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("times", "token"))
-    rare = known.withColumn("place", place).where(F.col("place") <= COORDINATES - AGREE + 1).select("rid", "size", "part", "token")
-    rare = written(rare, "rare")
+    rare = tokens.join(often, "token").withColumn("place", place).where(F.col("place") <= COORDINATES - AGREE + 1)
+    rare = written(rare.select("rid", "size", "part", "token"), "rare")
     parts = rare.groupBy("token", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    parts = small_enough(written(parts.where("parts > 1").drop("parts"), "parts"), 24)
-    rare = written(rare.join(parts, "token"), "rare")
+    rare = written(rare.join(parts.where("parts > 1").drop("parts"), "token"), "rare")
     left = rare.where("part <> main")
     right = rare.select("token", F.col("rid").alias("lead"), F.col("size").alias("lead_size"), F.col("part").alias("lead_part"))
     differ = (F.col("part") != F.col("lead_part")) & ((F.col("lead_part") == F.col("main")) | (F.col("rid") < F.col("lead")))
@@ -174,49 +172,47 @@ def near_groups(docs: DataFrame, *, threshold: float = SIMILARITY, id_col: str =
     """
     with_python(docs.sparkSession)
     rows = _described(docs, id_col, text_col)
-    named = rows.where("seq is not null")
-    classes = named.groupBy("seq").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"))
-    classes = written(classes, "classes")
-    first = named.select("rid", "doc_id", "text_hash", "size", "signature").join(classes.select("rid"), "rid", "left_semi")
-    first = written(first.where("signature is not null"), "first")
+    first = F.min(F.struct("rid", "size", "signature"))
+    classes = rows.where("seq is not null").groupBy("seq").agg(first.alias("f"), F.count(F.lit(1)).alias("n"))
+    classes = written(classes.select("seq", "n", "f.*"), "classes")
+    signatures = classes.where("signature is not null").select("rid", "size", "signature")
     band = lambda b: F.xxhash64(b, F.slice("signature", b * ROWS + 1, ROWS))
-    entries = first.select("rid", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("h"))
+    entries = signatures.select("rid", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)).alias("h"))
     shared = entries.groupBy("h").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    entries = written(entries.join(small_enough(written(shared, "shared"), 24), "h"), "buckets")
-    weight = written(entries.groupBy("rid").agg(F.sum("members").alias("weight")), "weights")
-    ranked = entries.join(small_enough(weight, 24), "rid")
+    entries = written(entries.join(shared, "h"), "buckets")
+    ranked = entries.join(entries.groupBy("rid").agg(F.sum("members").alias("weight")), "rid")
     leader = ranked.groupBy("h").agg(F.max_by(F.struct("rid", "size"), F.struct("weight", F.xxhash64("rid"))).alias("l"))
-    leader = small_enough(written(leader.select("h", F.col("l.rid").alias("lead"), F.col("l.size").alias("lead_size")), "leaders"), 32)
+    leader = leader.select("h", F.col("l.rid").alias("lead"), F.col("l.size").alias("lead_size"))
     fits = lambda a, b: F.least(a, b) >= F.greatest(a, b) * threshold
     stars = entries.join(leader, "h").where((F.col("rid") != F.col("lead")) & fits(F.col("size"), F.col("lead_size")))
-    ordered = [F.least("rid", "lead").alias("u"), F.greatest("rid", "lead").alias("v")]
-    pairs = written(stars.select(*ordered).distinct(), "pairs")
+    pairs = written(stars.select(F.least("rid", "lead").alias("u"), F.greatest("rid", "lead").alias("v")).distinct(), "pairs")
 
-    picked = written(entries.select("rid").distinct(), "picked")
-    wanted = first.join(small_enough(picked, 16), "rid", "left_semi").select("rid", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"))
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    wanted = rows.select("rid", F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).join(entries.select("rid").distinct(), "rid", "left_semi")
     wanted = small_enough(written(wanted, "wanted"), 40)
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h"))).select("rid", "text")
-    texts = written(texts.dropDuplicates(["rid"]), "texts")
+    texts = written(texts, "texts")
 
     links = _verified(pairs, texts, threshold)
-    roots = written(connected_components(links), "roots")
+    roots = written(connected_components(links), "roots").withColumnRenamed("node", "rid")
     part = F.coalesce("root", "rid")
-    members = entries.join(small_enough(roots.withColumnRenamed("node", "rid"), 24), "rid", "left").select("h", "rid", "size", part.alias("part"))
+    members = entries.join(roots, "rid", "left").select("h", "rid", "size", part.alias("part"))
     mixed = members.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("h")
-    apart = written(members.join(small_enough(written(mixed, "mixed"), 16), "h", "left_semi").select("rid", "size", "part").distinct(), "apart")
-    more = written(_meeting(apart, first.select("rid", "signature"), fits).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    apart = members.join(mixed, "h", "left_semi").select("rid", "size", "part").distinct()
+    more = written(_meeting(apart, signatures.select("rid", "signature"), fits).join(pairs, ["u", "v"], "left_anti"), "pairs")
     links = links.unionByName(_verified(more, texts, threshold))
-    roots = written(connected_components(links), "roots")
-
-    group = classes.join(small_enough(roots.withColumnRenamed("node", "rid"), 24), "rid", "left").select("seq", part.alias("part"), "n")
-    joined = written(group.withColumn("several", F.count(F.lit(1)).over(Window.partitionBy("part"))).where("n > 1 or several > 1"), "groups")
-    side = small_enough(joined.select("seq", "part", "several"), 48)
-    placed = rows.join(side, "seq", "left").select("rid", "doc_id", "text_hash", "part", F.coalesce("several", F.lit(1).cast("long")).alias("n_texts"))
+    roots = written(connected_components(links), "roots").withColumnRenamed("node", "rid")
+
+    several = roots.groupBy("root").agg(F.count(F.lit(1)).alias("several"))
+    linked = roots.join(several, "root")
+    group = classes.select("seq", "rid", "n").join(linked, "rid", "left").where("n > 1 or root is not null")
+    side = group.select("seq", part.alias("part"), F.coalesce("several", F.lit(1).cast("long")).alias("n_texts"))
+    placed = rows.join(small_enough(written(side, "groups"), 48), "seq", "left").select("rid", "doc_id", "text_hash", "part", F.coalesce("n_texts", F.lit(1).cast("long")).alias("n_texts"))
+    placed = written(placed, "placed")
     keeper = placed.where("part is not null").groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "rid")).alias("k"))
-    keeper = small_enough(written(keeper.select("part", F.col("k.doc_id").alias("group_id"), F.col("k.rid").alias("keep")), "keepers"), 32)
-    out = placed.join(keeper, "part", "left")
+    keeper = written(keeper.select("part", F.col("k.doc_id").alias("group_id"), F.col("k.rid").alias("keep")), "keepers")
+    out = placed.join(small_enough(keeper, 32), "part", "left")
     alone = F.col("part").isNull()
     return out.select("rid", "doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("group_id")).alias("group_id"), (alone | (F.col("rid") == F.col("keep"))).alias("kept"), "n_texts")
 
