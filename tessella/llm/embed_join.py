@@ -161,10 +161,11 @@ def near_vectors(vectors: DataFrame, *, threshold: float = SIMILARITY, tile: int
                 a = None if v is None else np.asarray(v, dtype=np.float64)
                 ok = a is not None and len(a) and np.isfinite(a).all() and a.any()
                 raw.append(np.ldexp(a, -np.frexp(np.abs(a).max())[1]).astype(kind).tobytes() if ok else None)
-            yield frame[["vec_id"]].astype({"vec_id": "Int64"}).assign(x=raw, dim=[None if r is None else len(r) // np.dtype(kind).itemsize for r in raw], digest=[None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]).astype({"dim": "Int64"})
+            yield frame[["vec_id"]].assign(x=raw, dim=[None if r is None else len(r) // np.dtype(kind).itemsize for r in raw], digest=[None if r is None else hashlib.blake2b(r, digest_size=16).digest() for r in raw]).astype({"dim": "Int64"})
 
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("v")).mapInPandas(bytes_of, "vec_id long, x binary, dim int, digest binary")
-    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "vectors")
+    # The id is text on its way through pandas, which makes floats of integers with nulls.
+    rows = vectors.select(F.col(id_col).cast("string").alias("vec_id"), x.alias("v")).mapInPandas(bytes_of, "vec_id string, x binary, dim int, digest binary")
+    rows = written(rows.withColumn("vec_id", F.col("vec_id").cast("long")).withColumn("rid", F.monotonically_increasing_id()), "vectors")
     classes = written(rows.where("x is not null").groupBy("digest").agg(F.min("rid").alias("rid"), F.count(F.lit(1)).alias("n"), F.first("x").alias("x"), F.first("dim").alias("dim")), "classes")
     found = None
     for (dim,) in sorted(tuple(r) for r in classes.select("dim").distinct().collect()):

@@ -116,11 +116,12 @@ def _described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = describe(frame["text"].tolist())
-            yield frame[["doc_id", "text_hash"]].astype({"doc_id": "Int64"}).assign(seq=[x[0] for x in found], size=[x[1] for x in found], signature=[x[2] for x in found])
+            yield frame[["doc_id", "text_hash"]].assign(seq=[x[0] for x in found], size=[x[1] for x in found], signature=[x[2] for x in found])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    made = rows.mapInPandas(run, "doc_id long, text_hash long, seq binary, size long, signature array<int>")
+    rows = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    made = rows.mapInPandas(run, "doc_id string, text_hash long, seq binary, size long, signature array<int>")
+    made = made.withColumn("doc_id", F.col("doc_id").cast("long"))  # text till here: pandas makes floats of ids with nulls
     return written(made.withColumn("rid", F.monotonically_increasing_id()), "darts")
 
 

@@ -70,7 +70,8 @@ def first_fit_decreasing(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.
     return bins, at
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+#: Ids go through Python as text: pandas would turn a column with nulls into floats.
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def pieces(docs: DataFrame, ranks_path: str, pattern: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -85,10 +86,10 @@ def pieces(docs: DataFrame, ranks_path: str, pattern: str, limit: int = LIMIT, i
                 raw = encode(text).astype("<u4", copy=False).tobytes() + end
                 n = len(raw) // 4
                 rows += [(doc, s, min(limit, n - s), zlib.crc32(raw[4 * s : 4 * (s + limit)]), n) for s in range(0, n, limit)]
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInPandas(cut, PIECES)
+    texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.mapInPandas(cut, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(docs: DataFrame, ranks_path: str, pattern: str, *, limit: int = LIMIT, group_pieces: int = 4_096, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -103,7 +104,9 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, *, limit: int = LIMIT,
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         bins, at = first_fit_decreasing(frame["length"].to_numpy(), limit)
-        return frame.assign(sequence_id=frame["pack_group"] * (1 << 32) + bins, offset=at).drop(columns="pack_group").astype({"doc_id": "Int64"})
+        return frame.assign(sequence_id=frame["pack_group"] * (1 << 32) + bins, offset=at).drop(columns="pack_group")
 
     dealt = cut.withColumn("pack_group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("pack_group").applyInPandas(fit, f"{PIECES}, sequence_id long, offset long")
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    packed = dealt.groupBy("pack_group").applyInPandas(fit, f"{PIECES}, sequence_id long, offset long")
+    return packed.withColumn("doc_id", F.col("doc_id").cast("long"))

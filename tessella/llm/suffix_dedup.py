@@ -496,7 +496,7 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
-            for doc, text, starts, ends in zip(frame["doc_id"].astype("Int64"), frame["text"], frame["starts"], frame["ends"], strict=True):
+            for doc, text, starts, ends in zip(frame["doc_id"], frame["text"], frame["starts"], frame["ends"], strict=True):
                 b = text.encode("utf-8", "surrogatepass")
                 if starts is None:
                     kept, n = b, 0
@@ -504,10 +504,12 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     edges = [0, *(int(x) for pair in zip(starts, ends, strict=True) for x in pair), len(b)]
                     kept, n = b"".join(b[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2)), len(starts)
                 out.append((doc, len(b), len(b) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    joined = keyed.join(runs, "key", "left").select("doc_id", "text", "starts", "ends")
-    return joined.mapInPandas(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    # The id is text on its way through pandas, which makes floats of integers with nulls.
+    joined = keyed.join(runs, "key", "left").select(F.col("doc_id").cast("string").alias("doc_id"), "text", "starts", "ends")
+    out = joined.mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def digests(docs: DataFrame, **columns: str) -> DataFrame:

@@ -42,7 +42,7 @@ def _clean(value: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", value or "urn:x-page:unknown")
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, date: str) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
     """One WARC/1.1 record as a gzip member; of a revisit's payload only digest and length are kept."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
@@ -142,13 +142,14 @@ def write_archives(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:
     groups = big.groupBy("digest").agg(F.max("page_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1 and leader is not null")
     side = small_enough(written(groups.select(F.col("digest").alias("same"), "leader"), "equal"), 80)
     told = keyed.join(side, (F.col("digest") == F.col("same")) & (F.octet_length("html") >= MIN_REVISIT), "left")
-    told = told.select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("leader")), F.col("leader")).alias("refers_to"))
+    refers_to = F.when(~F.col("page_id").eqNullSafe(F.col("leader")), F.col("leader"))
+    # Ids are text on their way through pandas, which makes floats of integers with nulls.
+    told = told.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "digest", refers_to.cast("string").alias("refers_to"))
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for frame in frames:
-            ids, to = (frame[c].astype("Int64") for c in ("page_id", "refers_to"))
-            for i, url, text, digest, r in zip(ids, frame["url"], frame["html"], frame["digest"], to, strict=True):
-                yield None if i is pd.NA else int(i), url, text.encode("utf-8", "surrogatepass"), digest, None if r is pd.NA else int(r)
+            for i, url, text, digest, r in zip(frame["page_id"], frame["url"], frame["html"], frame["digest"], frame["refers_to"], strict=True):
+                yield i, url, text.encode("utf-8", "surrogatepass"), digest, r
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
@@ -195,15 +196,16 @@ def read_archives(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                         if kind == "response" and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
                             raise ValueError(f"damaged payload in {path}: {headers['WARC-Record-ID']}")
                         own, to = _ID.match(headers["WARC-Record-ID"]), _ID.match(headers.get("WARC-Refers-To", ""))
-                        out.append((own and int(own[1]), size, digest, kind, to and int(to[1]), *[payload] * payloads))
+                        out.append((own and own[1], size, digest, kind, to and to[1], *[payload] * payloads))
                         if len(out) == 500:
-                            yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                            yield pd.DataFrame(out, columns=names)
                             out = []
-                yield pd.DataFrame(out, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(out, columns=names)
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * payloads
+    schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string" + ", payload binary" * payloads
     packages = manifest.select("path").repartition(max(1, manifest.count()))
-    return packages.mapInPandas(read, schema)
+    found = packages.mapInPandas(read, schema)
+    return found.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, **columns: str) -> DataFrame:
