@@ -126,6 +126,7 @@ class Scorer:
         self.mean, self.scale = both.mean(0), both.std(0) + 1e-3
         xp, xu = (np.clip((x - self.mean) / self.scale, -6, 6) for x in (positive, unlabelled))
         sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -35, 35)))
+        batch = min(batch, max(1, len(xu) // 5))  # five steps an epoch at least: small samples need as many
         m, v, t = [np.zeros_like(p) for p in self.p], [np.zeros_like(p) for p in self.p], 0
         for _ in range(epochs):
             for _ in range(max(1, len(xu) // batch)):
