@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import re
 import uuid
@@ -96,8 +97,8 @@ def _stored(package: zipfile.ZipFile, name: str, data: bytes) -> None:
         out.write(data)
 
 
-def write_package(stream, rows: Iterator[tuple], date: str) -> int:
-    """Write records from rows (page_id, url, payload, digest, refers_to) until PACKAGE_BYTES; how many."""
+def write_package(stream, rows: Iterator[tuple], date: str, package_bytes: int = PACKAGE_BYTES) -> int:
+    """Write records from rows (page_id, url, payload, digest, refers_to) until package_bytes; how many."""
     index, at = [], 0
     with zipfile.ZipFile(_Sink(stream), "w", zipfile.ZIP_STORED) as package:
         with package.open(zipfile.ZipInfo(DATA), "w", force_zip64=True) as out:
@@ -106,7 +107,7 @@ def write_package(stream, rows: Iterator[tuple], date: str) -> int:
                 out.write(data)
                 index.append(f"{_clean(url)} {re.sub(r'\D', '', date)} {json.dumps({'filename': DATA, 'offset': at, 'length': len(data)})}\n")
                 at += len(data)
-                if at >= PACKAGE_BYTES:
+                if at >= package_bytes:
                     break
         _stored(package, INDEX, "".join(sorted(index)).encode())
         _stored(package, PACKAGE, json.dumps({"profile": "data-package", "wacz_version": "1.1.1", "resources": [{"path": DATA}, {"path": INDEX}]}).encode())
@@ -129,7 +130,7 @@ def read_package(f, length: int) -> Iterator[tuple[dict[str, str], bytes, int]]:
         i = k
 
 
-def write_archives(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:00Z", id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:00:00Z", package_bytes: int = PACKAGE_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write every page into packages below folder; the manifest (path, bytes, records) as a DataFrame.
 
     A null html counts as empty, a null id is kept as such. Rows that repeat the response's id and payload are
@@ -160,13 +161,9 @@ def write_archives(pages: DataFrame, folder: str, *, date: str = "2024-01-01T00:
         ahead = next(left, None)
         while ahead is not None:
             name = f"{uuid.uuid4().hex}.wacz"
-
-            def taken(first: tuple = ahead) -> Iterator[tuple]:
-                yield first
-                yield from left
-
+            # A chain has no close(): a package that ends early leaves the rest of the rows to the next.
             with closing(store.open_output_stream(f"{root}/{name}")) as out:
-                n = write_package(out, taken(), date)
+                n = write_package(out, itertools.chain((ahead,), left), date, package_bytes)
             made.append((f"{folder}/{name}", store.get_file_info(f"{root}/{name}").size, n))
             ahead = next(left, None)
         yield pd.DataFrame(made, columns=["path", "bytes", "records"])

@@ -312,6 +312,15 @@ def test_payloads_come_back(spark, tmp_path):
     assert found == sorted([("1", "revisit", 2, 2_000, ""), ("2", "response", None, 2_000, "p" * 2_000), ("3", "response", None, 0, ""), ("None", "revisit", 2, 2_000, ""), ("4", "response", None, 1_804, rows[4][2]), ("4", "response", None, 1, "x")])
 
 
+def test_one_task_writes_many_packages(spark, tmp_path):
+    rows = [(i, f"http://a/{i}", f"page {i} " * 20) for i in range(50)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    manifest = warc.write_archives(df, f"file://{tmp_path}", package_bytes=900)
+    assert manifest.count() > 5 and sum(r.records for r in manifest.collect()) == len(rows)
+    got = warc.read_archives(manifest, payloads=True).collect()
+    assert sorted((r.page_id, bytes(r.payload).decode()) for r in got) == [(i, html) for i, _, html in rows]
+
+
 def test_zip_directories(tmp_path):
     import io
     import struct
