@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessella.llm import embed_join, exact_dedup, minhash, mixing, packing, quality, suffix_dedup, token_counts, toxicity, warc
-from tessella.llm.common import table
+from tessella.llm.common import table, written
 
 SCHEMA = "doc_id long, text string, source string, kept string, text_sha256 string, rid string, h string, score string, slot string, label string"
 BIG = (1 << 62) + 1
@@ -106,6 +106,25 @@ def test_pipeline_stage_by_stage(spark, data_dir):
     assert sorted(map(tuple, corpus_pipeline.run(spark, data_dir).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "start", "length", "ids_crc32").collect()))
 
 
+def test_packed_sequences_keep_the_mixture(spark):
+    """By sequence_id the sources come in the mixed order's shares, not in the table's."""
+    counts = {"a": 6_000, "b": 3_000, "c": 1_000}
+    source = [s for s, n in counts.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, f"text {i}", s) for i, s in enumerate(source)], "doc_id long, text string, source string")
+    mixed = written(corpus_pipeline.mix_sources(spark, docs, ""), "mixed")
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("slot", "in_block").collect()]
+    total = sum(n**0.5 for n in counts.values())
+    # Read from files, and straight from the plan.
+    for given in (mixed, mixing.mixed_order(docs)):
+        packed = corpus_pipeline.pack_sequences(spark, given, "").orderBy("sequence_id", "offset").collect()
+        got = [r.doc_id for r in packed]
+        assert sorted(got) == list(range(10_000))
+        for end in (4_096, 8_192):
+            assert set(got[:end]) == set(want[:end])
+        for s, n in counts.items():
+            assert abs(sum(source[i] == s for i in got[:4_096]) / 4_096 - n**0.5 / total) < 0.02
+
+
 def test_extra_columns_do_not_reach_scores(spark, data_dir):
     docs = table(spark, data_dir, "documents").limit(20)
     labels = table(spark, data_dir, "labels")
