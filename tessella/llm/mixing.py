@@ -4,81 +4,78 @@ Each source's documents, in a hashed order, form blocks of `block_docs`. Block j
 released in slot floor((j - 1) / w) and due by slot ceil(j / w); one block is served in a slot, the released one with
 the earliest deadline first. After any number of slots a source has had its share to within less than one block.
 
-Weights are rounded to units of 1/`period`, so the schedule repeats after `period` slots and only one period is
-simulated: a table of that many rows, whatever the corpus holds. When a source runs out, the rest go on with their
-weights scaled up; there are at most as many such phases as sources. Nothing is dropped and nothing repeats.
+Windows are taken in whole numbers of 1/`UNITS` of the weights, so this holds against the weights as given, however
+many slots there are. The driver simulates every slot, with a number for each block of `block_docs` rows (8 bytes), and
+the slots meet the rows by an equi-join that is broadcast only when they are few. When a source runs out, the rest go
+on with their weights scaled up; there are at most as many such phases as sources. Nothing is dropped and nothing
+repeats.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import fresh, written
+from .common import fresh, small_enough, written
 
-#: Sources that one mixture may have; the schedule's size depends on it and on the period only.
+#: Sources that one mixture may have; each may begin a phase, which costs the driver a step for each source left.
 MAX_SOURCES = 256
-
-
-@dataclass(frozen=True)
-class Phase:
-    start: int  # first slot
-    units: dict[int, int]  # of the period's slots, by source
-    base: dict[int, int]  # blocks served before, by source
-    slots: dict[int, list[int]]  # within the period, by source
+#: Parts of the whole that weights are counted in: finer than any number of slots. A smaller weight waits for the rest.
+UNITS = 1 << 80
 
 
 def to_units(weights: dict[int, float], period: int) -> dict[int, int]:
-    """Whole units that sum to the period, at least one each, nearest to the weights."""
-    total, free = sum(weights.values()), period - len(weights)
-    exact = {k: w / total * free for k, w in weights.items()}
-    units = {k: 1 + math.floor(x) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (math.floor(exact[k]) - exact[k], k))[: period - sum(units.values())]:
+    """Whole units that sum to the period, by largest remainder: less than one unit from the weights."""
+    total = sum(map(Fraction, weights.values()))
+    exact = {k: Fraction(w) * period / total for k, w in weights.items()}
+    units = {k: math.floor(x) for k, x in exact.items()}
+    for k in sorted(exact, key=lambda k: (units[k] - exact[k], k))[: period - sum(units.values())]:
         units[k] += 1
     return units
 
 
-def edf_period(units: dict[int, int], period: int) -> dict[int, list[int]]:
-    """Slots of each source in one period: earliest deadline first among released blocks."""
-    due, queue, out = [[] for _ in range(period)], [], {k: [] for k in units}
-    for k, u in units.items():
-        for j in range(1, u + 1):
-            due[(j - 1) * period // u].append((-(-j * period // u), k, j))
-    for slot in range(period):
-        for x in due[slot]:
-            heapq.heappush(queue, x)
-        deadline, k, _ = heapq.heappop(queue)
+def edf(units: dict[int, int]) -> Iterator[int]:
+    """The source of each slot, without end: earliest deadline first among released blocks."""
+    total = sum(units.values())
+    # A source's next block waits for its release, then for its deadline; later blocks of it have later ones.
+    waiting, queue = [(0, k, 1) for k, u in units.items() if u], []
+    heapq.heapify(waiting)
+    for slot in itertools.count():
+        while waiting and waiting[0][0] <= slot:
+            _, k, j = heapq.heappop(waiting)
+            heapq.heappush(queue, (-(-j * total // units[k]), k, j))
+        deadline, k, j = heapq.heappop(queue)
         assert slot < deadline, "a feasible set of windows always meets its deadlines"
+        heapq.heappush(waiting, (j * total // units[k], k, j + 1))
+        yield k
+
+
+def edf_period(units: dict[int, int], period: int) -> dict[int, list[int]]:
+    """Slots of each source among the first `period`."""
+    out = {k: [] for k in units}
+    for slot, k in enumerate(itertools.islice(edf(units), period)):
         out[k].append(slot)
     return out
 
 
-def phases(blocks: dict[int, int], weights: dict[int, float], period: int) -> list[Phase]:
-    left, done, start, out = {k: n for k, n in blocks.items() if n}, {k: 0 for k in blocks}, 0, []
+def served(blocks: dict[int, int], weights: dict[int, float]) -> Iterator[int]:
+    """The source of each slot until all blocks are served; a phase ends when a source runs out."""
+    left = {k: n for k, n in blocks.items() if n}
     while left:
-        units = to_units({k: weights[k] for k in left}, period)
-        slots = edf_period(units, period)
-        out.append(Phase(start, units, {k: done[k] for k in left}, slots))
-
-        def slot_of(k: int, j: int) -> int:
-            return j // units[k] * period + slots[k][j % units[k]]
-
-        length = min(slot_of(k, n - 1) for k, n in left.items()) + 1
-        for k in list(left):
-            full, rest = divmod(length, period)
-            served = min(left[k], full * units[k] + sum(s < rest for s in slots[k]))
-            done[k] += served
-            left[k] -= served
+        for k in edf(to_units({k: weights[k] for k in left}, UNITS)):
+            yield k
+            left[k] -= 1
             if not left[k]:
                 del left[k]
-        start += length
-    return out
+                break
 
 
 def _ranked(docs: DataFrame, id_col: str, source_col: str, rows: int, seed: int) -> DataFrame:
@@ -99,6 +96,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, bloc
     weights: target share by source; sources without one share the smallest given weight. None: the square root of
     each source's number of documents, which lifts small sources. A null source is a source of its own. Rows that
     repeat an id are rows like any other (their order among each other is arbitrary but each gets its own place).
+    period: a source's slots in one row of the schedule.
     """
     counts = {r[0]: r[1] for r in docs.groupBy(F.col(source_col).cast("string")).count().limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
@@ -107,20 +105,18 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, bloc
     floor = min((w for w in (weights or {}).values() if w > 0), default=1.0)
     share = {i: (weights.get(s, floor) or floor) if weights else math.sqrt(counts[s]) for i, s in enumerate(names)}
     blocks = {i: -(-counts[s] // block_docs) for i, s in enumerate(names)}
-    plan = phases(blocks, share, max(period, 4 * len(names)))
-    width = max(period, 4 * len(names))
-    schema = T.StructType([T.StructField("_source", T.StringType()), T.StructField("base", T.LongType()), T.StructField("start", T.LongType()), T.StructField("slots", T.ArrayType(T.IntegerType())), T.StructField("until", T.LongType())])
+    order = np.fromiter(served(blocks, share), np.int32, sum(blocks.values()))
+    slots, ends = np.argsort(order, kind="stable"), np.cumsum([blocks[i] for i in range(len(names))], dtype=np.int64)
     rows = []
     for i, s in enumerate(names):
-        mine = [p for p in plan if i in p.units]
-        for p, after in zip(mine, [*mine[1:], None], strict=True):
-            rows.append((s, p.base[i], p.start, p.slots[i], after.base[i] if after else blocks[i]))
-    schedule = docs.sparkSession.createDataFrame(rows, schema)
+        mine = slots[ends[i] - blocks[i] : ends[i]]
+        rows += [(s, n, mine[c : c + period].tolist()) for n, c in enumerate(range(0, len(mine), period))]
+    schedule = docs.sparkSession.createDataFrame(rows, "_source string, _part long, slots array<long>")
+    schedule = small_enough(schedule, 8 * min(period, max(blocks.values(), default=1)) + 64)
     ranked = _ranked(docs, id_col, source_col, sum(counts.values()), seed).withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("in_block", F.pmod("rank", F.lit(block_docs)).cast("int"))
-    on = F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") >= F.col("base")) & (F.col("block") < F.col("until"))
-    j = F.col("block") - F.col("base")
-    slot = F.col("start") + F.floor(j / F.size("slots")) * width + F.get("slots", F.pmod(j, F.size("slots").cast("long")).cast("int"))
-    return ranked.join(F.broadcast(schedule), on).select("doc_id", "source", "block", slot.cast("long").alias("slot"), "in_block")
+    on = F.col("source").eqNullSafe(F.col("_source")) & (F.floor(F.col("block") / period) == F.col("_part"))
+    slot = F.get("slots", F.pmod("block", F.lit(period)).cast("int"))
+    return ranked.join(schedule, on).select("doc_id", "source", "block", slot.alias("slot"), "in_block")
 
 
 def mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:

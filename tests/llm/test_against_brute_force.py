@@ -266,6 +266,25 @@ def test_pfair_deviates_by_less_than_a_block():
             assert np.abs(served - (np.arange(1_000) + 1) * u / 1_000).max() < 1
 
 
+def test_pfair_holds_against_the_given_weights():
+    for weights in ({0: 1 / 3, **{i: 2 / 57 for i in range(1, 20)}}, {0: 1.0, 1: 1e-4, 2: 2**0.5, 3: 1e-30}):
+        n, total = 40_000, sum(weights.values())
+        order = np.fromiter(mixing.served({k: n for k in weights}, weights), np.int64, 4 * n)[:n]
+        for k, w in weights.items():
+            assert np.abs(np.cumsum(order == k) - np.arange(1, n + 1) * (w / total)).max() < 1
+
+
+def test_mixture_over_many_slots(spark):
+    """The whole path: one document a block, and more slots than a row of the schedule holds."""
+    weights = {"a": 1 / 3, **{f"s{i}": 2 / 57 for i in range(19)}}
+    source = [s for s, w in weights.items() for _ in range(int(w * 30_000))]
+    docs = spark.createDataFrame(list(enumerate(source)), "doc_id long, source string")
+    rows = mixing.mix(docs, weights, block_docs=1).toPandas().sort_values("slot")
+    assert rows["slot"].tolist() == list(range(len(source))) and sorted(rows["doc_id"]) == list(range(len(source)))
+    for s, w in weights.items():
+        assert np.abs(np.cumsum(rows["source"] == s) - np.arange(1, len(rows) + 1) * w)[:29_000].max() < 1
+
+
 def test_mixture_of_documents(spark, data_dir):
     weights = {f"src{i}": 1.0 + i for i in range(20)}
     rows = mixing.mix(table(spark, data_dir, "documents"), weights, block_docs=2).collect()
