@@ -61,7 +61,8 @@ def tile_links(block: int, blocks: list[tuple[int, int, float]], left: tuple, ri
     half = lambda m: (m * m).sum(axis=1, keepdims=True) / 2
     columns = np.hstack((y, np.ones((len(y), 1), np.float32), -half(y))).T.copy()
     norm = [np.linalg.norm(t[2].astype(np.float64), axis=1) for t in (left, right)]
-    us, vs = [], []
+    counts = left[1] if same else np.concatenate((left[1], right[1]))
+    label = np.arange(len(ids))
     for r in range(0, len(left[0]), 256):
         x = left[3][r : r + 256, a:z]
         near = np.hstack((x, -half(x), np.ones((len(x), 1), np.float32))) @ columns
@@ -77,13 +78,15 @@ def tile_links(block: int, blocks: list[tuple[int, int, float]], left: tuple, ri
             p, q = p[mine], q[mine]
             cosine = (left[2][p].astype(np.float64) * right[2][q].astype(np.float64)).sum(axis=1) / (norm[0][p] * norm[1][q])
             hit = cosine >= threshold
-            us.append(p[hit])
-            vs.append(q[hit] + shift)
-    u, v = (np.concatenate(w) if w else np.zeros(0, np.int64) for w in (us, vs))
-    counts = left[1] if same else np.concatenate((left[1], right[1]))
-    np.add.at(links, u, counts[v])
-    np.add.at(links, v, counts[u])
-    return ids, links, ids[tree(len(ids), u, v)]
+            # Hits are folded as they come, so pairs take no more room than one part of them.
+            u, v = p[hit], q[hit] + shift
+            np.add.at(links, u, counts[v])
+            np.add.at(links, v, counts[u])
+            u, v = label[u], label[v]
+            apart = u != v
+            if apart.any():
+                label = tree(len(ids), u[apart], v[apart])[label]
+    return ids, links, ids[label]
 
 
 def _links(classes: DataFrame, dim: int, threshold: float, kind: str, tile: int) -> DataFrame:

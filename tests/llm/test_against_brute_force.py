@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -123,6 +124,30 @@ def test_near_vectors(spark, tile):
     assert sorted(map(tuple, embed_join.near_vectors(df, tile=tile).collect())) == vector_truth(rows)
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+def test_dense_tiles_need_no_memory_for_pairs(parts):
+    """4,000 near copies link in 8 million pairs (128 MB as two arrays); what is kept is a few numbers a vector."""
+    rng = np.random.default_rng(7)
+    x = (np.ones((4_000, 8)) + rng.normal(size=(4_000, 8)) * 0.01).astype(np.float32)
+    x[:2_000] *= np.array([1, -1] * 4, np.float32)  # two groups, each over both tiles
+    x = x[rng.permutation(4_000)]
+    axes, blocks = embed_join.rotation(embed_join._units(x), 1, 0.2)
+    y = (embed_join._units(x) @ axes).astype(np.float32)
+    counts = rng.integers(1, 4, 4_000)
+    sides = [(np.arange(4_000)[p], counts[p], x[p], y[p]) for p in np.array_split(np.arange(4_000), parts)]
+    tracemalloc.start()
+    ids, links, root = embed_join.tile_links(0, blocks, sides[0], sides[-1], 0.9)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    group = x[:, 0] * x[:, 1] > 0
+    # Within one tile a vector meets its whole group but itself, across two its group in the other tile.
+    tile = np.zeros(4_000, int) if parts == 1 else np.arange(4_000) // 2_000
+    for v in range(0, 4_000, 97):
+        met = (group == group[v]) & ((tile != tile[v]) if parts == 2 else (np.arange(4_000) != v))
+        assert links[v] == counts[met].sum() and root[v] == np.flatnonzero(group == group[v])[0]
+    assert ids.tolist() == list(range(4_000)) and peak < 60 << 20
+
+
 def test_odd_vectors(spark):
     odd = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (7, [2.0, 0.0]), (9, []), (10, [1.0, 0.0, 0.0]), (11, [1e200, 1e200]), (12, [1e-200, 1e-200])]
     got = sorted(map(tuple, embed_join.near_vectors(spark.createDataFrame(odd, "vec_id long, embedding array<double>")).collect()))
