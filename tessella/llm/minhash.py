@@ -9,11 +9,12 @@ however long it is, and two texts agree in a coordinate with the probability of
 Texts with the same words are one class and only its first member goes on. Coordinates are joined in bands: a bucket
 holds the classes that agree in all of a band. No bucket's pairs are all made. First each member is held against one
 leader of its bucket, the member that shares most buckets with others; verified links make components. Members of
-buckets that still hold several components then meet by single coordinates: two of them can only be similar enough if
-they agree in `AGREE` of all coordinates, so also in one of the `COORDINATES - AGREE + 1` rarest coordinates of each.
-Common passages fill common coordinates, so texts that only share these never meet. Where members of one coordinate
-are in several components, those outside its largest one are held against the others. All candidates are verified on
-the whole texts.
+buckets that still hold several components then meet by their rarest shingles: texts of a and b shingles that are
+similar enough have at least t / (1 + t) * (a + b) in common, so one of these is among the first shingles of each, in
+one order of all shingles, up to the place where fewer than that are left. Ordered by how many texts hold them, common
+passages come last, so texts that only share these never meet; nor do two copies of one base, unless they share
+changes. Where holders of one shingle are in several components, those outside its largest one are held against the
+others. All candidates are verified on the whole texts.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ from .textvec import blocks, mix, words
 WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 4
 COORDINATES = BANDS * ROWS
-#: Coordinates in which texts of the similarity agree but for about one pair in 20,000 (of 64 expected).
-AGREE = 50
+#: Sizes of one class differ by less than this factor; partners are taken class by class.
+SIZE_STEP = 1.05
 
 _U = np.uint64
 _STEP, _COPY, _PLACE, _NAME = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F), _U(0xE7037ED1A0B428DB)
@@ -144,22 +145,45 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     return written(found.mapInPandas(run, "u long, v long"), "verified")
 
 
-def _meeting(apart: DataFrame, signatures: DataFrame, fits) -> DataFrame:
-    """Pairs (u, v) of apart (rid, size, part) in different parts that share one of their rarest coordinates."""
-    tokens = apart.join(signatures, "rid").select("rid", "size", "part", F.posexplode("signature").alias("at", "value"))
-    tokens = tokens.select("rid", "size", "part", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long")).alias("token"))
-    tokens = written(tokens, "tokens")
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+def _cells(texts: DataFrame) -> DataFrame:
+    """(rid, cell): a row for each unit of weight of each text."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rid = frame["rid"].to_numpy()
+            for first, group in blocks(frame["text"].tolist()):
+                cell, owner = cells(*shingles(*words(group)))
+                yield pd.DataFrame({"rid": rid[first + owner], "cell": cell.view(np.int64)})
+
+    return written(texts.select("rid", "text").mapInPandas(run, "rid long, cell long"), "cells")
+
+
+def _meeting(apart: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) of apart (rid, size, part) in different parts that may be as similar as asked."""
+    cell = _cells(texts.join(apart, "rid", "left_semi"))
+    often = cell.groupBy("cell").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     of = Window.partitionBy("rid")
-    place = COORDINATES - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("times", "token"))
-    rare = tokens.join(often, "token").withColumn("place", place).where(F.col("place") <= COORDINATES - AGREE + 1)
-    rare = written(rare.select("rid", "size", "part", "token"), "rare")
-    parts = rare.groupBy("token", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("token").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
-    rare = written(rare.join(parts.where("parts > 1").drop("parts"), "token"), "rare")
-    left = rare.where("part <> main")
-    right = rare.select("token", F.col("rid").alias("lead"), F.col("size").alias("lead_size"), F.col("part").alias("lead_part"))
+    place = F.col("size") - F.count(F.lit(1)).over(of) + F.row_number().over(of.orderBy("times", "cell"))
+    common = F.lit(threshold / (1 + threshold))
+    # Of no partner is more than the rest after this place needed: one of threshold times the size.
+    last = F.col("size") - F.ceil(common * F.col("size") * (1 + threshold) - 1e-6) + 1
+    rare = cell.join(often, "cell").join(apart, "rid").withColumn("place", place).where(F.col("place") <= last)
+    rare = written(rare.select("rid", "size", "part", "cell", "place"), "rare")
+
+    level = F.floor(F.log("size") / math.log(SIZE_STEP)).cast("int")
+    reach = math.ceil(-math.log(threshold) / math.log(SIZE_STEP)) + 1
+    least = F.greatest(F.pow(F.lit(SIZE_STEP), F.col("to")) * (1 - 1e-9), F.col("size") * threshold)
+    fits = F.col("place") <= F.col("size") - F.ceil(common * (F.col("size") + least) - 1e-6) + 1
+    meets = rare.withColumn("level", level).withColumn("to", F.explode(F.sequence(F.col("level") - reach, F.col("level") + reach))).where(fits)
+    key = ["cell", F.least("level", "to").alias("low"), F.greatest("level", "to").alias("high")]
+    meets = meets.select(*key, "level", "to", "rid", "size", "part")
+    parts = meets.groupBy("cell", "low", "high", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = parts.groupBy("cell", "low", "high").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    meets = written(meets.join(main, ["cell", "low", "high"]), "meets")
+    left = meets.where("part <> main")
+    right = meets.select("cell", F.col("to").alias("level"), F.col("level").alias("to"), F.col("rid").alias("lead"), F.col("size").alias("lead_size"), F.col("part").alias("lead_part"))
     differ = (F.col("part") != F.col("lead_part")) & ((F.col("lead_part") == F.col("main")) | (F.col("rid") < F.col("lead")))
-    met = left.join(right, "token").where(differ & fits(F.col("size"), F.col("lead_size")))
+    met = left.join(right, ["cell", "level", "to"]).where(differ & (F.least("size", "lead_size") >= F.greatest("size", "lead_size") * threshold))
     return met.select(F.least("rid", "lead").alias("u"), F.greatest("rid", "lead").alias("v")).distinct()
 
 
@@ -201,7 +225,7 @@ def near_groups(docs: DataFrame, *, threshold: float = SIMILARITY, id_col: str =
     members = entries.join(roots, "rid", "left").select("h", "rid", "size", part.alias("part"))
     mixed = members.groupBy("h").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("h")
     apart = members.join(mixed, "h", "left_semi").select("rid", "size", "part").distinct()
-    more = written(_meeting(apart, signatures.select("rid", "signature"), fits).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    more = written(_meeting(written(apart, "apart"), texts, threshold).join(pairs, ["u", "v"], "left_anti"), "pairs")
     links = links.unionByName(_verified(more, texts, threshold))
     roots = written(connected_components(links), "roots").withColumnRenamed("node", "rid")
 
