@@ -5,10 +5,14 @@ released in slot floor((j - 1) / w) and due by slot ceil(j / w); one block is se
 the earliest deadline first. After any number of slots a source has had its share to within less than one block.
 
 Windows are taken in whole numbers of 1/`UNITS` of the weights, so this holds against the weights as given, however
-many slots there are. The driver simulates every slot, with a number for each block of `block_docs` rows (8 bytes), and
-the slots meet the rows by an equi-join that is broadcast only when they are few. When a source runs out, the rest go
-on with their weights scaled up; there are at most as many such phases as sources. Nothing is dropped and nothing
-repeats.
+many slots there are. The driver simulates every slot; blocks grow with the input so that there are about `SLOTS` of
+them at most (and one for each source at least), which bounds the schedule (8 bytes a slot) and its broadcast. When a
+source runs out, the rest go on with their weights scaled up; there are at most as many such phases as sources, each of
+which costs the driver a step for each source left. Nothing is dropped and nothing repeats.
+
+Rows get their places without gathering a source: ranks come from counts of hashed buckets. `mixed_order` then cuts the
+slots into as many stretches as there are partitions, looks up the hash at which each source enters each stretch, and
+so knows a row's stretch from its source and hash alone: whole rows cross the network once.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import heapq
 import itertools
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
@@ -26,8 +31,8 @@ from pyspark.sql.window import Window
 
 from .common import fresh, small_enough, written
 
-#: Sources that one mixture may have; each may begin a phase, which costs the driver a step for each source left.
-MAX_SOURCES = 256
+#: Slots of a schedule, at about which the blocks begin to grow.
+SLOTS = 1 << 20
 #: Parts of the whole that weights are counted in: finer than any number of slots. A smaller weight waits for the rest.
 UNITS = 1 << 80
 
@@ -69,8 +74,11 @@ def edf_period(units: dict[int, int], period: int) -> dict[int, list[int]]:
 def served(blocks: dict[int, int], weights: dict[int, float]) -> Iterator[int]:
     """The source of each slot until all blocks are served; a phase ends when a source runs out."""
     left = {k: n for k, n in blocks.items() if n}
+    units = to_units({k: weights[k] for k in left}, UNITS) if left else {}
     while left:
-        for k in edf(to_units({k: weights[k] for k in left}, UNITS)):
+        # Of what is left only the shares among each other count; a weight below the unit waits for the rest.
+        now = {k: units[k] for k in left}
+        for k in edf(now if any(now.values()) else dict.fromkeys(now, 1)):
             yield k
             left[k] -= 1
             if not left[k]:
@@ -78,62 +86,124 @@ def served(blocks: dict[int, int], weights: dict[int, float]) -> Iterator[int]:
                 break
 
 
+def _hash(id_col: str, seed: int):
+    return F.xxhash64(F.lit(seed), F.col(id_col))
+
+
 def _ranked(docs: DataFrame, id_col: str, source_col: str, rows: int, seed: int) -> DataFrame:
-    """(doc_id, source, rank): rank from 0 in a hashed order within the source, found without gathering a source."""
+    """(doc_id, source, h, rank): rank from 0 in a hashed order within the source, found without gathering a source."""
     buckets = max(64, min(65_536, rows // 500))
-    hashed = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("h")).withColumn("bucket", F.pmod(F.shiftrightunsigned("h", 16), F.lit(buckets)))
+    hashed = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), _hash(id_col, seed).alias("h"))
+    # By the upper bits, so that buckets follow each other in the order of h.
+    hashed = hashed.withColumn("bucket", F.floor((F.shiftright("h", 32) + (1 << 31)) * buckets / (1 << 32)))
     sizes = hashed.groupBy("source", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n")).drop("n")
     inside = hashed.withColumn("in_bucket", F.row_number().over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id")) - 1)
     b = before.select(F.col("source").alias("_s"), F.col("bucket").alias("_b"), "before")
     joined = inside.join(b, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
-    return joined.select("doc_id", "source", (F.col("before") + F.col("in_bucket")).cast("long").alias("rank"))
+    return joined.select("doc_id", "source", "h", (F.col("before") + F.col("in_bucket")).cast("long").alias("rank"))
+
+
+@dataclass
+class Schedule:
+    """The slots of each source's blocks."""
+
+    names: list[str | None]
+    rows: list[int]
+    slots: list[np.ndarray]
+    block_docs: int
+
+    @classmethod
+    def of(cls, docs: DataFrame, weights: dict[str | None, float] | None, block_docs: int | None, source_col: str) -> Schedule:
+        counts = {r[0]: r[1] for r in docs.groupBy(F.col(source_col).cast("string")).count().collect()}
+        names = sorted(counts, key=lambda s: (s is not None, s or ""))
+        floor = min((w for w in (weights or {}).values() if w > 0), default=1.0)
+        share = {i: (weights.get(s, floor) or floor) if weights else math.sqrt(counts[s]) for i, s in enumerate(names)}
+        size = block_docs or max(BLOCK_DOCS, -(-sum(counts.values()) // SLOTS))
+        blocks = {i: -(-counts[s] // size) for i, s in enumerate(names)}
+        order = np.fromiter(served(blocks, share), np.int32, sum(blocks.values()))
+        ends = np.cumsum([blocks[i] for i in range(len(names))], dtype=np.int64)
+        return cls(names, [counts[s] for s in names], np.split(np.argsort(order, kind="stable"), ends[:-1]) if names else [], size)
+
+    def table(self, docs: DataFrame, period: int) -> DataFrame:
+        """(_source, _part, slots): the slots of `period` blocks in a row, broadcast if they are few."""
+        rows = [(s, n, mine[c : c + period].tolist()) for s, mine in zip(self.names, self.slots, strict=True) for n, c in enumerate(range(0, len(mine), period))]
+        made = docs.sparkSession.createDataFrame(rows, "_source string, _part long, slots array<long>")
+        return small_enough(made, 8 * min(period, max(map(len, self.slots), default=1)) + 64)
+
+    def placed(self, ranked: DataFrame, period: int, slot: str, inside: str, source: str, rank: str) -> DataFrame:
+        """ranked with the slot and the place in it of each row's rank in its source; temporary columns stay."""
+        block = F.floor(F.col(rank) / self.block_docs)
+        on = F.col(source).eqNullSafe(F.col("_source")) & (F.floor(block / period) == F.col("_part"))
+        at = F.get("slots", F.pmod(block, F.lit(period)).cast("int"))
+        return ranked.join(self.table(ranked, period), on).withColumn(slot, at).withColumn(inside, F.pmod(rank, F.lit(self.block_docs)).cast("int"))
+
+
+#: Documents in a block of a small input.
+BLOCK_DOCS = 64
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block_docs: int = 64, period: int = 1_000, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block_docs: int | None = None, period: int = 1_000, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """One row per row of docs: doc_id, source, block, slot, in_block; (slot, in_block) is the mixed order.
 
     weights: target share by source; sources without one share the smallest given weight. None: the square root of
     each source's number of documents, which lifts small sources. A null source is a source of its own. Rows that
-    repeat an id are rows like any other (their order among each other is arbitrary but each gets its own place).
-    period: a source's slots in one row of the schedule.
+    repeat an id are rows like any other (their order among each other is arbitrary but each gets its own place). An
+    empty table gives no rows; other columns, texts among them, are not read. block_docs: None for `BLOCK_DOCS`, or
+    more where that makes over `SLOTS` blocks. period: a source's slots in one row of the schedule.
     """
-    counts = {r[0]: r[1] for r in docs.groupBy(F.col(source_col).cast("string")).count().limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources; group them first")
-    names = sorted(counts, key=lambda s: (s is not None, s or ""))
-    floor = min((w for w in (weights or {}).values() if w > 0), default=1.0)
-    share = {i: (weights.get(s, floor) or floor) if weights else math.sqrt(counts[s]) for i, s in enumerate(names)}
-    blocks = {i: -(-counts[s] // block_docs) for i, s in enumerate(names)}
-    order = np.fromiter(served(blocks, share), np.int32, sum(blocks.values()))
-    slots, ends = np.argsort(order, kind="stable"), np.cumsum([blocks[i] for i in range(len(names))], dtype=np.int64)
-    rows = []
-    for i, s in enumerate(names):
-        mine = slots[ends[i] - blocks[i] : ends[i]]
-        rows += [(s, n, mine[c : c + period].tolist()) for n, c in enumerate(range(0, len(mine), period))]
-    schedule = docs.sparkSession.createDataFrame(rows, "_source string, _part long, slots array<long>")
-    schedule = small_enough(schedule, 8 * min(period, max(blocks.values(), default=1)) + 64)
-    ranked = _ranked(docs, id_col, source_col, sum(counts.values()), seed).withColumn("block", F.floor(F.col("rank") / block_docs)).withColumn("in_block", F.pmod("rank", F.lit(block_docs)).cast("int"))
-    on = F.col("source").eqNullSafe(F.col("_source")) & (F.floor(F.col("block") / period) == F.col("_part"))
-    slot = F.get("slots", F.pmod("block", F.lit(period)).cast("int"))
-    return ranked.join(schedule, on).select("doc_id", "source", "block", slot.alias("slot"), "in_block")
-
-
-def mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, **options) -> DataFrame:
-    """docs, all rows and columns, range-partitioned and sorted in the mixed order.
-
-    Rows that repeat an id take the places of that id in any order.
+    plan = Schedule.of(docs, weights, block_docs, source_col)
+    ranked = _ranked(docs, id_col, source_col, sum(plan.rows), seed)
+    placed = plan.placed(ranked, period, "slot", "in_block", "source", "rank")
+    return placed.select("doc_id", "source", F.floor(F.col("rank") / plan.block_docs).alias("block"), "slot", "in_block")
+
+
+def _stretches(docs: DataFrame, plan: Schedule, parts: int, seed: int, id_col: str, source_col: str) -> DataFrame:
+    """(_s, hashes, nth, first): per source the hash, number and first rank at which it enters each stretch of slots."""
+    total, enters = sum(map(len, plan.slots)), {}
+    for i, mine in enumerate(plan.slots):
+        block = np.searchsorted(mine, np.arange(parts) * total // parts)
+        for nth in range(parts):  # a later stretch that begins with the same block takes it
+            if block[nth] < len(mine):
+                enters.setdefault(i, {})[int(block[nth]) * plan.block_docs] = nth
+    rows = [(plan.names[i], rank, nth) for i, found in enters.items() for rank, nth in found.items()]
+    at = docs.sparkSession.createDataFrame(rows, "_s string, _r long, nth int")
+    ranked = _ranked(docs, id_col, source_col, sum(plan.rows), seed)
+    found = ranked.join(small_enough(at, 64), F.col("source").eqNullSafe(F.col("_s")) & (F.col("rank") == F.col("_r")))
+    # Rows of equal hash stay together, so a stretch begins with the first rank of its hash.
+    entry = F.struct("h", "nth", F.col("rank").alias("first"))
+    made = found.groupBy("_s").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    return made.select("_s", F.col("e.h").alias("hashes"), F.col("e.nth").alias("nth"))
+
+
+def mixed_order(docs: DataFrame, weights: dict[str | None, float] | None = None, *, block_docs: int | None = None, period: int = 1_000, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """docs, all rows and columns, in partitions of consecutive slots, each sorted in the mixed order.
+
+    Null sources, null and repeated ids, an empty table: as mix says. Rows that repeat an id come in any order among
+    each other and share a partition. Columns of any name stay as they are.
     """
-    id_col = options.get("id_col", "doc_id")
-    i, n, slot, inside = fresh(docs, "_mix_id", "_mix_n", "_mix_slot", "_mix_in")
-    places = written(mix(docs, weights, **options), "places")
-    if places.groupBy("doc_id").count().where("count > 1").limit(1).count() == 0:
-        side = places.select(F.col("doc_id").alias(i), F.col("slot").alias(slot), F.col("in_block").alias(inside))
-        joined = docs.join(side, docs[id_col].eqNullSafe(F.col(i)))
-    else:
-        nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("slot", "in_block"))
-        side = places.select(F.col("doc_id").alias(i), F.col("slot").alias(slot), F.col("in_block").alias(inside), nth.alias(n))
-        numbered = docs.withColumn(f"{n}_d", F.row_number().over(Window.partitionBy(docs[id_col]).orderBy(F.lit(1))))
-        joined = numbered.join(side, numbered[id_col].eqNullSafe(F.col(i)) & (F.col(f"{n}_d") == F.col(n)))
+    plan = Schedule.of(docs, weights, block_docs, source_col)
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return joined.repartitionByRange(parts, slot, inside).sortWithinPartitions(slot, inside).select(*[joined[c] for c in docs.columns])
+    names = fresh(docs, "_mix_h", "_mix_source", "_mix_part", "_mix_rank", "_mix_slot", "_mix_in", "_source", "_part", "slots", "_s", "hashes", "nth")
+    h, source, part, rank, slot, inside = names[:6]
+    if names[6:] != ["_source", "_part", "slots", "_s", "hashes", "nth"]:
+        plain = fresh(docs, *(f"_mix_c{i}" for i in range(len(docs.columns))))
+        renamed = docs.toDF(*plain)
+        made = mixed_order(renamed, weights, block_docs=block_docs, period=period, seed=seed, id_col=plain[docs.columns.index(id_col)], source_col=plain[docs.columns.index(source_col)])
+        return made.toDF(*docs.columns)
+    keyed = docs.withColumn(h, _hash(id_col, seed)).withColumn(source, F.col(source_col).cast("string"))
+    enters = written(_stretches(docs, plan, parts, seed, id_col, source_col), "stretches")
+    longest = max(1, parts.bit_length())
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(longest))))
+    past = F.aggregate(steps, F.lit(0), lambda n, step: F.when(F.get("hashes", n + step - 1) <= F.col(h), n + step).otherwise(n))
+    dealt = keyed.join(small_enough(enters, 24 * parts), F.col(source).eqNullSafe(F.col("_s"))).withColumn(part, F.coalesce(F.get("nth", past - 1), F.lit(0)))
+    dealt = dealt.drop("_s", "hashes", "nth")
+    # A source's ranks in a stretch begin where those of the stretches before it end.
+    sizes = dealt.groupBy(source, part).agg(F.count(F.lit(1)).alias("slots"))
+    before = sizes.withColumn("nth", F.sum("slots").over(Window.partitionBy(source).orderBy(part)) - F.col("slots"))
+    before = small_enough(written(before.select(F.col(source).alias("_s"), F.col(part).alias("_part"), "nth"), "before"), 48)
+    dealt = dealt.join(before, F.col(source).eqNullSafe(F.col("_s")) & (F.col(part) == F.col("_part"))).drop("_s", "_part")
+    dealt = dealt.repartitionById(parts, F.col(part))
+    ranked = dealt.withColumn(rank, F.col("nth") + F.row_number().over(Window.partitionBy(part, source).orderBy(h, id_col)) - 1)
+    placed = plan.placed(ranked, period, slot, inside, source, rank)
+    return placed.sortWithinPartitions(slot, inside).select(*docs.columns)
