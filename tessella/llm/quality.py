@@ -70,7 +70,8 @@ def _distinct(owner: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray,
 def statistics(texts: list[str]) -> np.ndarray:
     """One row of features for each text, of one block of texts."""
     n = len(texts)
-    cp = code_points("\n".join([*texts, ""]))
+    text = "\n".join([*texts, ""])
+    cp = code_points(text)
     length = np.array([len(t) + 1 for t in texts])
     classes = char_classes()[cp]
     owner = np.repeat(np.arange(n), length)
@@ -92,7 +93,7 @@ def statistics(texts: list[str]) -> np.ndarray:
     last = np.where(filled, classes[np.maximum(ends - 1, 0)], OTHER)
     closed = np.isin(last, [6 + MARKS.index(c) for c in ".!?"])
     lines = np.maximum(np.bincount(line_of[filled], minlength=n), 1)
-    line_kinds, _ = _distinct(line_of[filled], span_hashes(cp, begins[filled], ends[filled]), n)
+    line_kinds, _ = _distinct(line_of[filled], span_hashes(text, cp, begins[filled], ends[filled]), n)
     change = np.flatnonzero(np.diff(classes)) + 1
     letters = share[:, LOWER] + share[:, UPPER] + share[:, LETTER]
     columns = [

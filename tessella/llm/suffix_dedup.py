@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, small_enough, with_python, written
-from .textvec import _BASE, _Powers, mix
+from .textvec import _BASE, mix
 
 LENGTH, CORE = 100, 40
 #: Anchors in one share of step 2, surroundings in one bucket of step 4.
@@ -38,6 +38,25 @@ SHARE_ANCHORS, BUCKET_PARTS = 2_000_000, 3_000
 BLOCK_BYTES = 1 << 20
 
 _U = np.uint64
+
+
+class _Powers:
+    """Powers of the base modulo 2**64 and of its inverse, as many as were needed so far."""
+
+    up = np.ones(1, dtype=np.uint64)
+    down = np.ones(1, dtype=np.uint64)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) <= n:
+            size = max(n + 1, BLOCK_BYTES + 1)
+            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+                x = np.full(size, base, dtype=np.uint64)
+                x[0] = 1
+                setattr(cls, name, np.cumprod(x, dtype=np.uint64))
+        return cls.up, cls.down
+
+
 _ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("key", "<i8"), ("pos", "<i8")])
 _FLANK = LENGTH - CORE
 #: The smallest hash of a window comes with its place in the low bits.

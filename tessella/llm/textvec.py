@@ -7,6 +7,7 @@ blocks of about `BLOCK_CHARS`, so memory follows the block (or the longest singl
 from __future__ import annotations
 
 import functools
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 
@@ -36,39 +37,39 @@ def word_chars() -> np.ndarray:
     return out
 
 
-@functools.cache
-def _char_values() -> np.ndarray:
-    return mix(np.arange(1, 65_537, dtype=np.uint64) * _U(_BASE))
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-class _Powers:
-    """Powers of the base modulo 2**64 and of its inverse, as many as were needed so far."""
+def byte_offsets(cp: np.ndarray) -> np.ndarray:
+    """Where each code point, and the end, lies in the UTF-8 form."""
+    wide = 1 + (cp >= 0x80).astype(np.int64) + (cp >= 0x800) + (cp >= 0x10000)
+    return np.concatenate(([0], np.cumsum(wide)))
 
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
 
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) <= n:
-            size = max(n + 1, BLOCK_CHARS + 1)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                x = np.full(size, base, dtype=np.uint64)
-                x[0] = 1
-                setattr(cls, name, np.cumprod(x, dtype=np.uint64))
-        return cls.up, cls.down
+def eight_bytes(raw: bytes, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The count (0 to 8, or clipped to it) bytes from each start as one number, the rest zero; raw has 8 bytes to spare."""
+    b = np.frombuffer(raw, np.uint8)
+    at = np.ndarray((len(b) - 7,), "<u8", b.data, 0, (1,))
+    few = np.clip(count, 0, 8)
+    mask = np.where(few == 8, _U(0xFFFFFFFFFFFFFFFF), (_U(1) << (few.astype(np.uint64) * _U(8) & _U(63))) - _U(1))
+    return at[np.minimum(start, len(at) - 1)] & mask
 
 
-def code_points(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-
+def span_hashes(text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of code points of the text, from all its bytes.
 
-def span_hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of code points, by one prefix sum over all of them."""
-    up, down = _Powers.upto(len(cp))
-    value = _char_values()[cp & 0xFFFF] + (cp >> np.uint32(16)).astype(np.uint64) * _U(_BASE)
-    total = np.zeros(len(cp) + 1, dtype=np.uint64)
-    np.cumsum(value * up[: len(cp)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    Spans of up to 16 bytes, most words, are mixed as two numbers; longer ones are digested one by one.
+    """
+    raw = text.encode("utf-8", "surrogatepass")
+    at = byte_offsets(cp) if len(raw) != len(cp) else np.arange(len(cp) + 1)
+    begin, size = at[start], at[end] - at[start]
+    padded = raw + bytes(8)
+    out = mix(eight_bytes(padded, begin, size) + size.astype(np.uint64) * _U(_BASE))
+    out = mix(out * _U(_BASE) + eight_bytes(padded, begin + 8, size - 8))
+    for i in np.flatnonzero(size > 16).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(raw[begin[i] : begin[i] + size[i]], digest_size=8).digest(), "little")
+    return out
 
 
 def blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
@@ -86,11 +87,12 @@ def blocks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of each word in order, and the index of its text; for one block of texts."""
     lowered = [t.lower() for t in texts]
-    cp = code_points("\n".join([*lowered, ""]))
+    text = "\n".join([*lowered, ""])
+    cp = code_points(text)
     edges = np.diff(np.concatenate(([False], word_chars()[cp], [False])).view(np.int8))
     start, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     offsets = np.cumsum([len(t) + 1 for t in lowered])
-    return span_hashes(cp, start, end), np.searchsorted(offsets, start, side="right")
+    return span_hashes(text, cp, start, end), np.searchsorted(offsets, start, side="right")
 
 
 def grams(hashes: np.ndarray, owner: np.ndarray, offsets: tuple[int, ...], seed: int) -> tuple[np.ndarray, np.ndarray]:

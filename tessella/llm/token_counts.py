@@ -7,16 +7,19 @@ map; a parallel prefix scan composes the maps, so each lane's true first state i
 before it; a second lockstep run then marks the tokens. White space maps every state to the first one and ends the
 open token, so blocks can be cut there.
 
-How many ids a token emits is the second part of the transducer: a table from the token's 64-bit hash to its
-count, compiled with the vocabulary's own merges when a token is first met. Each worker process keeps at most
-`MAX_COMPILED` entries and starts anew beyond that.
+How many ids a token emits is a second transducer over its bytes, compiled from the vocabulary's merges. Every prefix of
+a word has one encoding, and a word's last id follows an earlier prefix's encoding that it may stand beside. So a state
+holds, for each place from which an id may still reach further, the place in the trie of ids, the id before it and the
+count up to it; a transition is annotated with how many ids its byte adds to the prefix's encoding (it may take some
+back), and the last byte of a token, being a symbol of its own, leads back to the first state. States and transitions
+are compiled when first met; a worker process keeps at most `MAX_STATES` of them, and `MAX_COUNTED` counts of whole
+tokens under their bytes, and starts anew beyond that.
 """
 
 from __future__ import annotations
 
 import functools
 import json
-import os
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -27,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import with_python
-from .textvec import BLOCK_CHARS, blocks, code_points, span_hashes
+from .textvec import BLOCK_CHARS, blocks, byte_offsets, code_points, eight_bytes
 
 LANE = 256
-MAX_COMPILED = 2_000_000
+#: Bounds of what a worker keeps (about 500 and 100 bytes each).
+MAX_STATES, MAX_COUNTED = 400_000, 1_000_000
 
 SPACE, DIGIT, OTHER, APOSTROPHE, SINGLE, R, V, L, E, LETTER = range(10)
 FREE, WORD, RUN, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(7)
@@ -116,37 +120,161 @@ def token_starts(classes: np.ndarray) -> np.ndarray:
     return begins
 
 
+@functools.cache
+def byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, others from 256 on."""
+    plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+class Emission:
+    """The transducer from a token's bytes to its number of ids, for one vocabulary.
+
+    Ids are numbered anew: bytes within a token, bytes that end one from LAST on, and merges in their order from MERGED.
+    """
+
+    LAST, MERGED, BITS = 256, 512, 9
+
+    def __init__(self, model: dict):
+        suffix, ids = model["end_of_word_suffix"], {}
+        for letter, byte in byte_letters().items():
+            ids[letter], ids[letter + suffix] = byte, self.LAST + byte
+        spelled = [[i] for i in range(self.MERGED)]
+        self.parts: list[tuple[int, int]] = []
+        for merge in model["merges"]:
+            a, b = merge if isinstance(merge, list) else merge.split(" ")
+            if a + b in ids:
+                raise ValueError(f"two ways to make {a + b!r}")
+            self.parts.append((ids[a], ids[b]))
+            spelled.append(spelled[ids[a]] + spelled[ids[b]])
+            ids[a + b] = len(ids)
+        self.merged = {pair: self.MERGED + rank for rank, pair in enumerate(self.parts)}
+        self.next: dict[int, int] = {}
+        self.ends, self.inner = [-1], [False]
+        for i, symbols in enumerate(spelled):
+            node = 0
+            for s in symbols:
+                key = node << self.BITS | s
+                if key not in self.next:
+                    self.next[key], self.inner[node] = len(self.ends), True
+                    self.ends.append(-1)
+                    self.inner.append(False)
+                node = self.next[key]
+            self.ends[node] = i
+        self.clear()
+
+    def clear(self) -> None:
+        first = ((0, -1, 0),)
+        self.states, self.numbers = [first], {first: 0}
+        self.steps: dict[int, tuple[int, int]] = {}
+        self.apart: dict[tuple[int, int], bool] = {}
+
+    def stay_apart(self, a: int, b: int) -> bool:
+        """Whether no merge across the border of these ids comes before those that make them.
+
+        The merges are taken back, the latest first, from the sides that touch the border; of equal ones the left was
+        made first.
+        """
+        before = len(self.parts) + self.MERGED
+        while True:
+            across = self.merged.get((a, b))
+            if across is not None and across < before:
+                return False
+            if max(a, b) < self.MERGED:
+                return True
+            if a > b:
+                before, a = a, self.parts[a - self.MERGED][1]
+            else:
+                before, b = b + 1, self.parts[b - self.MERGED][0]
+
+    def step(self, state: int, symbol: int) -> tuple[int, int]:
+        """Compile a transition: the state after it and the ids that it adds."""
+        reach, last, adds = [], None, 0
+        for node, before, since in self.states[state]:
+            node = self.next.get(node << self.BITS | symbol)
+            if node is None:
+                continue
+            end = self.ends[node]
+            if last is None and end >= 0:
+                pair = before, end
+                if before >= 0 and pair not in self.apart:
+                    self.apart[pair] = self.stay_apart(before, end)
+                if before < 0 or self.apart[pair]:
+                    last, adds = end, 1 - since
+            if self.inner[node]:
+                reach.append((node, before, since))
+        if symbol >= self.LAST:
+            to = 0
+        else:
+            after = (*((node, before, since + adds) for node, before, since in reach), (0, last, 0))
+            to = self.numbers.setdefault(after, len(self.states))
+            if to == len(self.states):
+                self.states.append(after)
+        self.steps[state << self.BITS | symbol] = to, adds
+        return to, adds
+
+    def count(self, token: bytes) -> int:
+        if len(self.states) > MAX_STATES:
+            self.clear()
+        state = total = 0
+        steps, bits = self.steps, self.BITS
+        for symbol in (*token[:-1], token[-1] + self.LAST):
+            found = steps.get(state << bits | symbol)
+            state, adds = found if found else self.step(state, symbol)
+            total += adds
+        return total
+
+
 class Compiled:
-    """Hash to emitted ids, for one vocabulary file."""
+    """What a vocabulary file says: its special strings, and the ids of tokens."""
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         with open(path) as f:
             spec = json.load(f)
         self.specials = [t["content"] for t in spec["added_tokens"]]
-        spec |= {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}}
-        self.merge = Tokenizer.from_str(json.dumps(spec))
+        self.emission = Emission(spec["model"])
+        # Counts of tokens met before: of up to eight bytes as one number, of up to MEMO_BYTES as bytes.
         self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def emitted(self, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        unique, where, back = np.unique(span_hashes(cp, start, end), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.keys, unique)
-        known = at < len(self.keys)
-        known[known] = self.keys[at[known]] == unique[known]
-        out = np.zeros(len(unique), np.int64)
-        out[known] = self.counts[at[known]]
-        if not known.all():
-            new = np.flatnonzero(~known)
-            tokens = [cp[start[i] : end[i]].tobytes().decode("utf-32-le", "surrogatepass") for i in where[new]]
-            out[new] = [len(x.ids) for x in self.merge.encode_batch_fast(tokens, add_special_tokens=False)]
-            if len(self.keys) + len(new) > MAX_COMPILED:
-                self.keys, self.counts = unique, out
+        self.longer: dict[bytes, int] = {}
+
+    def emitted(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Ids of each span of code points of the text."""
+        raw = text.encode("utf-8", "surrogatepass")
+        at = byte_offsets(cp) if len(raw) != len(cp) else np.arange(len(cp) + 1)
+        begin, size = at[start], at[end] - at[start]
+        zeros = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.uint8) == 0)))
+        short = (size <= 8) & (zeros[at[end]] == zeros[begin])
+        out = np.zeros(len(start), np.int64)
+        keys, back = np.unique(eight_bytes(raw + bytes(8), begin[short], size[short]), return_inverse=True)
+        place = np.searchsorted(self.keys, keys)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == keys[known]
+        counts = np.zeros(len(keys), np.int64)
+        counts[known] = self.counts[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            counts[new] = [self.emission.count(k.tobytes().rstrip(b"\0")) for k in keys[new].astype("<u8")]
+            if len(self.keys) + len(new) > MAX_COUNTED:
+                self.keys, self.counts = keys, counts
             else:
-                at = np.searchsorted(self.keys, unique[new])
-                self.keys, self.counts = np.insert(self.keys, at, unique[new]), np.insert(self.counts, at, out[new])
-        return out[back]
+                self.keys, self.counts = np.insert(self.keys, place[new], keys[new]), np.insert(self.counts, place[new], counts[new])
+        out[short] = counts[back]
+        if len(self.longer) > MAX_COUNTED:
+            self.longer.clear()
+        for i in np.flatnonzero(~short).tolist():
+            token = raw[begin[i] : begin[i] + size[i]]
+            n = self.longer.get(token)
+            if n is None:
+                n = self.emission.count(token)
+                if len(token) <= MEMO_BYTES:
+                    self.longer[token] = n
+            out[i] = n
+        return out
+
+
+#: Tokens of more bytes are counted anew each time.
+MEMO_BYTES = 64
 
 
 @functools.cache
@@ -190,7 +318,8 @@ def count_tokens(texts: list[str], path: str) -> np.ndarray:
             parts.append(piece)
             owner.append(i)
     for first, group in blocks(parts):
-        cp = code_points(" ".join([*group, ""]))
+        joined = " ".join([*group, ""])
+        cp = code_points(joined)
         classes = char_classes()[cp]
         begins = token_starts(classes)
         edges = np.flatnonzero(begins | (classes == SPACE))
@@ -199,7 +328,7 @@ def count_tokens(texts: list[str], path: str) -> np.ndarray:
         if len(start):
             offsets = np.cumsum([len(t) + 1 for t in group])
             inside = np.searchsorted(offsets, start, side="right")
-            sums = np.bincount(inside, weights=table.emitted(cp, start, end), minlength=len(group)).astype(np.int64)
+            sums = np.bincount(inside, weights=table.emitted(joined, cp, start, end), minlength=len(group)).astype(np.int64)
             np.add.at(out, np.array(owner[first : first + len(group)]), sums)
     return out
 

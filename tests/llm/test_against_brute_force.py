@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tessella.llm import embed_join, exact_dedup, graph, minhash, mixing, packing, quality, queries, suffix_dedup, token_counts, toxicity, warc, zipdir
+from tessella.llm import embed_join, exact_dedup, graph, minhash, mixing, packing, quality, queries, suffix_dedup, textvec, token_counts, toxicity, warc, zipdir
 from tessella.llm.common import table
 
 
@@ -310,6 +310,36 @@ def test_mixture_over_many_slots(spark):
         assert np.abs(np.cumsum(rows["source"] == s) - np.arange(1, len(rows) + 1) * w)[:29_000].max() < 1
 
 
+def test_many_sources(spark):
+    """Sources beyond any number that could have a schedule of their own; each row has a place, every prefix its shares."""
+    docs = spark.range(1_200).selectExpr("id AS doc_id", "CAST(id % 300 AS string) AS source", "'t' AS text")
+    rows = mixing.mix(docs, block_docs=1).toPandas().sort_values("slot")
+    assert rows["slot"].tolist() == list(range(1_200))
+    for n in range(1, 1_200, 97):
+        served = rows["source"][:n].value_counts().reindex(rows["source"].unique(), fill_value=0)
+        assert (abs(served - n / 300) < 1).all()
+
+
+def test_large_inputs_have_larger_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 10)
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 2)
+    docs = spark.range(1_000).selectExpr("id AS doc_id", "CAST(id % 3 AS string) AS source", "'t' AS text")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 1_000 and max(r.slot for r in rows) < 13 and max(r.in_block for r in rows) == 99
+
+
+def test_mixed_order_is_the_mixture(spark):
+    """Partition after partition the rows come in the order of mix, with whole rows, odd columns and repeated ids."""
+    docs = spark.range(3_000).selectExpr("id AS doc_id", "IF(id % 3 = 0, 'a', IF(id % 7 = 0, null, CAST(id % 5 AS string))) AS source", "repeat('t', CAST(id % 50 AS int)) AS text", "id AS `_mix_h`", "id AS slots", "id AS `a.b`")
+    got = mixing.mixed_order(docs, block_docs=4).collect()
+    assert [r.doc_id for r in got] == [r.doc_id for r in mixing.mix(docs, block_docs=4).orderBy("slot", "in_block").collect()]
+    assert all(r["_mix_h"] == r.slots == r["a.b"] == r.doc_id for r in got) and len(got[0]) == 6
+    twice = docs.unionByName(docs.where("doc_id < 100")).unionByName(docs.where("doc_id < 40"))
+    got = mixing.mixed_order(twice, block_docs=4)
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, twice.collect()))
+    assert mixing.mixed_order(docs.limit(0)).collect() == [] == mixing.mix(docs.limit(0)).collect()
+
+
 def test_mixture_of_documents(spark, data_dir):
     weights = {f"src{i}": 1.0 + i for i in range(20)}
     rows = mixing.mix(table(spark, data_dir, "documents"), weights, block_docs=2).collect()
@@ -325,6 +355,44 @@ def test_mixture_of_documents(spark, data_dir):
         assert all(abs(served[x] - n * share[x]) < 1.1 for x in share)  # units of 1/1000 are not quite the weights
 
 
+def turned(pair, n):
+    """A word of two letters in Thue-Morse order, of n letters."""
+    word = pair[0]
+    while len(word) < n:
+        word += word.translate(str.maketrans(pair, pair[::-1]))
+    return word
+
+
+def test_counts_of_words_that_polynomials_confuse():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    bpe = Tokenizer.from_file(path)
+    some = [f"{turned(p, n)} {turned(p[::-1], n)}" for n in (1_024, 2_048) for p in ("ac", "xy", "th", "én", "日本")]
+    rng = random.Random(5)
+    some += ["".join(chr(rng.choice([rng.randint(0, 0x2FF), rng.randint(0x4E00, 0x9FFF), rng.randint(0x1F300, 0x1F6FF), 32])) for _ in range(rng.randint(0, 200))) for _ in range(1_000)]
+    some += ["".join(rng.choice("ab\0é日\U0001f600'!. \t") for _ in range(rng.randint(0, 300))) for _ in range(500)]
+    some += ["a" * n for n in range(200)]
+    assert token_counts.count_tokens(some, path).tolist() == [len(x.ids) for x in bpe.encode_batch_fast(some, add_special_tokens=False)]
+
+
+def test_full_tables_of_counts_start_anew(monkeypatch):
+    monkeypatch.setattr(token_counts, "MAX_STATES", 50)
+    monkeypatch.setattr(token_counts, "MAX_COUNTED", 20)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(9)
+    some = [" ".join("".join(rng.choice("etaoinsh") for _ in range(rng.randint(1, 14))) for _ in range(40)) for _ in range(20)]
+    compiled = token_counts.Compiled(path)
+    monkeypatch.setattr(token_counts, "compiled", lambda _: compiled)
+    want = [len(x.ids) for x in Tokenizer.from_file(path).encode_batch_fast(some, add_special_tokens=False)]
+    assert [int(token_counts.count_tokens([t], path)[0]) for t in some] == want
+
+
+def test_word_hashes_tell_words_apart():
+    words = [turned(p, n) for n in (8, 16, 32, 64, 1_024) for p in ("ac", "ca", "én", "né")] + ["a" * n for n in range(1, 40)]
+    text = " ".join(words)
+    hashes, _ = textvec.words([text])
+    assert len(set(hashes.tolist())) == len(set(words)) and (textvec.words([f"x {text}"])[0][1:] == hashes).all()
+
+
 @pytest.mark.parametrize("lane", [3, 256])
 def test_counts_equal_the_library(monkeypatch, lane):
     monkeypatch.setattr(token_counts, "LANE", lane)
