@@ -52,8 +52,9 @@ def chunk_target(c: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences with their end marks, stripped: a mark class of their own ends CJK ones, white space after .!? Latin ones, newlines any."""
-    marked = F.regexp_replace(c, f"([。！？]+|[.!?](?=[{WS}]|$)|\\n+)", "$1\u0001")
-    return F.filter(F.transform(F.split(marked, "\u0001"), strip), lambda x: x != "")
+    # A split keeps what stands between its matches, so each match is nothing but the place behind an end mark.
+    places = f"(?<=[。！？])(?![。！？])|(?<=[.!?])(?=[{WS}]|$)|\\n+"
+    return F.filter(F.transform(F.split(c, places), strip), lambda x: x != "")
 
 
 def split_long(c: Column, target: Column) -> Column:

@@ -25,8 +25,7 @@ def span_label(locations: Column) -> Column:
     return F.when(F.size(named) == 0, "").when(first == last, first).otherwise(F.concat(first, F.lit(" – "), last))
 
 
-_UNIT = "array<struct<location:string,sentence:string,kind:string>>"
-_OUT = "array<struct<location:string,text:string>>"
+_CUTS = "array<struct<first:int,last:int>>"
 
 
 def chunk_array(sections: Column, target: Column | None = None, overlap: int = 1) -> Column:
@@ -45,32 +44,45 @@ def chunk_array(sections: Column, target: Column | None = None, overlap: int = 1
 
 
 def _pack(units: Column, size: Column, overlap: int) -> Column:
-    start = F.struct(F.array().cast(_OUT).alias("out"), F.array().cast(_UNIT).alias("cur"))
+    """Chunks of units: a fold over the sentences' lengths finds the cuts, and each chunk is then put together once.
 
-    def body(cur: Column) -> Column:
-        return F.struct(span_label(F.transform(cur, lambda u: u.location)).alias("location"), F.array_join(F.transform(cur, lambda u: u.sentence), " ").alias("text"))
+    A cut (first, last) is a run of units; one with last = -1 is the over-long unit `first`.
+    """
+    marks = F.transform(units, lambda u, i: F.struct(i.cast("int").alias("at"), F.length(u.sentence).alias("n"), u.kind.alias("kind")))
+    return X.let(F.struct(units.alias("units"), marks.alias("marks"), size.alias("size")), lambda p: _joined(p.units, _cuts(p.marks, p.size, overlap), p.size))
 
-    def flushed(acc: Column) -> Column:
-        return F.when(F.size(acc.cur) > 0, F.concat(acc.out, F.array(body(acc.cur)))).otherwise(acc.out)
 
-    def length(cur: Column) -> Column:
-        return F.aggregate(cur, F.lit(0), lambda n, u: n + F.length(u.sentence) + 1)
+def _cuts(marks: Column, size: Column, overlap: int) -> Column:
+    zero = F.lit(0)
+    # The open chunk is units first..at - 1, of `used` characters with a space after each; none is open at first = at.
+    start = F.struct(F.array().cast(_CUTS).alias("cuts"), zero.alias("first"), zero.alias("used"), F.lit("").alias("kind"))
+    pair = lambda first, last: F.array(F.struct(first.cast("int").alias("first"), last.cast("int").alias("last")))
 
     def step(acc: Column, u: Column) -> Column:
-        none = F.array().cast(_UNIT)
-        long = F.length(u.sentence) > size
-        other = (F.size(acc.cur) > 0) & (F.element_at(acc.cur, -1).kind != u.kind)
-        room = length(acc.cur) + F.length(u.sentence) + 1 <= size
-        carry = F.slice(acc.cur, F.greatest(F.lit(1), F.size(acc.cur) - (overlap - 1)), F.lit(max(overlap, 0)))
-        carry = F.when(length(carry) + F.length(u.sentence) + 1 <= size, carry).otherwise(none)
-        pieces = F.transform(X.split_long(u.sentence, size), lambda p: F.struct(u.location.alias("location"), p.alias("text")))
-        go_on = ~long & ~other & ((F.size(acc.cur) == 0) | room)
-        out = F.when(go_on, acc.out).when(long, F.concat(flushed(acc), pieces)).otherwise(flushed(acc))
-        base = F.when(go_on, acc.cur).when(other, none).otherwise(carry)
-        return F.struct(out.alias("out"), F.when(long, none).otherwise(F.concat(base, F.array(u))).alias("cur"))
-
-    folded = F.aggregate(units, start, step, flushed)
-    return F.filter(folded, lambda c: c.text != "")
+        some = acc.first < u.at
+        more = u.n + 1
+        goes_on = (u.n <= size) & (~some | ((acc.kind == u.kind) & (acc.used + more <= size)))
+        closed = F.when(some, F.concat(acc.cuts, pair(acc.first, u.at - 1))).otherwise(acc.cuts)
+        back = F.greatest(acc.first, u.at - overlap)
+        carried = F.aggregate(F.slice(marks, back + 1, u.at - back), zero, lambda n, m: n + m.n + 1) if overlap > 0 else zero
+        keeps = (acc.kind == u.kind) & (carried + more <= size)
+        struct = lambda cuts, first, used: F.struct(cuts.alias("cuts"), first.cast("int").alias("first"), used.cast("int").alias("used"), u.kind.alias("kind"))
+        opened = X.let(F.struct(closed.alias("cuts"), keeps.alias("keeps"), carried.alias("carried")), lambda o: struct(o.cuts, F.when(o.keeps, back).otherwise(u.at), F.when(o.keeps, o.carried).otherwise(zero) + more))
+        return F.when(goes_on, struct(acc.cuts, acc.first, acc.used + more)).when(u.n > size, struct(F.concat(closed, pair(u.at, F.lit(-1))), u.at + 1, zero)).otherwise(opened)
+
+    end = F.size(marks)
+    return F.aggregate(marks, start, step, lambda acc: F.when(acc.first < end, F.concat(acc.cuts, pair(acc.first, end - 1))).otherwise(acc.cuts))
+
+
+def _joined(units: Column, cuts: Column, size: Column) -> Column:
+    def long(u: Column) -> Column:
+        return F.transform(X.split_long(u.sentence, size), lambda p: F.struct(u.location.alias("location"), p.alias("text")))
+
+    def run(part: Column) -> Column:
+        return F.array(F.struct(span_label(F.transform(part, lambda u: u.location)).alias("location"), F.array_join(F.transform(part, lambda u: u.sentence), " ").alias("text")))
+
+    made = F.transform(cuts, lambda c: F.when(c.last < 0, long(F.get(units, c.first))).otherwise(run(F.slice(units, c.first + 1, c.last - c.first + 1))))
+    return F.filter(F.flatten(made), lambda c: c.text != "")
 
 
 def chunk_text(text: Column, target: Column | None = None, overlap: int = 1) -> Column:

@@ -36,6 +36,22 @@ def hash_entries(rows: DataFrame, key: str, text: str, *carry: str) -> DataFrame
     return sums.withColumn("weight", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy(key)))).drop("x")
 
 
+def sparse(entries: DataFrame, *by: str) -> DataFrame:
+    """One row a vector: its key columns and `entries`, an array of (bucket, weight) in order of buckets."""
+    return entries.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bucket", "weight"))).alias("entries"))
+
+
+def dense(entries: Column) -> Column:
+    """The DIMENSIONS weights of a sparse vector's entries."""
+    found = F.map_from_entries(entries)
+    return F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda i: F.coalesce(F.try_element_at(found, i), F.lit(0.0)))
+
+
+def sparse_dot(entries: Column, weights: Column) -> Column:
+    """Dot product of a sparse vector's entries with a dense one."""
+    return F.aggregate(entries, F.lit(0.0), lambda total, e: total + e.weight * F.get(weights, e.bucket))
+
+
 def hash_sql(table: str, key: str, text: str, carry: str = "") -> str:
     """WITH clause that ends in hashed_<table>."""
     return f"WITH {hash_ctes(table, key, text, carry)}"

@@ -39,11 +39,13 @@ def run_metrics(results: DataFrame, by: str = "run_id", threshold: float = 0.25)
     n, scored = F.count(F.lit(1)), F.count_if(F.col("status").isin("hit", "miss"))
     share = lambda top, of: F.when(of > 0, top / of).otherwise(0.0)
     hits = F.count_if(F.col("status") == "hit")
-    rr = F.coalesce(F.sum(F.when((F.col("status") == "hit") & (F.col("hit_rank") > 0), 1 / F.col("hit_rank"))), F.lit(0.0))
+    # Decimals add up to the same sum in any order, so rounded results don't hang on how rows were dealt.
+    total = lambda c: F.sum(c.cast("decimal(28,9)")).cast("double")
+    rr = F.coalesce(total(F.when((F.col("status") == "hit") & (F.col("hit_rank") > 0), 1 / F.col("hit_rank"))), F.lit(0.0))
     score = F.coalesce("top_score", F.lit(0.0))
     return results.groupBy(by).agg(
         n.alias("total"), scored.alias("scored"), hits.alias("hits"), F.count_if(F.col("status") == "miss").alias("misses"), F.count_if(F.col("status") == "unscored").alias("unscored"), F.count_if(F.col("status") == "error").alias("errors"),
-        F.round(share(hits, scored), 4).alias("recall_at_k"), F.round(share(rr, scored), 4).alias("mrr"), F.round(F.avg(F.coalesce("latency_ms", F.lit(0.0))), 1).alias("avg_latency_ms"), F.round(F.avg(score), 4).alias("avg_top_score"), F.round(share(F.count_if(score < threshold), n), 4).alias("low_confidence_rate"),
+        F.round(share(hits, scored), 4).alias("recall_at_k"), F.round(share(rr, scored), 4).alias("mrr"), F.round(total(F.coalesce("latency_ms", F.lit(0.0))) / n, 1).alias("avg_latency_ms"), F.round(total(score) / n, 4).alias("avg_top_score"), F.round(share(F.count_if(score < threshold), n), 4).alias("low_confidence_rate"),
     )
 
 

@@ -59,20 +59,30 @@ def scan(rows: DataFrame, key: str, text: str, event_type: str, surface: str) ->
     return rows.select(key, F.explode(findings(F.col(text), event_type, surface)).alias("f")).select(key, "f.*")
 
 
-def usage_int(usage: Column, field: str) -> Column:
-    """The first usable count of a JSON usage object: by its own keys, then by those of nested objects."""
-    keys = [f"$.{k}" for k in USAGE_KEYS[field]] + [f"$.{n}.{k}" for n in NESTED for k in USAGE_KEYS[field]]
-    return F.coalesce(*(X.optional_int(F.get_json_object(usage, k)) for k in keys))
+def usage_objects(usage: Column) -> Column:
+    """array<map<string,string>>: a JSON usage object and the objects nested in it, each parsed once."""
+    entries = lambda c: F.from_json(c, "map<string,string>")
+    return X.let(entries(usage), lambda m: F.array(m, *(entries(F.try_element_at(m, F.lit(n))) for n in NESTED)))
+
+
+def usage_int(objects: Column, field: str) -> Column:
+    """The first usable count of a field: under the object's own keys, then under those of nested objects."""
+    every = F.flatten(F.transform(objects, lambda m: F.transform(F.array(*map(F.lit, USAGE_KEYS[field])), lambda k: X.optional_int(F.try_element_at(m, k)))))
+    return F.get(F.filter(every, lambda n: n.isNotNull()), F.lit(0))
 
 
 def normalise_usage(usage: Column, input_chars: Column, output_chars: Column) -> Column:
     """struct of tokens, characters and is_estimated: estimated only if the provider gave nothing usable."""
-    got = [usage_int(usage, f) for f in USAGE_KEYS]
     chars = [F.greatest(F.coalesce(c, F.lit(0)), F.lit(0)).cast("long") for c in (input_chars, output_chars)]
-    prompt = F.coalesce(got[0], X.estimate_tokens(chars[0]))
-    completion = F.coalesce(got[1], X.estimate_tokens(chars[1]))
-    none = F.coalesce(*got).isNull()
-    return F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), F.coalesce(got[2], prompt + completion).alias("total_tokens"), chars[0].alias("input_chars"), chars[1].alias("output_chars"), none.cast("int").alias("is_estimated"))
+    found = X.let(usage_objects(usage), lambda objects: F.struct(*(usage_int(objects, f).alias(f) for f in USAGE_KEYS)))
+
+    def result(got: Column) -> Column:
+        prompt = F.coalesce(got.prompt_tokens, X.estimate_tokens(chars[0]))
+        completion = F.coalesce(got.completion_tokens, X.estimate_tokens(chars[1]))
+        none = F.coalesce(got.prompt_tokens, got.completion_tokens, got.total_tokens).isNull()
+        return F.struct(prompt.alias("prompt_tokens"), completion.alias("completion_tokens"), F.coalesce(got.total_tokens, prompt + completion).alias("total_tokens"), chars[0].alias("input_chars"), chars[1].alias("output_chars"), none.cast("int").alias("is_estimated"))
+
+    return X.let(found, result)
 
 
 def is_sensitive(key: Column) -> Column:

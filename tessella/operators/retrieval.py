@@ -6,13 +6,16 @@ text). Both arms join on the tenant, so a question only ever meets its tenant's
 
 from __future__ import annotations
 
+import functools
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import store
 from ..functions import text as X
+from . import embedding
 
 
 @dataclass(frozen=True)
@@ -67,15 +70,23 @@ def top(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFram
     return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= k)
 
 
-def vector_arm(entries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+def asked_vectors(asked: DataFrame) -> DataFrame:
+    """(question_id, user_id, asked_vectors): the dense vectors of a question's few variants, from rows of entries."""
+    each = embedding.sparse(asked, "question_id", "variant", "user_id").withColumn("weights", embedding.dense(F.col("entries")))
+    return each.groupBy("question_id", "user_id").agg(F.collect_list(F.struct("variant", "weights")).alias("asked_vectors"))
+
+
+def vector_arm(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """(question_id, id, vector_score): per query variant the k nearest of the tenant, then each chunk's best.
 
-    entries: (id, user_id, bucket, weight); asked: (question_id, variant, user_id, bucket, weight). Sparse vectors
-    make the search an equi-join on (tenant, bucket) with partial sums.
+    vectors: (id, user_id, entries); asked: (question_id, variant, user_id, bucket, weight). The questions come to the
+    vectors where these lie, if they are counted small; each pair of a tenant is scored once, and only the first k of
+    a task's pairs leave it. Chunks that share no bucket with a question have no row, like ones without vectors.
     """
-    e, q = entries.select("id", "user_id", "bucket", F.col("weight").alias("w")), asked.select("question_id", "variant", "user_id", "bucket", "weight")
-    dots = e.join(q, ["user_id", "bucket"]).groupBy("question_id", "variant", "id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("dot"))
-    scored = dots.select("question_id", "variant", "id", F.greatest(F.lit(0.0), "dot").alias("vector_score"))
+    q = store.small_enough(asked_vectors(asked), 5 * 8 * embedding.DIMENSIONS)
+    pairs = vectors.join(q, "user_id").select("question_id", "id", "entries", F.explode("asked_vectors").alias("v"))
+    scored = pairs.select("question_id", F.col("v.variant").alias("variant"), "id", F.round(embedding.sparse_dot(F.col("entries"), F.col("v.weights")), 6).alias("dot"), F.exists("entries", lambda e: F.get(F.col("v.weights"), e.bucket) != 0).alias("met"))
+    scored = scored.where("met").select("question_id", "variant", "id", F.greatest(F.lit(0.0), "dot").alias("vector_score"))
     near = top(scored, ["question_id", "variant"], [F.desc("vector_score"), F.asc("id")], k)
     return near.groupBy("question_id", "id").agg(F.max("vector_score").alias("vector_score"))
 
@@ -92,6 +103,7 @@ def like_any(text: Column, low: Column, tokens: Column) -> Column:
 def lexical_arm(chunks: DataFrame, questions: DataFrame, k: int, source_ids: str | None = None) -> DataFrame:
     """(question_id, id, keyword_score): the newest 4 k chunks with any of the first tokens, then the best k of them."""
     q = questions.select("question_id", "user_id", "queries", first_tokens(F.col("queries")).alias("tokens"), F.transform("queries", lambda x: F.struct(X.search_tokens(x).alias("tokens"), F.lower(x).alias("low"))).alias("asked"))
+    q = store.small_enough(q, 2_000)
     found = chunks.select("id", "user_id", "source_id", "text", F.lower("text").alias("low")).join(q, "user_id").where(like_any(F.col("text"), F.col("low"), F.col("tokens")))
     newest = top(found, ["question_id"], [F.desc("id")], 4 * k)
     scored = newest.withColumn("keyword_score", X.let(X.search_tokens(F.col("text")), lambda have: X.keyword_score_of(F.col("asked"), have, F.col("low"))))
@@ -147,28 +159,46 @@ def rerank(ranked: DataFrame, scores: DataFrame | None, params: RetrievalParams
     return best.where("score > 0").withColumnRenamed("_rank", "rank")
 
 
-def degraded_scan(chunks: DataFrame, entries: DataFrame, asked: DataFrame, questions: DataFrame, params: RetrievalParams = RetrievalParams()) -> DataFrame:
+def degraded_scan(chunks: DataFrame, vectors: DataFrame, asked: DataFrame, questions: DataFrame, params: RetrievalParams = RetrievalParams()) -> DataFrame:
     """Without an index: score the tenant's newest chunks exactly; the vector score is kept as it is, also below 0."""
     newest = top(chunks, ["user_id"], [F.desc("id")], params.fallback_scan_limit).drop("_rank")
-    dots = entries.join(newest.select("id"), "id", "left_semi").select("id", "user_id", "bucket", F.col("weight").alias("w")).join(asked, ["user_id", "bucket"]).groupBy("question_id", "variant", "id").agg(F.round(F.sum(F.col("w") * F.col("weight")), 6).alias("dot"))
-    best = dots.groupBy("question_id", "id").agg(F.max("dot").alias("vector_score"))
-    full = newest.join(questions.select("question_id", "user_id", "queries"), "user_id").join(best, ["question_id", "id"], "left")
-    full = full.withColumn("vector_score", F.coalesce("vector_score", F.lit(0.0))).withColumn("keyword_score", X.keyword_score(F.col("queries"), F.col("text"))).drop("queries")
+    # Tokens are found once a chunk, below the join that makes a row for each question of its tenant.
+    full = newest.join(vectors.select("id", "entries"), "id", "left").select("*", X.search_tokens(F.col("text")).alias("have"), F.lower("text").alias("low"))
+    asked_words = F.transform("queries", lambda x: F.struct(X.search_tokens(x).alias("tokens"), F.lower(x).alias("low")))
+    q = questions.select("question_id", "user_id", asked_words.alias("asked")).join(asked_vectors(asked).drop("user_id"), "question_id", "left")
+    pairs = full.join(store.small_enough(q, 5 * 8 * embedding.DIMENSIONS + 2_000), "user_id")
+    each = F.transform("asked_vectors", lambda v: F.round(embedding.sparse_dot(F.col("entries"), v.weights), 6))
+    pairs = pairs.withColumn("vector_score", F.coalesce(F.array_max(each), F.lit(0.0))).withColumn("keyword_score", X.keyword_score_of(F.col("asked"), F.col("have"), F.col("low")))
     score = F.round(params.vector_weight * F.greatest(F.lit(0.0), "vector_score") + params.keyword_weight * F.col("keyword_score"), 9)
-    return full.withColumn("score", score).where("score > 0")
+    return pairs.drop("entries", "have", "low", "asked", "asked_vectors").withColumn("score", score).where("score > 0")
 
 
-def retrieve(chunks: DataFrame, entries: DataFrame, asked: DataFrame, questions: DataFrame, scores: DataFrame | None = None, params: RetrievalParams = RetrievalParams()) -> DataFrame:
+def retrieve(chunks: DataFrame, vectors: DataFrame, asked: DataFrame, questions: DataFrame, scores: DataFrame | None = None, params: RetrievalParams = RetrievalParams()) -> DataFrame:
     """The whole pipeline: arms, blend, diversification, rerank."""
     k = params.candidate_pool_size
-    found = blend(vector_arm(entries, asked, k), lexical_arm(chunks, questions, k), chunks, questions, params)
+    found = blend(vector_arm(vectors, asked, k), lexical_arm(chunks, questions, k), chunks, questions, params)
     return rerank(diversify(found, k), scores, params)
 
 
-def dense_topk(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, id, rank, score) of the k largest dot products; queries (query_id, q) are a stated set and come to all rows."""
+#: Query vectors that come to the index at once.
+QUERY_BLOCK = 4_096
+
+
+def dense_scores(index: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(columns of queries but q, id, score) of every query (query_id, q, ...), a stated set, against every row.
+
+    The queries come in blocks of about QUERY_BLOCK, so that what is broadcast is bounded however many there are.
+    """
     a = index.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    scored = a.crossJoin(F.broadcast(queries)).select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else queries for b in range(blocks)]
+    scored = [a.crossJoin(F.broadcast(p)).select(*(c for c in queries.columns if c != "q"), "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")) for p in parts]
+    return functools.reduce(DataFrame.unionByName, scored)
+
+
+def dense_topk(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, id, rank, score) of the k largest dot products; the first k of each task alone are shuffled."""
+    scored = dense_scores(index, queries, id_col, vector_col).select("query_id", "id", "score")
     return top(scored, ["query_id"], [F.desc("score"), F.asc("id")], k).withColumnRenamed("_rank", "rank")
 
 

@@ -52,8 +52,8 @@ def result_status(spark, sf_dir):
 _METRICS = """count(*) AS total, count(CASE WHEN status IN ('hit', 'miss') THEN 1 END) AS scored, count(CASE WHEN status = 'hit' THEN 1 END) AS hits, count(CASE WHEN status = 'miss' THEN 1 END) AS misses,
  count(CASE WHEN status = 'unscored' THEN 1 END) AS unscored, count(CASE WHEN status = 'error' THEN 1 END) AS errors,
  round(count(CASE WHEN status = 'hit' THEN 1 END) / greatest(1, count(CASE WHEN status IN ('hit', 'miss') THEN 1 END))::DOUBLE, 4) AS recall_at_k,
- round(coalesce(sum(CASE WHEN status = 'hit' THEN 1.0::DOUBLE / hit_rank END), 0) / greatest(1, count(CASE WHEN status IN ('hit', 'miss') THEN 1 END)), 4) AS mrr,
- round(avg(latency_ms), 1) AS avg_latency_ms, round(avg(coalesce(top_score, 0.0)), 4) AS avg_top_score, round(count(CASE WHEN coalesce(top_score, 0.0) < 0.25 THEN 1 END) / count(*)::DOUBLE, 4) AS low_confidence_rate"""
+ round(coalesce(sum(CASE WHEN status = 'hit' THEN (1.0::DOUBLE / hit_rank)::DECIMAL(28,9) END)::DOUBLE, 0) / greatest(1, count(CASE WHEN status IN ('hit', 'miss') THEN 1 END)), 4) AS mrr,
+ round(sum(coalesce(latency_ms, 0.0)::DECIMAL(28,9))::DOUBLE / count(*), 1) AS avg_latency_ms, round(sum(coalesce(top_score, 0.0)::DECIMAL(28,9))::DOUBLE / count(*), 4) AS avg_top_score, round(count(CASE WHEN coalesce(top_score, 0.0) < 0.25 THEN 1 END) / count(*)::DOUBLE, 4) AS low_confidence_rate"""
 
 
 @PLANS.add(f"WITH {_RUNS} SELECT run_id, {_METRICS} FROM results GROUP BY run_id")
@@ -137,14 +137,14 @@ def round_robin_sampling(spark, sf_dir):
 
 
 @PLANS.add(f"""WITH {DIVERSE}, h AS (SELECT question_id, min(position) AS rank FROM diverse JOIN questions USING (question_id, question) WHERE position <= 5 AND contains(text, evidence) GROUP BY question_id)
- SELECT count(*) AS questions, count(rank) AS hits, round(count(rank) / count(*)::DOUBLE, 4) AS recall_at_5, round(sum(coalesce(1.0::DOUBLE / rank, 0)) / count(*), 4) AS mrr FROM questions LEFT JOIN h USING (question_id)""")
+ SELECT count(*) AS questions, count(rank) AS hits, round(count(rank) / count(*)::DOUBLE, 4) AS recall_at_5, round(sum(coalesce(1.0::DOUBLE / rank, 0)::DECIMAL(28,9))::DOUBLE / count(*), 4) AS mrr FROM questions LEFT JOIN h USING (question_id)""")
 def offline_recall_mrr(spark, sf_dir):
     """V-14, S-14: hits and reciprocal ranks over all questions"""
     found, q = diverse_rows(spark, sf_dir)
     hit = found.where("position <= 5").join(q.select("question_id", "evidence"), "question_id").where(F.contains("text", F.col("evidence")))
     h = hit.groupBy("question_id").agg(F.min("position").alias("rank"))
     n = F.count(F.lit(1))
-    return q.join(h, "question_id", "left").agg(n.alias("questions"), F.count("rank").alias("hits"), F.round(F.count("rank") / n, 4).alias("recall_at_5"), F.round(F.sum(F.coalesce(1 / F.col("rank"), F.lit(0.0))) / n, 4).alias("mrr"))
+    return q.join(h, "question_id", "left").agg(n.alias("questions"), F.count("rank").alias("hits"), F.round(F.count("rank") / n, 4).alias("recall_at_5"), F.round(F.sum(F.coalesce(1 / F.col("rank"), F.lit(0.0)).cast("decimal(28,9)")).cast("double") / n, 4).alias("mrr"))
 
 
 @PLANS.add("""WITH c AS (SELECT doc_id, substring(text, 5, 40) AS a, 'not in the text' AS b, substring(text, 1, 10) AS d, text FROM documents), s AS (SELECT doc_id, text, list_filter([a, b, d, a], lambda x: contains(text, x) AND trim(x) <> '') AS g FROM c),

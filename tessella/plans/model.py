@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import chunking
+from .. import store
 from ..functions import text as X
+from ..operators import chunking, embedding
 from . import sql
 
 BASE = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -31,8 +32,26 @@ SOURCES = f"""sources AS (SELECT doc_id AS source_id, substr(source, 4)::BIGINT
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = chunking.chunk_sources(sources(spark, sf_dir))
-    return made.withColumn("id", F.col("source_id") * 1_000_000 + F.col("chunk_index"))
+    """All chunks; a session makes them once for each state of the documents, and plans read the columns they need."""
+
+    def make() -> DataFrame:
+        return chunking.chunk_sources(store.spread(sources(spark, sf_dir))).withColumn("id", F.col("source_id") * 1_000_000 + F.col("chunk_index"))
+
+    return store.kept(spark, f"chunks of {sf_dir} {store.state_of(spark, f'{sf_dir}/documents.parquet')}", make)
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, user_id, entries) of all indexed chunks, made once like these."""
+
+    def make() -> DataFrame:
+        live = chunks(spark, sf_dir).where("status = 'indexed'").select("id", "user_id", "text")
+        return embedding.sparse(embedding.hash_entries(live, "id", "text", "user_id"), "id", "user_id")
+
+    return store.kept(spark, f"vectors of {sf_dir} {store.state_of(spark, f'{sf_dir}/documents.parquet')}", make)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store.spread(read(spark, sf_dir, "documents"))
 
 
 CHUNKS = f"""{SOURCES},

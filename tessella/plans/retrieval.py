@@ -45,14 +45,13 @@ def _tables(spark, sf_dir):
     chunks = model.chunks(spark, sf_dir).where("status = 'indexed'")
     q = model.questions(spark, sf_dir).withColumn("queries", R.query_set(F.col("question")))
     variants = q.select("question_id", "user_id", F.posexplode("queries").alias("variant", "query")).withColumn("key", F.col("question_id") * 8 + F.col("variant"))
-    entries = embedding.hash_entries(chunks, "id", "text", "user_id")
     asked = embedding.hash_entries(variants, "key", "query", "question_id", "variant", "user_id").drop("key")
-    return chunks, entries, asked, q
+    return chunks, model.vectors(spark, sf_dir), asked, q
 
 
 def _blended(spark, sf_dir):
-    chunks, entries, asked, q = _tables(spark, sf_dir)
-    return R.blend(R.vector_arm(entries, asked, 20), R.lexical_arm(chunks, q, 20), chunks, q), q
+    chunks, vectors, asked, q = _tables(spark, sf_dir)
+    return R.blend(R.vector_arm(vectors, asked, 20), R.lexical_arm(chunks, q, 20), chunks, q), q
 
 
 def _diverse(spark, sf_dir):
@@ -66,8 +65,8 @@ _K9 = "round(keyword_score, 9) AS keyword_score"
 @PLANS.add(f"WITH {_DIVERSE} SELECT question_id, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, position)::INT AS rank, id, source_id, filename, score, vector_score, {_K9} FROM diverse QUALIFY rank <= 6")
 def hybrid_retrieve_topk(spark, sf_dir):
     """R-01, R-04, R-06..R-10, R-13, R-20"""
-    chunks, entries, asked, q = _tables(spark, sf_dir)
-    got = R.retrieve(chunks, entries, asked, q)
+    chunks, vectors, asked, q = _tables(spark, sf_dir)
+    got = R.retrieve(chunks, vectors, asked, q)
     return got.select("question_id", "rank", "id", "source_id", "filename", "score", "vector_score", F.round("keyword_score", 9).alias("keyword_score"))
 
 
@@ -164,9 +163,8 @@ def dot_product(spark, sf_dir):
 @PLANS.add(f"SELECT q.label AS query_group, e.vec_id AS id, max(greatest(0.0, {_TOPK})) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0 GROUP BY ALL")
 def multi_query_max(spark, sf_dir):
     """A-07: a chunk's best score over the variants of one question (here the queries of one label)"""
-    e = model.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
-    both = e.crossJoin(F.broadcast(_queries(spark, sf_dir)))
-    return both.groupBy(F.col("query_label").alias("query_group"), "id").agg(F.max(F.greatest(F.lit(0.0), F.round(R.dot(F.col("v"), F.col("q")), 6))).alias("score"))
+    scored = R.dense_scores(model.read(spark, sf_dir, "embeddings"), _queries(spark, sf_dir))
+    return scored.groupBy(F.col("query_label").alias("query_group"), "id").agg(F.max(F.greatest(F.lit(0.0), "score")).alias("score"))
 
 
 @PLANS.add(f"""WITH r AS (SELECT item_id, string_split(text, ' ')[1:4] AS w FROM benchmark), v AS (SELECT item_id, [array_to_string(w, ' '), '  ' || lower(array_to_string(w, '   ')) || ' ', '', w[1], w[2] || ' ' || w[1], w[1] || '  ', w[3], w[4]] AS qs FROM r),

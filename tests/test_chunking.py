@@ -73,3 +73,8 @@ def test_tokens(spark):
 def test_json_payload(spark):
     raw = ['```json\n[1]\n```', 'x {"a": [1]} y', "none", "[1, 2", "```\n{}\n```"]
     assert column(spark, raw, X.extract_json) == ["[1]", '{"a": [1]}', "none", "[1, 2", "{}"]
+
+
+def test_control_characters_end_no_sentence(spark):
+    df = spark.createDataFrame([("one\x01two. three",), ("a。！b",), ("x.\n\ny",)], "t string")
+    assert [r[0] for r in df.select(X.sentences(F.col("t"))).collect()] == [["one\x01two.", "three"], ["a。！", "b"], ["x.", "y"]]

@@ -24,7 +24,7 @@ def asked(spark, question="Alpha retrieval systems"):
 def arms(spark, q):
     chunks = chunk_rows(spark)
     variants = q.select("question_id", "user_id", F.posexplode("queries").alias("variant", "query")).withColumn("key", F.col("variant"))
-    return chunks, embedding.hash_entries(chunks, "id", "text", "user_id"), embedding.hash_entries(variants, "key", "query", "question_id", "variant", "user_id").drop("key")
+    return chunks, embedding.sparse(embedding.hash_entries(chunks, "id", "text", "user_id"), "id", "user_id"), embedding.hash_entries(variants, "key", "query", "question_id", "variant", "user_id").drop("key")
 
 
 def test_tenants_never_meet(spark):
