@@ -37,31 +37,6 @@ def captions(raw: Column) -> Column:
     return F.array_join(F.aggregate(lines, start, step, lambda a: a.out), "\n")
 
 
-def html_text(html: Column) -> Column:
-    """Visible text of well-formed HTML: no scripts, styles, comments nor hidden elements; text nodes on lines of their own."""
-    s = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1\s*>", "\n")
-    s = F.regexp_replace(s, r"(?s)<!--.*?-->", "\n")
-    s = F.regexp_replace(s, r"(?is)<([a-z][a-z0-9]*)\b[^>]*(?:\shidden\b|display\s*:\s*none)[^>]*>.*?</\1\s*>", "\n")
-    s = F.regexp_replace(s, r"(?s)<[^>]*>", "\n")
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        s = F.replace(s, F.lit(name), F.lit(char))
-    return F.array_join(X.split_lines(s), "\n")
-
-
-def html_sidecars(html: Column) -> Column:
-    """Meta description, then image, link and input texts, one a line."""
-    def found(pattern: str, label: str) -> Column:
-        hits = F.filter(F.transform(F.regexp_extract_all(html, F.lit(pattern), 1), X.collapse), lambda x: x != "")
-        return F.transform(hits, lambda x: F.concat(F.lit(label), x, F.lit("]" if label else "")))
-
-    visible = r'(?i)<input\b(?![^>]*type="(?:hidden|password|submit|button)")[^>]*\bvalue="([^"]*)"'
-    parts = [
-        found(r'(?i)<meta\b[^>]*name="description"[^>]*content="([^"]*)"', ""), found(r'(?i)<meta\b[^>]*property="og:description"[^>]*content="([^"]*)"', ""),
-        found(r'(?i)<img\b[^>]*\balt="([^"]*)"', "[image: "), found(r'(?i)<a\b[^>]*\btitle="([^"]*)"', "[link: "), found(visible, "[input: "),
-    ]
-    return F.array_join(F.concat(*parts), "\n")
-
-
 def render_table(rows: Column) -> Column:
     """array<array<string>> as lines of cells under a heading; rows without text drop out."""
     clean = F.filter(F.transform(rows, lambda r: F.transform(r, lambda c: X.collapse(F.coalesce(c, F.lit(""))))), lambda r: F.exists(r, lambda c: c != ""))

@@ -55,6 +55,25 @@ def validate_params(raw: dict) -> RetrievalParams:
     return RetrievalParams(**values)
 
 
+def resolved_params(override: Column, active: RetrievalParams = RetrievalParams()) -> Column:
+    """struct of the profile keys for a JSON override: null means the active profile, else defaults overlaid with its known keys."""
+    default = RetrievalParams()
+
+    def one(key: str) -> Column:
+        given = F.get_json_object(override, f"$.{key}").try_cast("double")
+        return F.when(override.isNull(), F.lit(float(getattr(active, key)))).otherwise(F.coalesce(given, F.lit(float(getattr(default, key))))).alias(key)
+
+    return F.struct(*map(one, PROFILE_KEYS))
+
+
+def params_valid(params: Column) -> Column:
+    """Whether a struct of the profile keys has positive counts and nothing negative."""
+    ok = F.lit(True)
+    for key in PROFILE_KEYS:
+        ok = ok & (params[key] >= (1.0 if key in _COUNTS else 0.0))
+    return ok
+
+
 def params_dict(params: RetrievalParams) -> dict:
     return {k: asdict(params)[k] for k in PROFILE_KEYS}
 

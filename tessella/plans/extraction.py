@@ -8,6 +8,7 @@ from ..functions import text as X
 from ..operators import chunking
 from ..operators import extraction as E
 from ..operators import retrieval as R
+from ..operators.markup import html_parts
 from . import model, sql
 from .registry import Plans
 
@@ -24,24 +25,27 @@ def _html_sql(e: str) -> str:
         s = f"regexp_replace({s}, '<{tag}\\b[^>]*>.*?</{tag}\\s*>', chr(10), 'gis')"
     s = f"regexp_replace({s}, '<!--.*?-->', chr(10), 'gs')"
     s = f"regexp_replace({s}, '<[^>]*>', chr(10), 'gs')"
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         s = f"replace({s}, '{name}', '{char}')"
     return s
 
 
-@PLANS.add(f"SELECT page_id, array_to_string({_lines(_html_sql('html'))}, chr(10)) AS text FROM pages")
-def html_visible_text(spark, sf_dir):
-    """T-02, S-05"""
-    return model.read(spark, sf_dir, "pages").select("page_id", E.html_text(F.col("html")).alias("text"))
+#: Hidden elements with others inside, a class that only sounds hidden, both kinds of quotes and orders of attributes.
+_DRESSED = """'<meta content="About ' || page_id || '" name=description><meta name="description" content="second"><div hidden><div>a</div>SECRET</div><p class="x hidden">shown ' || page_id || '</p><div STYLE="color: red; display : none"><b>no</b>no</div><template><p>no</p></template>'
+ || '<img src="a" alt=' || chr(39) || ' Chart  of ' || page_id || chr(39) || '><a title="Go" href="#">x</a><input value="v' || page_id || '" type="text"><input type=hidden value="no"><table><tr><td>1 &lt; 2</td><td>é&amp;</td></tr></table>' || html"""
+_SEEN = "'shown ' || page_id || chr(10) || 'x' || chr(10) || '1 < 2' || chr(10) || 'é&'"
 
 
-_DRESSED = """'<meta name="description" content="About ' || page_id || '"><img src="a" alt=" Chart  of ' || page_id || '"><a href="#" title="Go">x</a><input type="text" value="v' || page_id || '"><input type="hidden" value="no">' || html"""
+@PLANS.add(f"SELECT page_id, {_SEEN} || coalesce(chr(10) || nullif(array_to_string({_lines(_html_sql('html'))}, chr(10)), ''), '') AS text FROM pages")
+def html_visible_text(spark, sf_dir):
+    """T-02, S-05: hidden elements go with all that is in them, and nothing else does"""
+    return model.read(spark, sf_dir, "pages").select("page_id", html_parts(F.expr(_DRESSED)).text.alias("text"))
 
 
 @PLANS.add("SELECT page_id, 'About ' || page_id || chr(10) || '[image: Chart of ' || page_id || ']' || chr(10) || '[link: Go]' || chr(10) || '[input: v' || page_id || ']' AS sidecars FROM pages")
 def html_sidecars(spark, sf_dir):
-    """T-03"""
-    return model.read(spark, sf_dir, "pages").select("page_id", E.html_sidecars(F.expr(_DRESSED)).alias("sidecars"))
+    """T-03: the first description, then images, links and inputs that a reader sees; the pages have none of their own"""
+    return model.read(spark, sf_dir, "pages").select("page_id", html_parts(F.expr(_DRESSED)).sidecars.alias("sidecars"))
 
 
 _CAPTIONED = """'WEBVTT' || chr(10) || 'Kind: captions' || chr(10) || chr(10) || '1' || chr(10) || '00:01.000 --> 00:02.000' || chr(10) || '<v Ann>' || substring(text, 1, 40) || '</v>' || chr(10) || substring(text, 1, 40) || chr(10) || chr(10) || 'NOTE x' || chr(10) || 'hidden' || chr(10) || chr(10) || '2' || chr(10) || 'bye ' || turn"""

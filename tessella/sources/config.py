@@ -8,6 +8,9 @@ import os
 import tomllib
 from pathlib import Path
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Groups of settings and their defaults.
 DEFAULTS: dict[str, dict[str, float | int]] = {
     "retrieval": {"vector_weight": 0.7, "keyword_weight": 0.3, "rerank_model_weight": 0.8, "rerank_base_weight": 0.2, "low_confidence_threshold": 0.25, "candidate_pool_size": 20, "final_chunk_count": 6, "fallback_scan_limit": 2_000},
@@ -39,3 +42,10 @@ def fingerprint(settings: dict, secrets: tuple[str, ...] = ("api_key", "secret",
     """SHA-256 of the canonical JSON of settings without secrets."""
     kept = {k: v for k, v in settings.items() if not any(s in k.lower() for s in secrets)}
     return hashlib.sha256(json.dumps(kept, sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+
+
+def fingerprint_column(settings: Column, secrets: tuple[str, ...] = ("api_key", "secret", "password")) -> Column:
+    """fingerprint() of a map of strings as a column: its keys in order, without secrets."""
+    kept = F.filter(F.array_sort(F.map_entries(settings)), lambda e: ~F.exists(F.array(*map(F.lit, secrets)), lambda s: F.contains(F.lower(e.key), s)))
+    pairs = F.transform(kept, lambda e: F.concat(F.lit('"'), e.key, F.lit('": "'), e.value, F.lit('"')))
+    return F.sha2(F.concat(F.lit("{"), F.array_join(pairs, ", "), F.lit("}")), 256)

@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
-from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import extraction as E
+from ..operators.markup import visible
 
 SECTIONS = "array<struct<location:string,text:string>>"
 
@@ -23,59 +23,8 @@ def scan(spark: SparkSession, path: str) -> DataFrame:
     return files.where(E.is_supported(F.col("path")))
 
 
-class _Visible(HTMLParser):
-    """Text nodes outside hidden elements, and the texts of attributes that a reader would look for."""
-
-    SKIP = {"script", "style", "noscript", "template"}
-    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool]] = []
-        self.lines: list[str] = []
-        self.sides: dict[str, list[str]] = {k: [] for k in ("description", "og", "image", "link", "input")}
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        style = a.get("style", "").replace(" ", "").lower()
-        hidden = tag in self.SKIP or "hidden" in a or "display:none" in style or bool(self.stack and self.stack[-1][1])
-        if not hidden:
-            self._side(tag, a)
-        if tag not in self.VOID:
-            self.stack.append((tag, hidden))
-
-    def _side(self, tag, a):
-        def put(kind: str, value: str, shape: str = "{}") -> None:
-            if value := " ".join(value.split()):
-                self.sides[kind].append(shape.format(value))
-
-        if tag == "meta" and a.get("name", "").lower() == "description":
-            put("description", a.get("content", ""))
-        elif tag == "meta" and a.get("property", "").lower() == "og:description":
-            put("og", a.get("content", ""))
-        elif tag == "img":
-            put("image", a.get("alt", ""), "[image: {}]")
-        elif tag == "a":
-            put("link", a.get("title", ""), "[link: {}]")
-        elif tag == "input" and a.get("type", "").lower() not in ("hidden", "password", "submit", "button"):
-            put("input", a.get("value", ""), "[input: {}]")
-
-    def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
-
-    def handle_data(self, data):
-        if not (self.stack and self.stack[-1][1]) and (text := data.strip()):
-            self.lines.append(text)
-
-
 def html_sections(raw: bytes) -> list[tuple[str, str]]:
-    parser = _Visible()
-    parser.feed(raw.decode("utf-8", "ignore"))
-    parser.close()
-    text, sides = "\n".join(parser.lines), "\n".join(x for group in parser.sides.values() for x in group)
+    text, sides = visible(raw.decode("utf-8", "ignore"))
     both = "\n\n".join(x for x in (text, sides) if x)
     return [("document", both)] if both else []
 
@@ -156,9 +105,19 @@ def sections(files: DataFrame, extractors: dict[str, Callable[[bytes], list[tupl
     return spoken.unionByName(rest)
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Replace the chunks of the sources in `chunks`, partition by partition; other sources stay."""
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_id").parquet(path)
+def eval_fixture(spark: SparkSession, path: str) -> DataFrame:
+    """(notebook_id, nr, question, expected_filename, expected_substrings) of evaluation files, one JSON object each."""
+    schema = "notebook_id bigint, questions array<struct<q:string,expected_filename:string,expected_substrings:array<string>>>"
+    found = spark.read.schema(schema).json(path, multiLine=True).select("notebook_id", F.posexplode("questions").alias("p", "q"))
+    return found.select("notebook_id", (F.col("p") + 1).alias("nr"), F.col("q.q").alias("question"), "q.expected_filename", F.coalesce("q.expected_substrings", F.array().cast("array<string>")).alias("expected_substrings"))
+
+
+def write_chunks(chunks: DataFrame, path: str, by: str = "source_id") -> None:
+    """Replace the chunks of the sources in `chunks`, partition by partition; other sources stay.
+
+    by: the column that folders are made by, for many sources a bucket that holds whole ones.
+    """
+    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
 def append_events(events: DataFrame, path: str) -> bool:
