@@ -48,7 +48,9 @@ def html_sidecars(spark, sf_dir):
     return model.read(spark, sf_dir, "pages").select("page_id", html_parts(F.expr(_DRESSED)).sidecars.alias("sidecars"))
 
 
-_CAPTIONED = """'WEBVTT' || chr(10) || 'Kind: captions' || chr(10) || chr(10) || '1' || chr(10) || '00:01.000 --> 00:02.000' || chr(10) || '<v Ann>' || substring(text, 1, 40) || '</v>' || chr(10) || substring(text, 1, 40) || chr(10) || chr(10) || 'NOTE x' || chr(10) || 'hidden' || chr(10) || chr(10) || '2' || chr(10) || 'bye ' || turn"""
+#: A turn's whole text on one line of a caption file.
+_SAID = "replace(replace(text, chr(13), ' '), chr(10), ' ')"
+_CAPTIONED = f"""'WEBVTT' || chr(10) || 'Kind: captions' || chr(10) || chr(10) || '1' || chr(10) || '00:01.000 --> 00:02.000' || chr(10) || '<v Ann>' || {_SAID} || '</v>' || chr(10) || {_SAID} || chr(10) || chr(10) || 'NOTE x' || chr(10) || 'hidden' || chr(10) || chr(10) || '2' || chr(10) || 'bye ' || turn"""
 
 
 @PLANS.add(f"""WITH c AS (SELECT conv_id, turn, {_CAPTIONED} AS raw FROM conversations),
@@ -145,7 +147,9 @@ def extension_gate(spark, sf_dir):
     return o.withColumn("supported", E.is_supported(F.col("path")))
 
 
-_TONGUES = "CASE doc_id % 5 WHEN 0 THEN '這是一份關於會議紀錄與決議的文件內容說明' WHEN 1 THEN '这是关于临床试验药物与会议问题的说明' WHEN 2 THEN 'これはひらがなのテキストです' WHEN 3 THEN substring(text, 1, 15) ELSE text END"
+#: Whole texts behind as many characters of another script.
+_AHEAD = "repeat({}, CAST(floor(length(text) / 12) AS INT) + 1) || text"
+_TONGUES = f"CASE doc_id % 5 WHEN 0 THEN {_AHEAD.format("'這是一份關於會議紀錄與決議的文件內容說明'")} WHEN 1 THEN {_AHEAD.format("'这是关于临床试验药物与会议问题的说明'")} WHEN 2 THEN {_AHEAD.format("'これはひらがなのテキストです'")} ELSE text END"
 
 
 def _count(e: str, cls: str) -> str:
@@ -156,10 +160,10 @@ def _count(e: str, cls: str) -> str:
  SELECT doc_id, CASE WHEN latin >= greatest(40, (han + kana) * 2) THEN 'English' WHEN kana >= 8 THEN 'Japanese' WHEN han >= 12 THEN CASE WHEN simple >= 3 THEN 'Simplified Chinese' ELSE 'Traditional Chinese' END WHEN latin >= 12 THEN 'English' ELSE '' END AS language FROM n""")
 def dominant_language(spark, sf_dir):
     """X-12"""
-    return model.read(spark, sf_dir, "documents").select("doc_id", X.dominant_language(F.expr(_TONGUES)).alias("language"))
+    return model.documents(spark, sf_dir).select("doc_id", X.dominant_language(F.expr(_TONGUES)).alias("language"))
 
 
-_MINUTES = "CASE doc_id % 4 WHEN 0 THEN 'Meeting minutes' || chr(10) || 'Speaker: hi' || chr(10) || '- action: send' || chr(10) || ' 10:20 ' WHEN 1 THEN '會議紀錄' || chr(10) || '主席：你好' ELSE text END"
+_MINUTES = "CASE doc_id % 4 WHEN 0 THEN 'Meeting minutes' || chr(10) || 'Speaker: hi' || chr(10) || '- action: send' || chr(10) || ' 10:20 ' || text WHEN 1 THEN '會議紀錄' || chr(10) || '主席：你好' || chr(10) || text ELSE text END"
 
 
 def _matches(p: str) -> str:
@@ -175,7 +179,7 @@ def _times(p: str) -> str:
  SELECT doc_id, score::INT AS score, score >= 4 AS is_likely FROM n""")
 def meeting_likelihood(spark, sf_dir):
     """X-14"""
-    d = model.read(spark, sf_dir, "documents").select("doc_id", E.meeting_score(F.expr(_MINUTES)).alias("score"))
+    d = model.documents(spark, sf_dir).select("doc_id", E.meeting_score(F.expr(_MINUTES)).alias("score"))
     return d.withColumn("is_likely", F.col("score") >= E.MEETING_SCORE)
 
 

@@ -45,7 +45,7 @@ def safety_scan(spark, sf_dir):
 @PLANS.add(f"WITH l AS (SELECT doc_id, text AS t FROM documents), f AS ({_findings('l')}) SELECT rule_id, severity, count(*) AS findings FROM f GROUP BY ALL")
 def safety_scan_counts(spark, sf_dir):
     """G-06 over the documents as they are"""
-    d = model.read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
+    d = model.documents(spark, sf_dir).select("doc_id", F.col("text").alias("t"))
     return G.scan(d, "doc_id", "t", "input", "source").groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import text as X
 from ..operators import embedding
 from ..operators import retrieval as R
@@ -123,14 +124,15 @@ def degraded_scan(spark, sf_dir):
     return got.select("question_id", "id", "vector_score", F.round("keyword_score", 9).alias("keyword_score"), "score")
 
 
-@PLANS.add(f"""WITH {model.QUESTIONS}, q AS (SELECT *, {sql.search_tokens('question')} AS toks, lower(question) AS lowq FROM questions),
- p AS (SELECT d.doc_id, q.question_id, q.toks, q.lowq, {sql.search_tokens('d.text')} AS have, lower(d.text) AS lowt FROM documents d JOIN q ON q.question_id = d.doc_id % 40)
- SELECT doc_id, question_id, round({sql.keyword('toks', 'lowq', 'have', 'lowt')}, 9) AS score FROM p""")
+@PLANS.add(f"""WITH {model.SOURCES}, {model.QUESTIONS}, q AS (SELECT *, {sql.search_tokens('question')} AS toks, lower(question) AS lowq FROM questions),
+ h AS (SELECT source_id, user_id, {sql.search_tokens('text')} AS have, lower(text) AS lowt FROM sources), p AS (SELECT * FROM h JOIN q USING (user_id))
+ SELECT source_id, question_id, round({sql.keyword('toks', 'lowq', 'have', 'lowt')}, 9) AS score FROM p""")
 def keyword_score(spark, sf_dir):
-    """R-07"""
-    q = model.questions(spark, sf_dir).select("question_id", F.array("question").alias("queries"))
-    d = model.read(spark, sf_dir, "documents").withColumn("question_id", F.col("doc_id") % 40)
-    return d.join(q, "question_id").select("doc_id", "question_id", F.round(X.keyword_score(F.col("queries"), F.col("text")), 9).alias("score"))
+    """R-07: every question against all whole documents of its tenant"""
+    q = model.questions(spark, sf_dir).select("question_id", "user_id", F.array(F.struct(X.search_tokens(F.col("question")).alias("tokens"), F.lower("question").alias("low"))).alias("asked"))
+    d = store.spread(model.sources(spark, sf_dir)).select("source_id", "user_id", X.search_tokens(F.col("text")).alias("have"), F.lower("text").alias("low"))
+    pairs = d.join(store.small_enough(q, 2_000), "user_id")
+    return pairs.select("source_id", "question_id", F.round(X.keyword_score_of(F.col("asked"), F.col("have"), F.col("low")), 9).alias("score"))
 
 
 _TOPK = "round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6)"
