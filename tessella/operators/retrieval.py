@@ -144,9 +144,11 @@ def blend(vector: DataFrame, lexical: DataFrame, chunks: DataFrame, questions: D
 
 def diversify(candidates: DataFrame, limit: int, threshold: float = 0.88, least: int = 8) -> DataFrame:
     """Per question in order of score: drop a text of at least `least` tokens that overlaps a kept one by the threshold."""
-    item = F.struct((-F.col("score")).alias("order"), F.col("id"), X.overlap_tokens(F.col("text")).alias("tokens"))
+    # Each item carries its whole row, so the candidates are made once and none has to be looked up again.
+    row = F.struct(*candidates.columns)
+    item = F.struct((-F.col("score")).alias("order"), F.col("id"), X.overlap_tokens(F.col("text")).alias("tokens"), row.alias("row"))
     lists = candidates.groupBy("question_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-    start = F.array().cast("array<struct<order:double,id:bigint,tokens:array<string>>>")
+    start = F.filter("items", lambda x: F.lit(False))
 
     def alike(a: Column, b: Column) -> Column:
         return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))) >= threshold
@@ -155,8 +157,8 @@ def diversify(candidates: DataFrame, limit: int, threshold: float = 0.88, least:
         drop = (F.size(kept) >= limit) | ((F.size(x.tokens) >= least) & F.exists(kept, lambda y: alike(x.tokens, y.tokens)))
         return F.when(drop, kept).otherwise(F.concat(kept, F.array(x)))
 
-    kept = lists.select("question_id", F.posexplode(F.transform(F.aggregate("items", start, step), lambda x: x.id)).alias("p", "id"))
-    return candidates.join(kept.withColumn("position", F.col("p") + 1).drop("p"), ["question_id", "id"])
+    kept = lists.select(F.posexplode(F.transform(F.aggregate("items", start, step), lambda x: x.row)).alias("p", "row"))
+    return kept.select("row.*", (F.col("p") + 1).alias("position"))
 
 
 def rerank(ranked: DataFrame, scores: DataFrame | None, params: RetrievalParams = RetrievalParams()) -> DataFrame:
@@ -180,7 +182,9 @@ def rerank(ranked: DataFrame, scores: DataFrame | None, params: RetrievalParams
 
 def degraded_scan(chunks: DataFrame, vectors: DataFrame, asked: DataFrame, questions: DataFrame, params: RetrievalParams = RetrievalParams()) -> DataFrame:
     """Without an index: score the tenant's newest chunks exactly; the vector score is kept as it is, also below 0."""
-    newest = top(chunks, ["user_id"], [F.desc("id")], params.fallback_scan_limit).drop("_rank")
+    # The newest are found by tenant, and dealt out anew by id: a large tenant's pairs are no single task's work.
+    tasks = max(chunks.sparkSession.sparkContext.defaultParallelism, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    newest = top(chunks, ["user_id"], [F.desc("id")], params.fallback_scan_limit).drop("_rank").repartition(tasks, "id")
     # Tokens are found once a chunk, below the join that makes a row for each question of its tenant.
     full = newest.join(vectors.select("id", "entries"), "id", "left").select("*", X.search_tokens(F.col("text")).alias("have"), F.lower("text").alias("low"))
     asked_words = F.transform("queries", lambda x: F.struct(X.search_tokens(x).alias("tokens"), F.lower(x).alias("low")))
