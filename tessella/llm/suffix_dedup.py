@@ -41,20 +41,22 @@ _U = np.uint64
 
 
 class _Powers:
-    """Powers of the base modulo 2**64 and of its inverse, as many as were needed so far."""
+    """Powers of a base modulo a prime and of its inverse, as many as were needed so far."""
 
-    up = np.ones(1, dtype=np.uint64)
-    down = np.ones(1, dtype=np.uint64)
+    def __init__(self, prime: int, base: int):
+        self.prime, self.bases = _U(prime), (base, pow(base, -1, prime))
+        self.tables = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) <= n:
-            size = max(n + 1, BLOCK_BYTES + 1)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-                x = np.full(size, base, dtype=np.uint64)
-                x[0] = 1
-                setattr(cls, name, np.cumprod(x, dtype=np.uint64))
-        return cls.up, cls.down
+    def upto(self, n: int) -> list[np.ndarray]:
+        while len(self.tables[0]) <= n:
+            # The next half is the first one times the power of its length.
+            k = len(self.tables[0])
+            self.tables = [np.concatenate((t, t * _U(pow(x, k, int(self.prime))) % self.prime)) for t, x in zip(self.tables, self.bases, strict=True)]
+        return self.tables
+
+
+#: Two primes below 2**31: products fit 64 bits, and no structured text makes their polynomials vanish alike.
+_FIELDS = (_Powers((1 << 31) - 1, 1_103_515_245), _Powers((1 << 31) - 19, 1_664_525_013))
 
 
 _ROW = np.dtype([("h", "<u8"), ("c", "<u8"), ("key", "<i8"), ("pos", "<i8")])
@@ -63,17 +65,25 @@ _FLANK = LENGTH - CORE
 _PLACE = _U((1 << 24) - 1)
 
 
-def _sums(b: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _Powers.upto(len(b))
-    values = mix(np.arange(seed, seed + 256, dtype=np.uint64))
-    total = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(values[b] * up[: len(b)], out=total[1:])
-    return total, down
+def _sums(symbols: np.ndarray, seed: int) -> list[tuple[np.ndarray, np.ndarray, np.uint64]]:
+    """For both fields: prefix sums of the symbols' values times powers, and the inverse powers."""
+    out = []
+    for i, field in enumerate(_FIELDS):
+        up, down = field.upto(len(symbols))
+        key = _U((seed + i) << 33)
+        if symbols.dtype == np.uint8:
+            values = (mix(np.arange(256, dtype=np.uint64) + key) % field.prime)[symbols]
+        else:
+            values = mix(symbols.astype(np.uint64) + key) % field.prime
+        total = np.zeros(len(symbols) + 1, np.uint64)
+        np.cumsum(values * up[: len(symbols)] % field.prime, out=total[1:])
+        out.append((total, down, field.prime))
+    return out
 
 
-def _hash(sums: tuple[np.ndarray, np.ndarray], start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    total, down = sums
-    return mix((total[end] - total[start]) * down[start])
+def _hash(sums: list[tuple[np.ndarray, np.ndarray, np.uint64]], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    high, low = ((total[end] - total[start]) % prime * down[start] % prime for total, down, prime in sums)
+    return mix(high << _U(32) | low)
 
 
 def anchors(b: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -267,12 +277,7 @@ def repeated_windows(h: np.ndarray, key: np.ndarray, pos: np.ndarray, flanks: li
     seg = np.repeat(np.arange(len(h)), windows)
     at = np.arange(len(seg)) - np.repeat(np.cumsum(windows) - windows, windows)
     where = begin[seg] + at
-    up, down = _Powers.upto(len(text))
-    pair = []
-    for salt in (1, 2):
-        total = np.zeros(len(text) + 1, np.uint64)
-        np.cumsum(mix(text.astype(np.uint64) + _U(salt << 33)) * up[: len(text)], out=total[1:])
-        pair.append(mix((total[where + WINDOW] - total[where]) * down[where]))
+    pair = [_hash(_sums(text, salt), where, where + WINDOW) for salt in (1, 3)]
     _, back, count = np.unique(pair[0], return_inverse=True, return_counts=True)
     keep = np.flatnonzero(count[back] > 1)
 
@@ -318,13 +323,8 @@ def repeated_windows(h: np.ndarray, key: np.ndarray, pos: np.ndarray, flanks: li
         lone = np.flatnonzero(count[back] == 1)
         rest += [(int(key[seg[i]]), int(start_of[seg[i]] + at[i]), a, b) for i, a, b in zip(lone, pair[0][lone].view(np.int64).tolist(), pair[1][lone].view(np.int64).tolist(), strict=True)]
         if len(pieces):
-            total = [np.zeros(len(whole) + 1, np.uint64) for _ in range(2)]
-            up, down = _Powers.upto(len(whole))
             spots = np.flatnonzero(kept)
-            sums = []
-            for salt, t in zip((1, 2), total, strict=True):
-                np.cumsum(mix(whole.astype(np.uint64) + _U(salt << 33)) * up[: len(whole)], out=t[1:])
-                sums.append(mix((t[spots + WINDOW] - t[spots]) * down[spots]).view(np.int64).tolist())
+            sums = [_hash(_sums(whole, salt), spots, spots + WINDOW).view(np.int64).tolist() for salt in (1, 3)]
             rest += [(int(heads[of[i], 0]), int(heads[of[i], 1] + offset[i]), a, b) for i, a, b in zip(spots, *sums, strict=True)]
     return repeats, rest
 
