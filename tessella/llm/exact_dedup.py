@@ -5,8 +5,10 @@ a Bloom filter, how many rows set it, and keeps the bits set by two rows or more
 probes these: a row of which both bits were set twice is possibly repeated and goes on to the grouping by full
 SHA-256; every other row is certainly unique and passes straight through.
 
-The filter has 16 bits a row up to `MAX_FILTER_BITS` (32 MB), which bounds what is broadcast. Beyond that it fills
-up: more unique rows take part in the exact grouping, with the same result.
+A filter has 16 bits a row up to `MAX_FILTER_BITS` (32 MB), which bounds what is broadcast. More rows are cut by their
+SHA-256 into parts of at most that many, written apart; each part has both passes and a filter of its own, one after
+another, so the filter never fills up. What crosses the network in pass one is two numbers a row, those of one task
+added up, and never the row; a task sets far fewer bits than a filter has, so numbers are less than its bitmaps.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without_rows, written
+from .common import new_path, without_rows, written
 
 #: Bits of one bitmap that bitmap_construct_agg builds.
 BITMAP_BITS = 32_768
@@ -72,7 +74,20 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     come last. A text that only rows without id have keeps all of these; rows that repeat id and text are one
     document in several copies and all carry the same values. Other columns of docs are not read.
     """
-    prints = written(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("text_sha256")), "prints")
+    prints = docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("text_sha256"))
+    parts = -(-docs.count() * BITS_PER_ROW // MAX_FILTER_BITS)
+    if parts <= 1:
+        return _grouped(written(prints, "prints"))
+    spark = docs.sparkSession
+    cut, out = new_path(spark, "prints"), new_path(spark, "groups")
+    prints.withColumn("part", F.pmod(F.xxhash64("text_sha256"), F.lit(parts))).write.partitionBy("part").parquet(cut)
+    for part in range(parts):
+        mine = spark.read.schema(prints.schema.add("part", "long")).parquet(cut).where(F.col("part") == part).drop("part")
+        _grouped(mine).write.mode("append").parquet(out)
+    return spark.read.parquet(out)
+
+
+def _grouped(prints: DataFrame) -> DataFrame:
     bits = filter_bits(prints.count())
     bitmaps = written(repeated_bits(prints, bits), "bloom")
     probed = possibly_repeated(prints, bitmaps, bits)
