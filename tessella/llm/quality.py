@@ -163,10 +163,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     prior = l.agg(F.avg(F.col("quality").cast("double"))).head()[0]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     good = l.where("quality = 1").orderBy("h").limit(POSITIVES).select(F.col("doc_id").alias("pick"), "h", F.lit(1).alias("positive"))
-    ids = texts.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, HELD)).select("doc_id", F.xxhash64(F.lit(17), "doc_id").alias("h"))
+    ids = texts.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), FOLDS, HELD)).select("doc_id").distinct().withColumn("h", F.xxhash64(F.lit(17), "doc_id"))
     any_ = ids.orderBy("h").limit(UNLABELLED).select(F.col("doc_id").alias("pick"), "h", F.lit(0).alias("positive"))
     picked = written(good.unionByName(any_), "picked")
-    return texts.join(F.broadcast(picked), F.col("doc_id") == F.col("pick")).select("h", "text", "positive"), prior if prior is not None else 1.0
+    rows = texts.join(F.broadcast(picked), F.col("doc_id") == F.col("pick")).select("h", "text", "positive")
+    # Of an id that several rows have one text is taken, so the samples are as large as their bounds say at most.
+    one = rows.groupBy("h", "positive").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one, prior if prior is not None else 1.0
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Scorer | None:

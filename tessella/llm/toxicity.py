@@ -100,7 +100,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, target: str, folds: int, h
     l = l.groupBy("doc_id").agg(F.max(target).cast("int").alias("label")).withColumn("h", F.xxhash64(F.lit(11), "doc_id"))
     sample = written(l.orderBy("h").limit(bound), "labels").withColumnRenamed("doc_id", "label_id")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("h", "text", "label")
+    rows = texts.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("h", "text", "label")
+    # Of an id that several rows have one text is taken, so the sample is as large as its bound says at most.
+    return rows.groupBy("h", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, *, target: str = "toxic", folds: int = FOLDS, held: int = HELD, bound: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
