@@ -10,6 +10,8 @@ it, and is verified there in double precision on the vectors as given.
 What leaves a pair of tiles is bounded by their vectors, not their pairs: each vector's number of links, and a tree of
 links for the components. Vectors with the same bytes are one class and meet others once.
 
+Vectors of one leading coordinate, however many, are spread over several tiles by a hash.
+
 On vectors without structure the tiles' leading coordinates rule out little; the number of tiles that a vector meets
 then grows with the input. The filter inside a pair of tiles still leaves few pairs to verify.
 """
@@ -27,10 +29,13 @@ from pyspark.sql import types as T
 
 from .common import small_enough, with_python, written
 from .graph import connected_components, tree
+from .textvec import mix
 
 SIMILARITY, BLOCKS, TILE = 0.9, 4, 16_384
 #: Vectors of the sample that the rotation and the budgets come from.
 SAMPLE = 4_096
+#: Copies of vectors that leave the dealing step at once.
+DEAL_ROWS = 10_000
 #: More than single precision can be off in a squared distance of rotated unit vectors.
 SLACK = 1e-5
 
@@ -107,19 +112,24 @@ def _links(classes: DataFrame, dim: int, threshold: float, kind: str, tile: int)
     if tiles > 1:
         quantiles = [i / tiles for i in range(1, tiles)]
         got = turned.agg(*(F.percentile_approx(F.get("lead", F.lit(b)), quantiles, 20 * tiles + 1_000).alias(f"q{b}") for b in range(len(blocks)))).head()
-        cuts = [sorted(set(got[b])) for b in range(len(blocks))]
+        cuts = [sorted(got[b]) for b in range(len(blocks))]
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             lead = np.stack(frame["lead"].to_numpy()) if len(frame) else np.zeros((0, len(blocks)))
+            some = mix(frame["rid"].to_numpy(np.int64).view(np.uint64)).astype(np.int64) & 0x7FFFFFFF
             for b, (_, _, bound) in enumerate(blocks):
                 reach, c = bound**0.5 + SLACK, lead[:, b]
-                own = np.searchsorted(cuts[b], c, side="right")
-                low, high = (np.searchsorted(cuts[b], c + d, side="right") for d in (-reach, reach))
-                for j in range(len(cuts[b]) + 1):
-                    to = np.flatnonzero((low <= j) & (j <= high))
-                    part = frame.iloc[to][["rid", "n", "x", "y"]]
-                    yield part.assign(block=b, i=np.minimum(own[to], j), j=np.maximum(own[to], j), right=own[to] > j)
+                # Between equal cuts lie tiles of one coordinate; a vector of that coordinate is in any of them.
+                least, most = (np.searchsorted(cuts[b], c, side=side) for side in ("left", "right"))
+                own = least + some % (most - least + 1)
+                low, high = np.searchsorted(cuts[b], c - reach, side="left"), np.searchsorted(cuts[b], c + reach, side="right")
+                upto = np.cumsum(high - low + 1)
+                for first in range(0, int(upto[-1]) if len(upto) else 0, DEAL_ROWS):
+                    nth = np.arange(first, min(first + DEAL_ROWS, int(upto[-1])))
+                    at = np.searchsorted(upto, nth, side="right")
+                    j = high[at] - (upto[at] - 1 - nth)
+                    yield frame.iloc[at][["rid", "n", "x", "y"]].assign(block=b, i=np.minimum(own[at], j), j=np.maximum(own[at], j), right=own[at] > j)
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         def side(part: pd.DataFrame) -> tuple:
@@ -148,7 +158,8 @@ def near_vectors(vectors: DataFrame, *, threshold: float = SIMILARITY, tile: int
 
     n_links counts the other rows of a cosine of at least the threshold, component_id is the smallest id that links
     reach, kept says whether that is the row's own. Vectors that are null, empty, zero or hold null or non-finite
-    components link with nothing, nor do vectors of different lengths; their rows are components of their own. Rows
+    components link with nothing, nor do vectors of different lengths; their rows are components of their own. Each
+    length is a job of its own. An empty table gives no rows; other columns are not read, whatever they are called. Rows
     that repeat an id are vectors of their own. A component of rows without id has a null id, and these are kept.
     """
     with_python(vectors.sparkSession)

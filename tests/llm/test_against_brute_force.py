@@ -131,6 +131,22 @@ def test_near_vectors(spark, tile):
     assert sorted(map(tuple, embed_join.near_vectors(df, tile=tile).collect())) == vector_truth(rows)
 
 
+def test_near_vectors_of_the_table(spark, data_dir):
+    found = table(spark, data_dir, "embeddings").select("vec_id", "embedding").collect()
+    rows = [(r.vec_id, r.embedding) for r in found if r.embedding and all(x is not None and np.isfinite(x) for x in r.embedding) and any(r.embedding)]
+    got = sorted(map(tuple, queries.op3_embed_join(spark, data_dir).collect()))
+    linked = {r[0] for r in rows}
+    assert [r for r in got if r[0] in linked] == vector_truth(rows) and len(got) == len(found)
+
+
+def test_vectors_of_one_leading_coordinate(spark):
+    """Equal coordinates fill several tiles, and pairs across these are found."""
+    rng = np.random.default_rng(3)
+    v = np.concatenate((np.eye(8)[rng.integers(0, 8, 60)], rng.choice([-1.0, 0.0, 1.0], (120, 8)) + 1e-9))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, embed_join.near_vectors(df, tile=16).collect())) == vector_truth(list(enumerate(v)))
+
+
 @pytest.mark.parametrize("parts", [1, 2])
 def test_dense_tiles_need_no_memory_for_pairs(parts):
     """4,000 near copies link in 8 million pairs (128 MB as two arrays); what is kept is a few numbers a vector."""
