@@ -193,7 +193,8 @@ def near_groups(docs: DataFrame, *, threshold: float = SIMILARITY, id_col: str =
     group_id is the smallest doc_id of the documents that links of at least the threshold connect, n_texts the number
     of different word sequences among them, and exactly one row of a group is kept: the one of the smallest doc_id
     (null ids last; of repeated ids any one). Null texts count as empty; texts without words link with nothing, and
-    texts of fewer than five words only with texts of the same words.
+    texts of fewer than five words only with texts of the same words. Texts of any length are compared whole. Ties (a
+    group of several keepers) can't occur. An empty table gives no rows; other columns are not read, whatever their names.
     """
     with_python(docs.sparkSession)
     rows = _described(docs, id_col, text_col)

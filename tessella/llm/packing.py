@@ -139,7 +139,9 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, *, limit: int = LIMIT,
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text counts as empty: its document is the end id alone. Null and repeated ids are documents like any
-    other. A sequence's pieces fill it gaplessly from 0 and never exceed the limit. ordered: the physical order of
+    other, equal ones too. A text of any length is encoded whole and cut by ids. A sequence's pieces fill it gaplessly
+    from 0 and never exceed the limit. An empty table gives no rows; other columns are not read, whatever they are
+    called. ordered: the physical order of
     docs is kept, to within a stretch of group_pieces pieces, by the order of sequence_id.
     """
     if ordered:

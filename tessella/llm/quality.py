@@ -122,26 +122,30 @@ class Scorer:
         da = np.outer(dg, self.p[2]) * (1 - a * a)
         return [x.T @ da, da.sum(0), a.T @ dg, np.array([dg.sum()])]
 
+    def risk_gradient(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> list[np.ndarray]:
+        """Of prior * E+[l(g)] + max(0, Eu[l(-g)] - prior * E+[l(-g)]), l being the logistic loss.
+
+        Where the second part is below zero, a step goes up that part alone, which takes back what was fitted too far.
+        """
+        sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -35, 35)))
+        (gp, ap), (gu, au) = self.forward(positive), self.forward(unlabelled)
+        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+        up, over, uu = -prior * sigmoid(-gp) / len(gp), -prior * sigmoid(gp) / len(gp), sigmoid(gu) / len(gu)
+        if negative >= 0:
+            return [x + y for x, y in zip(self.gradient(positive, ap, up + over), self.gradient(unlabelled, au, uu), strict=True)]
+        return [-(x + y) for x, y in zip(self.gradient(positive, ap, over), self.gradient(unlabelled, au, uu), strict=True)]
+
     def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 300, batch: int = 2048, rate: float = 0.005, decay: float = 1e-4) -> None:
         both = np.concatenate((positive, unlabelled))
         self.mean, self.scale = both.mean(0), both.std(0) + 1e-3
         xp, xu = (np.clip((x - self.mean) / self.scale, -6, 6) for x in (positive, unlabelled))
-        sigmoid = lambda g: 1 / (1 + np.exp(-np.clip(g, -35, 35)))
         batch = min(batch, max(1, len(xu) // 5))  # five steps an epoch at least: small samples need as many
         m, v, t = [np.zeros_like(p) for p in self.p], [np.zeros_like(p) for p in self.p], 0
         for _ in range(epochs):
             for _ in range(max(1, len(xu) // batch)):
                 bp, bu = xp[self.rng.integers(0, len(xp), batch)], xu[self.rng.integers(0, len(xu), batch)]
-                (gp, ap), (gu, au) = self.forward(bp), self.forward(bu)
-                negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-                up, uu = -prior * sigmoid(-gp) / batch, sigmoid(gu) / batch
-                over = -prior * sigmoid(gp) / batch
-                if negative >= 0:
-                    grads = [x + y for x, y in zip(self.gradient(bp, ap, up + over), self.gradient(bu, au, uu), strict=True)]
-                else:
-                    grads = [-(x + y) for x, y in zip(self.gradient(bp, ap, over), self.gradient(bu, au, uu), strict=True)]
                 t += 1
-                for i, g in enumerate(grads):
+                for i, g in enumerate(self.risk_gradient(bp, bu, prior)):
                     g = g + decay * self.p[i]
                     m[i] = 0.9 * m[i] + 0.1 * g
                     v[i] = 0.999 * v[i] + 0.001 * g * g

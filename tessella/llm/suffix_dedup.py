@@ -506,7 +506,8 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     A null text counts as empty. Null ids come before all others; rows of one id are one document if their texts are
     the same, else documents of their own in the order of their texts' SHA-256. Texts shorter than LENGTH lose
-    nothing.
+    nothing; longer ones are read whole, in parts that overlap. An empty table gives no rows; other columns are not
+    read, whatever their names.
     """
     with_python(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)

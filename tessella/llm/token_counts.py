@@ -334,7 +334,11 @@ def count_tokens(texts: list[str], path: str) -> np.ndarray:
 
 
 def token_counts(docs: DataFrame, path: str, *, limit: int = 2_048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit. A null text counts as empty (no tokens)."""
+    """One row per row of docs: doc_id, n_bytes, n_tokens, over_limit.
+
+    A null text counts as empty (no tokens), a text of any length is counted whole. Null and repeated ids are rows like
+    any other; an empty table gives no rows, and other columns are not read.
+    """
     with_python(docs.sparkSession)
 
     @F.pandas_udf("long")

@@ -158,7 +158,11 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs, in all its columns, without the rows that score at or above the threshold."""
+    """docs, in all its columns, without the rows that score at or above the threshold.
+
+    Scores are those of score(): a null text counts as empty, equal texts have equal scores whatever their ids, an empty
+    table gives no rows. Columns are looked up in docs alone, so none of the labels' clashes with them.
+    """
     with_python(docs.sparkSession)
     model = train(docs, labels, id_col=id_col, text_col=text_col)
     return docs.where(score_column(F.col(text_col), model) < threshold)

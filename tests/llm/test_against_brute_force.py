@@ -6,6 +6,7 @@ import random
 import re
 import tracemalloc
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -247,6 +248,57 @@ def test_positive_unlabelled_risk_separates():
     assert scorer.score(good[:500]).mean() > 0.9 and scorer.score(bad[500:]).mean() < 0.2
 
 
+@pytest.mark.parametrize("prior", [0.2, 0.9])
+def test_risk_gradient_is_that_of_the_risk(prior):
+    """Against differences of the risk as it is defined, in either of its two cases."""
+    rng = np.random.default_rng(2)
+    good, mixed = rng.normal(1, 1, (30, 3)), rng.normal(-2, 1, (40, 3))
+    scorer = quality.Scorer(3, hidden=4)
+    if prior > 0.5:
+        scorer.p[3] = np.array([3.0])
+    loss = lambda z: np.log1p(np.exp(-z))
+
+    def parts():
+        gp, gu = scorer.forward(good)[0], scorer.forward(mixed)[0]
+        return prior * np.mean([loss(g) for g in gp]), np.mean([loss(-g) for g in gu]) - prior * np.mean([loss(-g) for g in gp])
+
+    first, second = parts()
+    assert (second >= 0) == (prior < 0.5)
+    risk = (lambda: sum(parts())) if second >= 0 else (lambda: -parts()[1])
+    for p, grad in zip(scorer.p, scorer.risk_gradient(good, mixed, prior), strict=True):
+        for at in np.ndindex(p.shape):
+            old = p[at]
+            p[at] = old + 1e-5
+            above = risk()
+            p[at] = old - 1e-5
+            below = risk()
+            p[at] = old
+            assert abs((above - below) / 2e-5 - grad[at]) < 1e-6
+
+
+def test_ftrl_steps_coordinate_by_coordinate():
+    """The update of each coordinate as it is published, in plain floats."""
+    rng = random.Random(4)
+    model, z, n, bias = toxicity.Ftrl(l1=0.5), collections.defaultdict(float), collections.defaultdict(float), [0.0, 0.0]
+
+    def weight(i):
+        if abs(z[i]) <= model.l1:
+            return 0.0
+        return -(z[i] - (model.l1 if z[i] > 0 else -model.l1)) / ((model.beta + n[i] ** 0.5) / model.alpha + model.l2)
+
+    for _ in range(200):
+        at, label = sorted(rng.sample(range(30), 6)), rng.randrange(2)
+        w, b = {i: weight(i) for i in at}, -bias[0] / ((model.beta + bias[1] ** 0.5) / model.alpha)
+        g = 1 / (1 + np.exp(-(sum(w.values()) + b))) - label
+        for i in at:
+            z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / model.alpha * w[i]
+            n[i] += g * g
+        bias = [bias[0] + g - ((bias[1] + g * g) ** 0.5 - bias[1] ** 0.5) / model.alpha * b, bias[1] + g * g]
+        model.learn(np.array(at), label)
+    assert np.allclose(model.weights(np.arange(30)), [weight(i) for i in range(30)], atol=1e-3) and abs(model.bias[0] - bias[0]) < 1e-3
+    assert any(weight(i) == 0 for i in range(30)) and any(weight(i) for i in range(30))
+
+
 def test_ftrl_is_sparse():
     rng = random.Random(1)
     rows = [" ".join(rng.choice("abcdefghijklmnop") for _ in range(20)) + (" awful" if i % 4 == 0 else "") for i in range(800)]
@@ -333,6 +385,30 @@ def test_mixture_over_many_slots(spark):
         assert np.abs(np.cumsum(rows["source"] == s) - np.arange(1, len(rows) + 1) * w)[:29_000].max() < 1
 
 
+def test_mixing_query_is_earliest_deadline_first(spark):
+    """The query's own weights and blocks: in each slot the released block of the earliest deadline, phase by phase."""
+    path = "/root/testdata/sf0.1"
+    rows = queries.op7_mixing(spark, path).collect()
+    counts = collections.Counter(r.source for r in table(spark, path, "documents").select("source").collect())
+    assert collections.Counter(r.source for r in rows) == counts and len({(r.slot, r.in_block) for r in rows}) == len(rows)
+    of = {r.slot: r.source for r in rows}
+    names = sorted(counts)
+    left = {s: -(-counts[s] // 64) for s in names}
+    slot = 0
+    while any(left.values()):
+        live = [s for s in names if left[s]]
+        total = sum(Fraction(counts[s] ** 0.5) for s in live)
+        share, done, n = {s: Fraction(counts[s] ** 0.5) / total for s in live}, collections.Counter(), 0
+        while all(left[s] for s in live):
+            ready = [(-(-(done[s] + 1) // share[s]), s) for s in live if done[s] // share[s] <= n]
+            s = min(ready)[1]
+            assert of[slot] == s
+            done[s] += 1
+            left[s] -= 1
+            n, slot = n + 1, slot + 1
+    assert slot == len(of)
+
+
 def test_many_sources(spark):
     """Sources beyond any number that could have a schedule of their own; each row has a place, every prefix its shares."""
     docs = spark.range(1_200).selectExpr("id AS doc_id", "CAST(id % 300 AS string) AS source", "'t' AS text")

@@ -106,6 +106,38 @@ def test_pipeline_stage_by_stage(spark, data_dir):
     assert sorted(map(tuple, corpus_pipeline.run(spark, data_dir).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "start", "length", "ids_crc32").collect()))
 
 
+@pytest.mark.parametrize("rows", [len(ROWS), 0])
+def test_pipeline_on_odd_and_empty_tables(spark, odd, labels, tmp_path, rows):
+    """Nulls, repeats, long texts and clashing columns from end to end: each text that stays is packed whole, once."""
+    odd.limit(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.where("toxic is not null and doc_id = 99").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if not rows:
+        assert got == []
+        return
+    ends = {}
+    for r in sorted(got, key=lambda r: (str(r.doc_id), r.doc_tokens, r.start)):
+        key = r.doc_id, r.doc_tokens
+        assert r.start == ends.get(key, 0) % r.doc_tokens
+        ends[key] = ends.get(key, 0) + r.length
+    assert all(n % tokens == 0 for (_, tokens), n in ends.items())
+    assert {1, 3, 5, 6} <= {r.doc_id for r in got} and BIG not in {r.doc_id for r in got}
+
+
+def test_drop_toxic_keeps_columns(spark, odd, labels):
+    kept = toxicity.drop_toxic(odd, labels)
+    bad = {(r.doc_id, r.predicted) for r in toxicity.score(odd, labels).collect()}
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} <= {i for i, p in bad if not p}
+    assert toxicity.drop_toxic(odd.limit(0), labels).collect() == []
+
+
+def test_vectors_and_pages_with_other_columns(spark):
+    v = spark.createDataFrame([(1, [1.0, 0.0], "?", "?", "?"), (2, [1.0, 0.0], "?", "?", "?")], "vec_id long, embedding array<float>, rid string, links string, digest string")
+    assert sorted(map(tuple, embed_join.near_vectors(v).collect())) == [(1, 1, 1, True), (2, 1, 1, False)]
+    p = spark.createDataFrame([(1, "u", "h" * 2_000, "?", "?"), (2, "u", "h" * 2_000, "?", "?")], "page_id long, url string, html string, payload string, record_type string")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark, p).collect()) == [(1, "revisit", 2), (2, "response", None)]
+
+
 def test_packed_sequences_keep_the_mixture(spark):
     """By sequence_id the sources come in the mixed order's shares, not in the table's."""
     counts = {"a": 6_000, "b": 3_000, "c": 1_000}
