@@ -2,6 +2,10 @@
 
 Each stage takes what its predecessor kept, written as Parquet and read again. All but the last return the columns
 of documents; the last returns the pieces of packed sequences.
+
+All stages take null texts as empty, keep rows without id unless a row of the same text stays, read texts of any length
+whole, return no rows for an empty table and leave columns of other names as they are. Rows that repeat id and text are
+one document to the deduplicating stages, which keep or drop them together.
 """
 
 from __future__ import annotations
