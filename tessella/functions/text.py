@@ -143,19 +143,24 @@ def keyword_score_of(queries: Column, have: Column, low: Column) -> Column:
     return F.when(F.size(have) == 0, 0.0).otherwise(best)
 
 
+#: Han characters of the simplified script only, and the languages' names.
+SIMPLIFIED = "这为与时会们问题临床试验药"
+LANGUAGES = ["English", "Japanese", "Simplified Chinese", "Traditional Chinese"]
+
+
 def dominant_language(c: Column) -> Column:
     """Script counts in the first 6,000 characters against ordered thresholds."""
     s = F.substring(F.coalesce(c, F.lit("")), 1, 6_000)
     latin, han, kana = (F.regexp_count(s, F.lit(p)) for p in ("[A-Za-z]", f"[{HAN}]", r"[\u3040-\u30ff]"))
-    simplified = F.regexp_count(s, F.lit("[这为与时会们问题临床试验药]"))
+    simplified = F.regexp_count(s, F.lit(f"[{SIMPLIFIED}]"))
     return (
-        F.when(latin >= F.greatest(F.lit(40), (han + kana) * 2), "English").when(kana >= 8, "Japanese")
-        .when(han >= 12, F.when(simplified >= 3, "Simplified Chinese").otherwise("Traditional Chinese")).when(latin >= 12, "English").otherwise("")
+        F.when(latin >= F.greatest(F.lit(40), (han + kana) * 2), LANGUAGES[0]).when(kana >= 8, LANGUAGES[1])
+        .when(han >= 12, F.when(simplified >= 3, LANGUAGES[2]).otherwise(LANGUAGES[3])).when(latin >= 12, LANGUAGES[0]).otherwise("")
     )
 
 
 def followup_language(*texts: Column) -> Column:
-    return F.coalesce(*(F.nullif(dominant_language(t), F.lit("")) for t in texts), F.lit("Traditional Chinese"))
+    return F.coalesce(*(F.nullif(dominant_language(t), F.lit("")) for t in texts), F.lit(LANGUAGES[3]))
 
 
 def extract_json(c: Column) -> Column:

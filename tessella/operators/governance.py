@@ -20,6 +20,13 @@ INJECTIONS = {
     "reveal_system_prompt": r"(?i)\b(?:reveal|show|print|dump|repeat).{0,40}\b(?:system prompt|developer message|hidden instructions)\b",
     "bypass_rules": r"(?i)\b(?:bypass|override|disable).{0,30}\b(?:rules|guardrails|safety|policy)\b",
 }
+#: Categories and summaries of findings.
+SUMMARIES = {
+    "input_length": "Input length {} chars exceeds {}.",
+    "invisible_or_control_text": "Input contains {} control or invisible characters.",
+    "secret_or_credential": "Input contains a possible credential or secret pattern.",
+    "prompt_injection": "Input contains a prompt-injection style instruction.",
+}
 #: Keys under which providers report usage, in order of preference, and the objects they nest them in.
 USAGE_KEYS = {
     "prompt_tokens": ["prompt_tokens", "input_tokens", "promptTokens", "inputTokens", "promptTokenCount", "inputTokenCount", "prompt_token_count", "input_token_count", "input", "prompt"],
@@ -38,17 +45,20 @@ def findings(text: Column, event_type: str, surface: str) -> Column:
     n = F.length(t)
     controls = F.regexp_count(t, F.lit(CONTROL))
 
+    def summed(category: str, *values: Column) -> Column:
+        return F.format_string(SUMMARIES[category].replace("{}", "%s"), *(v.cast("string") for v in values))
+
     def finding(when: Column, category: str, severity: Column, decision: Column, rule: str, summary: Column, metadata: Column) -> Column:
         return F.when(when, F.struct(F.lit(event_type).alias("event_type"), F.lit(surface).alias("surface"), F.lit(category).alias("category"), severity.alias("severity"), decision.alias("decision"), F.lit(rule).alias("rule_id"), X.content_hash(t).alias("content_hash"), summary.alias("redacted_summary"), metadata.alias("metadata"), F.lit(DETECTOR).alias("detector_version")))
 
     huge = n > BLOCK_CHARS
     out = [
-        finding(n > MAX_CHARS, "input_length", F.when(huge, "high").otherwise("medium"), F.when(huge, "block_candidate").otherwise("warn"), "input_length.max_chars", F.concat(F.lit("Input length "), n.cast("string"), F.lit(f" chars exceeds {MAX_CHARS}.")), F.create_map(F.lit("input_chars"), n.cast("string"), F.lit("max_chars"), F.lit(str(MAX_CHARS)))),
-        finding(controls > 0, "invisible_or_control_text", F.lit("medium"), F.lit("warn"), "input_text.control_or_invisible_chars", F.concat(F.lit("Input contains "), controls.cast("string"), F.lit(" control or invisible characters.")), F.create_map(F.lit("match_count"), controls.cast("string"))),
+        finding(n > MAX_CHARS, "input_length", F.when(huge, "high").otherwise("medium"), F.when(huge, "block_candidate").otherwise("warn"), "input_length.max_chars", summed("input_length", n, F.lit(MAX_CHARS)), F.create_map(F.lit("input_chars"), n.cast("string"), F.lit("max_chars"), F.lit(str(MAX_CHARS)))),
+        finding(controls > 0, "invisible_or_control_text", F.lit("medium"), F.lit("warn"), "input_text.control_or_invisible_chars", summed("invisible_or_control_text", controls), F.create_map(F.lit("match_count"), controls.cast("string"))),
     ]
     for rules, kind, category, severity, summary in (
-        (SECRETS, "secret", "secret_or_credential", "high", "Input contains a possible credential or secret pattern."),
-        (INJECTIONS, "prompt_injection", "prompt_injection", "medium", "Input contains a prompt-injection style instruction."),
+        (SECRETS, "secret", "secret_or_credential", "high", SUMMARIES["secret_or_credential"]),
+        (INJECTIONS, "prompt_injection", "prompt_injection", "medium", SUMMARIES["prompt_injection"]),
     ):
         out += [finding(t.rlike(p), category, F.lit(severity), F.lit("warn"), f"{kind}.{r}", F.lit(summary), F.create_map(F.lit("pattern"), F.lit(r))) for r, p in rules.items()]
     return F.filter(F.array(*out), lambda f: f.isNotNull())

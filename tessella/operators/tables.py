@@ -7,7 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .. import store
 
 VISIBILITY_SECONDS, MAX_ATTEMPTS, LEASE_SECONDS, TTL_HOURS = 1_800, 3, 90, 24
 
@@ -43,7 +44,7 @@ def enqueue(jobs: DataFrame, source_ids: DataFrame) -> DataFrame:
     old = jobs.select("source_id", F.col("id").alias("_id"))
     top = jobs.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     wanted = source_ids.select("source_id").distinct().join(old, "source_id", "left")
-    new = wanted.where("_id is null").withColumn("_n", F.row_number().over(Window.orderBy("source_id"))).crossJoin(F.broadcast(top)).select(F.coalesce("_id", F.col("_top") + F.col("_n")).alias("id"), "source_id")
+    new = store.numbered(wanted.where("_id is null").select("source_id"), "source_id", "_n").crossJoin(F.broadcast(top)).select((F.col("_top") + F.col("_n")).alias("id"), "source_id")
     again = wanted.where("_id is not null").select(F.col("_id").alias("id"), "source_id")
     fresh = new.unionByName(again).select("id", "source_id", F.lit("queued").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("double").alias("claimed_at"), F.lit("").alias("error"))
     return upsert(jobs, fresh, "source_id")

@@ -79,7 +79,7 @@ def minutes_context(spark, sf_dir):
 
 @PLANS.add(f"""WITH {model.SOURCES} SELECT notebook_id, string_agg('## ' || filename || chr(10) || {sql.snippet('text', 160)}, chr(10) || chr(10) ORDER BY source_id) AS context FROM sources WHERE status = 'indexed' AND trim(text) <> '' GROUP BY notebook_id""")
 def artifact_context(spark, sf_dir):
-    """L-07..L-10: summaries of a notebook's sources under their file names"""
+    """L-09: summaries of a notebook's sources under their file names"""
     s = model.sources(spark, sf_dir).where("status = 'indexed' and trim(text) <> ''")
     part = F.concat(F.lit("## "), "filename", F.lit("\n"), X.snippet(F.col("text"), 160))
     lists = s.groupBy("notebook_id").agg(F.array_sort(F.collect_list(F.struct("source_id", part.alias("p")))).alias("ps"))

@@ -45,7 +45,7 @@ def hit_rank(spark, sf_dir):
 
 @PLANS.add(f"WITH {_RUNS} SELECT run_id, item_id, status, hit_rank FROM results")
 def result_status(spark, sf_dir):
-    """V-02, V-11"""
+    """V-02"""
     return _runs(spark, sf_dir).select("run_id", "item_id", "status", "hit_rank")
 
 
@@ -139,7 +139,7 @@ def round_robin_sampling(spark, sf_dir):
 @PLANS.add(f"""WITH {DIVERSE}, h AS (SELECT question_id, min(position) AS rank FROM diverse JOIN questions USING (question_id, question) WHERE position <= 5 AND contains(text, evidence) GROUP BY question_id)
  SELECT count(*) AS questions, count(rank) AS hits, round(count(rank) / count(*)::DOUBLE, 4) AS recall_at_5, round(sum(coalesce(1.0::DOUBLE / rank, 0)::DECIMAL(28,9))::DOUBLE / count(*), 4) AS mrr FROM questions LEFT JOIN h USING (question_id)""")
 def offline_recall_mrr(spark, sf_dir):
-    """V-14, S-14: hits and reciprocal ranks over all questions"""
+    """V-14: hits and reciprocal ranks over all questions"""
     found, q = diverse_rows(spark, sf_dir)
     hit = found.where("position <= 5").join(q.select("question_id", "evidence"), "question_id").where(F.contains("text", F.col("evidence")))
     h = hit.groupBy("question_id").agg(F.min("position").alias("rank"))

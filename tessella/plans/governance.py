@@ -133,7 +133,7 @@ def message_decode(spark, sf_dir):
 
 @PLANS.add(f"WITH {model.USAGE} SELECT id, call_type, status, 1 + id % 3 AS attempts, id % 3 AS retry_count, CASE WHEN status = 'failed' THEN 'HTTPStatusError' ELSE '' END AS error_class, round(latency_ms, 1) AS latency_ms FROM usage")
 def call_metadata_shape(spark, sf_dir):
-    """G-09, G-10, L-13"""
+    """G-09"""
     u = model.usage_events(spark, sf_dir).withColumn("error_class", F.when(F.col("status") == "failed", "HTTPStatusError").otherwise(""))
     return G.usage_event(u).select("id", "call_type", "status", (1 + F.col("id") % 3).alias("attempts"), (F.col("id") % 3).alias("retry_count"), "error_class", F.round("latency_ms", 1).alias("latency_ms"))
 

@@ -31,7 +31,7 @@ def index_status(spark, sf_dir):
 
 @PLANS.add(f"""WITH {_INDEX} SELECT vector_id, 'upsert' AS action FROM ids ANTI JOIN idx USING (vector_id) UNION ALL SELECT vector_id, 'delete' FROM idx ANTI JOIN ids USING (vector_id)""")
 def index_diff_plan(spark, sf_dir):
-    """K-07, U-03, S-11, S-16"""
+    """K-07, U-03, S-11"""
     return O.index_plan(*_index(spark, sf_dir))
 
 
@@ -43,7 +43,7 @@ def index_full_plan(spark, sf_dir):
 
 @PLANS.add(f"WITH {_INDEX} SELECT vector_id FROM idx ANTI JOIN ids USING (vector_id)")
 def orphan_vectors(spark, sf_dir):
-    """U-03, K-08"""
+    """U-03"""
     return O.index_plan(*_index(spark, sf_dir)).where("action = 'delete'").select("vector_id")
 
 
@@ -93,7 +93,7 @@ def relative_age(spark, sf_dir):
 @PLANS.add(f"""WITH {model.CHUNKS} SELECT 'sources' AS tbl, count(*) AS rows_left FROM sources WHERE user_id <> 3 UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE source_id NOT IN (SELECT source_id FROM sources WHERE user_id = 3)
  UNION ALL SELECT 'events', count(*) FROM events UNION ALL SELECT 'events_kept_user', count(*) FROM events WHERE user_id <> 3""")
 def cascade_delete(spark, sf_dir):
-    """M-04, M-05, M-11, B-36: a tenant's sources and chunks go, its events stay without the link"""
+    """M-04, M-05, B-36: a tenant's sources and chunks go, its events stay without the link"""
     s = model.sources(spark, sf_dir)
     gone = s.where("user_id = 3").select("source_id")
     left, (chunks,) = (lambda x: (x[0], x[1:]))(O.cascade(s, [(model.chunks(spark, sf_dir), "source_id")], gone, "source_id"))

@@ -21,7 +21,7 @@ def _stream(spark, sf_dir, name, columns):
 
 @PLANS.add(f"WITH {model.CHUNKS} SELECT source_id, count(*) AS chunks, 'indexed' AS status FROM chunks GROUP BY source_id")
 def stream_ingest(spark, sf_dir):
-    """K-04, K-09, S-22, C-10"""
+    """K-04, C-10"""
     out = jobs.work_dir(spark, "ingest")
     jobs.ingest(_stream(spark, sf_dir, "documents", [F.col("doc_id").alias("source_id"), "text"]), f"{out}/data", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/data/state").select("source_id", "chunks", "status")

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes up to which a side of a join may be broadcast.
 BROADCAST_BYTES = 64 << 20
@@ -56,6 +57,24 @@ def kept(spark: SparkSession, key: str, make: Callable[[], DataFrame]) -> DataFr
     return spark.read.parquet(_kept[name])
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the shared folder and read back."""
+    path = f"{shared_dir(df.sparkSession)}/tessella/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_forget, df.sparkSession, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, by: str, name: str) -> DataFrame:
+    """df with its rows' numbers, from 1, in the order of a column: ranges are sorted apart and begin where those before end."""
+    ranges = df.repartitionByRange(by).sortWithinPartitions(by).withColumn("_m", F.monotonically_increasing_id())
+    made = written(ranges.withColumn("_range", F.shiftright("_m", 33)))
+    sizes = made.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    return made.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + inside + 1).drop("_m", "_range", "_before")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files make fewer splits than that; a large table stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism

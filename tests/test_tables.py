@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import store
 from tessella.operators import governance as G
 from tessella.operators import tables as O
 
@@ -50,3 +51,24 @@ def test_safety_rules(spark):
     for r in G.scan(df, "i", "t", "input", "chat").collect():
         got.setdefault(r.i, []).append((r.rule_id.split(".")[-1], r.decision))
     assert got == {2: [("max_chars", "block_candidate")], 3: [("control_or_invisible_chars", "warn")], 4: [("openai_api_key", "warn")], 5: [("generic_api_key_assignment", "warn")], 6: [("ignore_previous_instructions", "warn")], 7: [("reveal_system_prompt", "warn")], 8: [("bypass_rules", "warn")]}
+
+
+def test_numbers_follow_the_order(spark):
+    df = spark.range(0, 5_000, 7).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(100_003)))
+    got = sorted((r.k, r.n) for r in store.numbered(df, "k", "n").collect())
+    assert [n for _, n in got] == list(range(1, len(got) + 1))
+    assert store.numbered(df.limit(0), "k", "n").count() == 0
+
+
+def test_kept_tables_are_made_once_for_each_state(spark, tmp_path):
+    made = []
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+
+    def read():
+        key = f"t {store.state_of(spark, path)}"
+        return store.kept(spark, key, lambda: made.append(1) or spark.read.parquet(path)).count()
+
+    assert (read(), read(), len(made)) == (3, 3, 1)
+    spark.range(2).write.mode("append").parquet(path)
+    assert (read(), len(made)) == (5, 2)
