@@ -104,7 +104,11 @@ def vector_arm(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """
     q = store.small_enough(asked_vectors(asked), 5 * 8 * embedding.DIMENSIONS)
     pairs = vectors.join(q, "user_id").select("question_id", "id", "entries", F.explode("asked_vectors").alias("v"))
-    scored = pairs.select("question_id", F.col("v.variant").alias("variant"), "id", F.round(embedding.sparse_dot(F.col("entries"), F.col("v.weights")), 6).alias("dot"), F.exists("entries", lambda e: F.get(F.col("v.weights"), e.bucket) != 0).alias("met"))
+    weights = F.col("v.weights")
+    scored = pairs.select("question_id", F.col("v.variant").alias("variant"), "id", F.round(embedding.sparse_dot(F.col("entries"), weights), 6).alias("dot"), "entries", weights.alias("weights"))
+    # A product other than zero shows a common bucket; only for the rest the buckets are looked at.
+    met = F.when(F.col("dot") != 0, True).otherwise(F.exists("entries", lambda e: F.get(F.col("weights"), e.bucket) != 0))
+    scored = scored.withColumn("met", met)
     scored = scored.where("met").select("question_id", "variant", "id", F.greatest(F.lit(0.0), "dot").alias("vector_score"))
     near = top(scored, ["question_id", "variant"], [F.desc("vector_score"), F.asc("id")], k)
     return near.groupBy("question_id", "id").agg(F.max("vector_score").alias("vector_score"))
