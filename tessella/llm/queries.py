@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_join, exact_dedup, minhash, mixing, packing, quality, suffix_dedup, token_counts, toxicity, warc
+from . import embed_join, exact_dedup, minhash, mixing, packing, quality, spelling, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_counts": op8_token_counts,
         "op9_warc": op9_warc,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_spelling": op11_spelling,
     }
 
 
