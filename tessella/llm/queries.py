@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embed_join, exact_dedup, minhash, mixing, packing, quality, spelling, suffix_dedup, token_counts, toxicity, warc
+from . import alignment, embed_join, exact_dedup, minhash, mixing, packing, quality, spelling, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -62,6 +62,15 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def _two_tokenizers() -> tuple[alignment.Coder, alignment.Coder]:
+    files = _tokenizers()
+    return alignment.byte_level(files.path("byte_bpe_50k.json")), alignment.pieces(files.path("piece_bpe_32k.model"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), _two_tokenizers)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -75,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_warc": op9_warc,
         "op10_exact_dedup": op10_exact_dedup,
         "op11_spelling": op11_spelling,
+        "op12_alignment": op12_alignment,
     }
 
 
