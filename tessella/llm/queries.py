@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, embed_join, exact_dedup, minhash, mixing, packing, quality, spelling, suffix_dedup, token_counts, toxicity, warc
+from . import alignment, embed_join, exact_dedup, minhash, mixing, packing, pii, quality, spelling, suffix_dedup, token_counts, toxicity, warc
 from .common import table
 
 
@@ -71,6 +71,10 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), _two_tokenizers)
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality": op1_quality,
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_spelling": op11_spelling,
         "op12_alignment": op12_alignment,
+        "op13_pii": op13_pii,
     }
 
 
