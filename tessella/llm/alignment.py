@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -39,8 +40,8 @@ WHITE_AFTER_SPACE = re.compile(f" [{WHITE}]")
 
 #: Parts that a task remembers, and their characters, before it begins anew.
 HELD_PARTS, HELD_CHARS = 400_000, 16 << 20
-#: Characters of a text that are cut into parts at a time.
-STRETCH = 1 << 20
+#: Characters of a text that are cut into parts at a time, and parts that are looked up at a time.
+STRETCH, LOOKED_UP = 1 << 20, 1 << 18
 #: Pairs whose counts are broadcast (17 bytes each), and the salts of the first shuffle.
 HOT_PAIRS, SALTS = 1 << 21, 8
 
@@ -169,6 +170,19 @@ class Table:
             self._learn(new)
         return np.fromiter(map(self.numbers.__getitem__, found), np.int32, len(found))
 
+    def numbered_texts(self, texts: list[str], cut: Callable[[str], Iterator[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all texts' parts in a row, and how many each text has; an empty text has none."""
+        found, sizes, out = [], [], []
+        for text in texts:
+            sizes.append(0)
+            for some in cut(text) if text else ():
+                found += some
+                sizes[-1] += len(some)
+                if len(found) > LOOKED_UP:
+                    out.append(self.numbered(found))
+                    found = []
+        return np.concatenate((*out, self.numbered(found))), np.array(sizes, np.int64)
+
     def _learn(self, new: list[str]) -> None:
         ids_a, ids_b = self.a.encode(new), self.b.encode(new)
         first = len(self.numbers)
@@ -178,16 +192,16 @@ class Table:
         while self.facts.shape[1] < len(self.numbers):
             self.facts = np.concatenate((self.facts, np.zeros_like(self.facts)), axis=1)
         n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(new)) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter((i for one in ids for i in one), np.int64) for ids in (ids_a, ids_b))
-        size = np.array([len(p.encode("utf-8", "surrogatepass")) + 1 for p in new])
+        a, b = (np.fromiter(itertools.chain.from_iterable(ids), np.int64) for ids in (ids_a, ids_b))
+        raw = [f" {p}".encode("utf-8", "surrogatepass") for p in new]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
         own_a, own_b = np.repeat(np.arange(len(new)), n_a), np.repeat(np.arange(len(new)), n_b)
         len_a, len_b = self.a.lengths[a], self.b.lengths[b]
         fits = (np.bincount(own_a, len_a, len(new)) == size) & (np.bincount(own_b, len_b, len(new)) == size)
-        joined = b"".join(f" {p}".encode("utf-8", "surrogatepass") for p in new)
+        joined = b"".join(raw)
         if not fits.all() or any(joined != b"".join(map(c.tokens.__getitem__, x.tolist())) for c, x in ((self.a, a), (self.b, b))):
-            for k, p in enumerate(new):
-                raw = f" {p}".encode("utf-8", "surrogatepass")
-                fits[k] = all(raw == b"".join(c.tokens[i] for i in x[k]) for c, x in ((self.a, ids_a), (self.b, ids_b)))
+            for k, part in enumerate(raw):
+                fits[k] = all(part == b"".join(c.tokens[i] for i in x[k]) for c, x in ((self.a, ids_a), (self.b, ids_b)))
             keep_a, keep_b = fits[own_a], fits[own_b]
             a, own_a, len_a, b, own_b, len_b = a[keep_a], own_a[keep_a], len_a[keep_a], b[keep_b], own_b[keep_b], len_b[keep_b]
             n_a, n_b = n_a * fits, n_b * fits
@@ -244,6 +258,22 @@ class Table:
         return pair[n > 0], n[n > 0]
 
 
+def _digest(table: Table, numbers: np.ndarray) -> str:
+    out = hashlib.sha256()
+    for k in range(0, len(numbers), LOOKED_UP):
+        out.update(b";" * (k > 0) + b";".join(map(table.spelled.__getitem__, numbers[k : k + LOOKED_UP].tolist())))
+    return out.hexdigest()
+
+
+def _rest_of(table: Table, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of these parts that the table's counts lack, and how often they occur."""
+    times = np.bincount(numbers)
+    odd = [k for k in np.flatnonzero(times).tolist() if k in table.rest]
+    pair, at = np.unique(np.concatenate([table.rest[k] for k in odd]), return_inverse=True)
+    weight = np.repeat(times[odd], [len(table.rest[k]) for k in odd])
+    return pair, np.bincount(at, weight, len(pair)).astype(np.int64)
+
+
 def _whole(text: str) -> Iterator[list[str]]:
     yield [text]
 
@@ -267,13 +297,11 @@ def pair_counts(docs: DataFrame, tokenizers: Callable[[], tuple[Coder, Coder]],
 
         for frame in frames:
             for _, group in blocks([t for t in frame["text"].tolist() if t]):
-                for text in group:
-                    found = [table.numbered(some) for some in cut(text)]
-                    if all(table.facts[0, x].all() for x in found):
-                        for x in found:
-                            more = np.bincount(x, minlength=len(times))
-                            more[: len(times)] += times
-                            times = more
+                x, sizes = table.numbered_texts(group, cut)
+                whole = np.add.reduceat(table.facts[0, x], np.cumsum(sizes) - sizes) == sizes
+                more = np.bincount(x[np.repeat(whole, sizes)], minlength=len(table.numbers))
+                more[: len(times)] += times
+                times = more
                 if table.full():
                     yield sums()
                     table, times = Table(a, b), np.zeros(0, np.int64)
@@ -320,21 +348,16 @@ def alignment(docs: DataFrame, tokenizers: Callable[[], tuple[Coder, Coder]], *,
         table = Table(a, b, sent.value)
         for frame in frames:
             out = []
-            for text in frame["text"].tolist():
-                seen, digest = [], hashlib.sha256()
-                for k, some in enumerate(cut(text) if text else ()):
-                    x = table.numbered(some)
-                    seen.append(x)
-                    digest.update(b";" * (k > 0) + b";".join(map(table.spelled.__getitem__, x.tolist())))
-                x = np.concatenate(seen) if seen else np.zeros(0, np.int32)
-                fits = len(x) > 0 and table.facts[0, x].all()
-                sums = table.facts[1:, x].sum(axis=1).tolist() if fits else [0] * 7
-                times = np.bincount(x) if sums[6] else np.zeros(0, np.int64)
-                odd = [k for k in np.flatnonzero(times).tolist() if k in table.rest]
-                code = np.concatenate([table.rest[k] for k in odd]) if odd else np.zeros(0, np.int64)
-                pair, at = np.unique(code, return_inverse=True)
-                n = np.bincount(at, np.repeat(times[odd], [len(table.rest[k]) for k in odd]), len(pair)).astype(np.int64) if odd else pair
-                out.append((*sums[:6], digest.hexdigest() if fits else "", pair, n))
+            for _, group in blocks(frame["text"].tolist()):
+                x, sizes = table.numbered_texts(group, cut)
+                ends = np.cumsum(sizes)
+                sums = np.concatenate((np.zeros((8, 1), np.int64), np.cumsum(table.facts[:, x], axis=1)), axis=1)
+                sums = sums[:, ends] - sums[:, ends - sizes]
+                for k, (begin, end) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+                    fits = 0 < end - begin == sums[0, k]
+                    mine = x[begin:end]
+                    pair, n = _rest_of(table, mine) if fits and sums[7, k] else (mine[:0], mine[:0])
+                    out.append((*(sums[1:7, k].tolist() if fits else [0] * 6), _digest(table, mine) if fits else "", pair, n))
                 if table.full():
                     table = Table(a, b, sent.value)
             yield pd.concat((frame[["row", "doc_id"]], pd.DataFrame(out, columns=["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "pairs", "times"], index=frame.index)), axis=1)

@@ -81,7 +81,7 @@ def test_whole_table(spark, data_dir):
 def test_odd_texts(spark, monkeypatch, small):
     """White space and scripts of all kinds; small: few pairs are broadcast, parts are forgotten soon, stretches are short."""
     if small:
-        for name, value in (("HOT_PAIRS", 40), ("HELD_PARTS", 20), ("STRETCH", 30)):
+        for name, value in (("HOT_PAIRS", 40), ("HELD_PARTS", 20), ("STRETCH", 30), ("LOOKED_UP", 7)):
             monkeypatch.setattr(alignment, name, value)
     rng = random.Random(5)
     signs = [*"aaeinrst,.!'", " ", " ", " ", "  ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "　", " ", "é", "ß", "東", "京", "😀", "9", "2024", "<s>", "</s>", "<|endoftext|>", "<0x41>", "'ll", "\x00", "́", "don't "]
