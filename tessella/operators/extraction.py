@@ -51,10 +51,13 @@ def outside_boxes(words: DataFrame, boxes: DataFrame, page: str = "page") -> Dat
     return w.join(boxes.alias("b"), inside, "left_anti")
 
 
-def lines_of(words: DataFrame, page: str = "page") -> DataFrame:
-    """(page, top, bottom, text) lines: a word belongs to the line while it is near the top of the line's first word."""
+def lines_of(words: DataFrame, page: str = "page", *keys: str) -> DataFrame:
+    """(page, keys, top, bottom, text) lines: a word belongs to the line while it is near the top of the line's first word.
+
+    keys: columns that tell pages of the same number apart, the file's path among many files.
+    """
     item = F.struct("top", "x0", "bottom", F.trim(F.coalesce("text", F.lit(""))).alias("text"))
-    pages = words.groupBy(page).agg(F.array_sort(F.collect_list(item)).alias("ws"))
+    pages = words.groupBy(page, *keys).agg(F.array_sort(F.collect_list(item)).alias("ws"))
     kind = "array<struct<top:double,x0:double,bottom:double,text:string>>"
     start = F.struct(F.array().cast(f"array<{kind}>").alias("out"), F.array().cast(kind).alias("cur"))
 
@@ -64,19 +67,19 @@ def lines_of(words: DataFrame, page: str = "page") -> DataFrame:
         return F.struct(out.alias("out"), F.when(same, F.concat(acc.cur, F.array(w))).otherwise(F.array(w)).alias("cur"))
 
     folded = F.aggregate("ws", start, step, lambda a: F.concat(a.out, F.array(a.cur)))
-    line = pages.select(page, F.explode(folded).alias("l"))
+    line = pages.select(page, *keys, F.explode(folded).alias("l"))
     ordered = F.array_sort(F.transform("l", lambda w: F.struct(w.x0.alias("x0"), w.top.alias("top"), w.text.alias("text"))))
     text = F.array_join(F.filter(F.transform(ordered, lambda w: w.text), lambda t: t != ""), " ")
-    return line.select(page, F.array_min(F.transform("l", lambda w: w.top)).alias("top"), F.array_max(F.transform("l", lambda w: w.bottom)).alias("bottom"), text.alias("text")).where("text <> ''")
+    return line.select(page, *keys, F.array_min(F.transform("l", lambda w: w.top)).alias("top"), F.array_max(F.transform("l", lambda w: w.bottom)).alias("bottom"), text.alias("text")).where("text <> ''")
 
 
-def paragraphs_of(lines: DataFrame, page: str = "page") -> DataFrame:
-    """(page, nr, top, location, text): a gap above the limit between a line and the one before begins a paragraph."""
-    w = Window.partitionBy(page).orderBy("top", "text")
+def paragraphs_of(lines: DataFrame, page: str = "page", *keys: str) -> DataFrame:
+    """(page, keys, nr, top, location, text): a gap above the limit between a line and the one before begins a paragraph."""
+    w = Window.partitionBy(page, *keys).orderBy("top", "text")
     new = F.when(F.col("top") - F.lag("bottom").over(w) > PARAGRAPH_GAP, 1).otherwise(0)
     numbered = lines.withColumn("_new", new).withColumn("nr", 1 + F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = numbered.groupBy(page, "nr").agg(F.min("top").alias("top"), F.array_sort(F.collect_list(F.struct("top", "text"))).alias("ls"))
-    return g.select(page, "nr", "top", F.concat(F.lit("page "), F.col(page).cast("string"), F.lit(" paragraph "), F.col("nr").cast("string")).alias("location"), F.array_join(F.transform("ls", lambda x: x.text), "\n").alias("text"))
+    g = numbered.groupBy(page, *keys, "nr").agg(F.min("top").alias("top"), F.array_sort(F.collect_list(F.struct("top", "text"))).alias("ls"))
+    return g.select(page, *keys, "nr", "top", F.concat(F.lit("page "), F.col(page).cast("string"), F.lit(" paragraph "), F.col("nr").cast("string")).alias("location"), F.array_join(F.transform("ls", lambda x: x.text), "\n").alias("text"))
 
 
 def interleave(paragraphs: DataFrame, tables: DataFrame, page: str = "page") -> DataFrame:

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from .. import store
 from ..operators import chunking
 from ..sources import files
 from ..streaming.jobs import work_dir
@@ -40,12 +42,103 @@ def _docx(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 _SAID = f"{sql.strip('text')} <> ''"
 
+#: Lines on a page of the files that _pdf writes, and their distance; a blank line ends a paragraph.
+PAGE_LINES, LEADING = 50, 12
+
+
+def _content(lines: list[str], wide: bool) -> bytes:
+    """A content stream that shows each line at its place, as codes of two bytes or as literal strings."""
+    out = ["BT /F0 10 Tf"]
+    for k, line in enumerate(lines):
+        if wide:
+            shown = f"<{line.encode('utf-16-be', 'surrogatepass').hex()}>"
+        else:
+            shown = "(" + "".join(f"\\{c}" if c in "()\\" else c if " " <= c <= "~" else f"\\{c.encode('cp1252')[0]:03o}" for c in line) + ")"
+        out.append(f"1 0 0 1 40 {780 - LEADING * k} Tm {shown} Tj")
+    return "\n".join([*out, "ET"]).encode("ascii")
+
+
+def _pdf(name: str, text: str) -> bytes:
+    """A file with the lines of a text: odd numbers hold a table of objects, even ones a stream of it and packed objects."""
+    lines = text.split("\n")
+    try:
+        text.encode("cp1252")
+        wide = int(name) % 3 == 0
+    except UnicodeEncodeError:
+        wide = True
+    pages = [lines[k : k + PAGE_LINES] for k in range(0, len(lines), PAGE_LINES)]
+    codes = sorted({int.from_bytes(u, "big") for u in (text.encode("utf-16-be", "surrogatepass")[k : k + 2] for k in range(0, 2 * len(text) + 2, 2)) if u})
+    chars = "\n".join(f"<{c:04x}> <{c:04x}>" for c in codes)
+    font = "<</Type/Font/Subtype/Type0/BaseFont/F/Encoding/Identity-H/DescendantFonts[<</Type/Font/Subtype/CIDFontType2/DW 500>>]/ToUnicode 4 0 R>>" if wide else "<</Type/Font/Subtype/Type1/BaseFont/Helvetica/Encoding/WinAnsiEncoding>>"
+    kids = " ".join(f"{5 + 2 * k} 0 R" for k in range(len(pages)))
+    plain = {1: "<</Type/Catalog/Pages 2 0 R>>", 2: f"<</Type/Pages/Kids[{kids}]/Count {len(pages)}/MediaBox[0 0 612 792]/Resources<</Font<</F0 3 0 R>>>>>>", 3: font}
+    streams = {4: (f"begincmap {len(codes)} beginbfchar\n{chars}\nendbfchar endcmap".encode(), "")}
+    for k, page in enumerate(pages):
+        plain[5 + 2 * k] = f"<</Type/Page/Parent 2 0 R/Contents {6 + 2 * k} 0 R>>"
+        streams[6 + 2 * k] = _content(page, wide), ""
+    out, places, last = bytearray(b"%PDF-1.7\n"), {}, 4 + 2 * len(pages)
+
+    def put(number: int, body: bytes) -> None:
+        places[number] = len(out)
+        out.extend(b"%d 0 obj\n%s\nendobj\n" % (number, body))
+
+    def stream(data: bytes, more: str) -> bytes:
+        packed = zlib.compress(data)
+        return f"<</Length {len(packed)}/Filter/FlateDecode{more}>>stream\n".encode() + packed + b"\nendstream"
+
+    for number, (data, more) in streams.items():
+        put(number, stream(data, more))
+    if int(name) % 2:
+        for number, body in plain.items():
+            put(number, body.encode())
+        start = len(out)
+        out += b"xref\n0 %d\n0000000000 65535 f \n" % (last + 1) + b"".join(b"%010d 00000 n \n" % places[n] for n in range(1, last + 1))
+        out += b"trailer\n<</Size %d/Root 1 0 R>>\nstartxref\n%d\n%%%%EOF" % (last + 1, start)
+        return bytes(out)
+    heads, bodies = [], ""
+    for number, body in plain.items():
+        heads.append(f"{number} {len(bodies)}")
+        bodies += f"{body} "
+    head = " ".join(heads) + " "
+    put(last + 1, stream((head + bodies).encode(), f"/Type/ObjStm/N {len(plain)}/First {len(head)}"))
+    start, order = len(out), {n: k for k, n in enumerate(plain)}
+    rows = [b"\0\0\0\0\0\0\0"] + [b"\2" + (last + 1).to_bytes(4, "big") + order[n].to_bytes(2, "big") if n in order else b"\1" + places[n].to_bytes(4, "big") + b"\0\0" for n in range(1, last + 2)]
+    rows.append(b"\1" + start.to_bytes(4, "big") + b"\0\0")
+    # Each row less the one above it, as most writers store it.
+    less = [b"\2" + bytes((a - b) & 255 for a, b in zip(row, above, strict=True)) for row, above in zip(rows, [bytes(7), *rows], strict=False)]
+    put(last + 2, stream(b"".join(less), f"/Type/XRef/Size {last + 3}/W[1 4 2]/Root 1 0 R/DecodeParms<</Predictor 12/Columns 7>>"))
+    return bytes(out) + b"startxref\n%d\n%%%%EOF" % start
+
+
+def _pdfs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for names, texts in batches:
+        yield pd.Series([_pdf(n, t) for n, t in zip(names, texts, strict=True)])
+
+
+_LINE = sql.collapse("line")
+
+
+@PLANS.add(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id % 10 <> 7),
+ said AS (SELECT doc_id, (n - 1) // {PAGE_LINES} + 1 AS page, n, {_LINE} AS line FROM l WHERE {_LINE} <> ''),
+ begun AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY doc_id, page ORDER BY n) > 1 THEN 1 ELSE 0 END AS new FROM said),
+ nrs AS (SELECT *, 1 + sum(new) OVER (PARTITION BY doc_id, page ORDER BY n) AS nr FROM begun)
+ SELECT doc_id, 'page ' || page || ' paragraph ' || nr::BIGINT AS location, string_agg(line, chr(10) ORDER BY n) AS text, '' AS error FROM nrs GROUP BY doc_id, page, nr
+ UNION ALL SELECT doc_id, NULL, NULL, 'ValueError: no PDF heading' FROM documents WHERE doc_id % 10 = 7""")
+def pdf_text(spark, sf_dir):
+    """S-07, T-07, T-08: every document as the bytes of a PDF file, read back as words with boxes, lines and paragraphs; broken files have an error"""
+    d = store.spread(model.read(spark, sf_dir, "documents"))
+    made = F.pandas_udf(_pdfs, "binary")(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")))
+    content = F.when(F.col("doc_id") % 10 == 7, F.lit("no such file").cast("binary")).otherwise(made)
+    rows = d.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), content.alias("content"))
+    found = files.sections(rows).select(F.regexp_extract("path", r"/in/(\d+)\.", 1).cast("long").alias("doc_id"), F.explode_outer("sections").alias("s"), "error")
+    return found.select("doc_id", "s.location", "s.text", "error").where("text is not null or error <> ''")
+
 
 @PLANS.add(f"""WITH d AS (SELECT doc_id, source, text, doc_id % 5 AS kind FROM documents)
  SELECT doc_id, 'document' AS location, text, '' AS error FROM d WHERE kind < 2 AND {_SAID} UNION ALL SELECT doc_id, 'document', 'First' || chr(10) || 'Table:' || chr(10) || 'Name of | ' || source || ' Table: in' || chr(10) || 'Last', '' FROM d WHERE kind = 2
- UNION ALL SELECT doc_id, 'header', 'Head', '' FROM d WHERE kind = 2 UNION ALL SELECT doc_id, NULL, NULL, 'BadZipFile' FROM d WHERE kind = 3 UNION ALL SELECT doc_id, NULL, NULL, 'no PDF extractor is configured' FROM d WHERE kind = 4""")
+ UNION ALL SELECT doc_id, 'header', 'Head', '' FROM d WHERE kind = 2 UNION ALL SELECT doc_id, NULL, NULL, 'BadZipFile' FROM d WHERE kind = 3 UNION ALL SELECT doc_id, NULL, NULL, 'ValueError' FROM d WHERE kind = 4""")
 def file_sections(spark, sf_dir):
-    """S-02, S-03, S-06, S-07, T-04: each kind of file by its extractor; broken files and ones without extractor have an error"""
+    """S-02, S-03, S-06, T-04: each kind of file by its extractor; broken files have an error"""
     kind = F.col("doc_id") % 5
     name = F.element_at(F.array(*map(F.lit, (".txt", ".MD", ".docx", ".docx", ".pdf"))), (kind + 1).cast("int"))
     # A byte that is no UTF-8 is dropped.
@@ -55,16 +148,14 @@ def file_sections(spark, sf_dir):
     return found.select("doc_id", "s.location", "s.text", "error")
 
 
-@PLANS.add(f"""WITH {model.CHUNKS} SELECT source_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM chunks WHERE source_id % 4 <> 1 GROUP BY source_id
- UNION ALL SELECT source_id, 1, 8 FROM sources WHERE source_id % 4 = 1""")
+@PLANS.add(f"""WITH {model.CHUNKS} SELECT source_id, count(*) AS chunks, sum(length(text))::BIGINT AS chars FROM chunks WHERE source_id % 7 <> 1 GROUP BY source_id
+ UNION ALL SELECT source_id, 1, 8 FROM sources WHERE source_id % 7 = 1""")
 def chunk_sink(spark, sf_dir):
-    """S-15: a source's chunks are replaced as a whole, other sources' stay"""
+    """S-15, M-01: a source's chunks are replaced as a whole; other sources' stay, those of the same bucket too"""
     path = work_dir(spark, "chunks")
-    bucket = F.pmod("source_id", F.lit(4)).alias("bucket")
-    put = lambda rows: files.write_chunks(rows.select("source_id", "text", bucket), path, by="bucket")
-    put(model.chunks(spark, sf_dir))
-    put(model.sources(spark, sf_dir).where("source_id % 4 = 1").select("source_id", F.lit("replaced").alias("text")))
-    return spark.read.parquet(path).groupBy("source_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
+    files.write_chunks(model.chunks(spark, sf_dir).select("source_id", "text"), path, buckets=8)
+    files.write_chunks(model.sources(spark, sf_dir).where("source_id % 7 = 1").select("source_id", F.lit("replaced").alias("text")), path, buckets=8)
+    return files.read_chunks(spark, path).groupBy("source_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.length("text")).alias("chars"))
 
 
 @PLANS.add("SELECT event_type, 2 * count(*) AS rows_appended, true AS stored, false AS failure_stored FROM events GROUP BY event_type")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import json
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -11,8 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..operators import extraction as E
 from ..operators.markup import visible
+from . import pdf
 
 SECTIONS = "array<struct<location:string,text:string>>"
 
@@ -72,14 +76,57 @@ def docx_sections(raw: bytes) -> list[tuple[str, str]]:
     return [(label, text) for label, text in found if text.strip()]
 
 
-#: Extractors of binary kinds by suffix; PDF bytes need one from outside (words and tables then go through the layout operators).
+def pdf_words(files: DataFrame) -> DataFrame:
+    """(path, page, text, x0, x1, top, bottom, error) of PDF files (path, content): a row a word.
+
+    A file that can't be read, or only in part, has one more row that holds an error and no word. A long file leaves its
+    task in frames of WORDS_A_FRAME words.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                rows, error = [], ""
+                found = pdf.words(bytes(content))
+                while True:
+                    try:
+                        word = next(found, None)
+                    except Exception as e:  # noqa: BLE001 - one bad file must not end the scan
+                        word, error = None, f"{type(e).__name__}: {e}"[:500]
+                    if word is None:
+                        break
+                    rows.append((path, *word, ""))
+                    if len(rows) == WORDS_A_FRAME:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows = []
+                rows.append((path, None, None, None, None, None, None, error))
+                yield pd.DataFrame(rows, columns=names).astype({"page": "Int64"})
+
+    names = ["path", "page", "text", "x0", "x1", "top", "bottom", "error"]
+    return files.mapInPandas(read, "path string, page long, text string, x0 double, x1 double, top double, bottom double, error string")
+
+
+def pdf_sections(files: DataFrame) -> DataFrame:
+    """(path, sections, error) of PDF files: the paragraphs of their pages in reading order."""
+    words = store.written(pdf_words(files.select("path", "content")))
+    paragraphs = E.paragraphs_of(E.lines_of(words.where("page is not null"), "page", "path"), "page", "path")
+    ordered = F.array_sort(F.collect_list(F.struct("page", "nr", "location", "text")))
+    found = paragraphs.groupBy("path").agg(F.transform(ordered, lambda p: F.struct(p.location.alias("location"), p.text.alias("text"))).alias("_found"))
+    ends = words.where("page is null").select("path", "error").join(found, "path", "left")
+    return ends.select("path", F.coalesce("_found", F.array().cast(SECTIONS)).alias("sections"), "error")
+
+
+WORDS_A_FRAME = 20_000
+
+#: Extractors of binary kinds by suffix; PDF files go through the layout operators instead.
 EXTRACTORS: dict[str, Callable[[bytes], list[tuple[str, str]]]] = {".html": html_sections, ".htm": html_sections, ".docx": docx_sections}
 
 
 def sections(files: DataFrame, extractors: dict[str, Callable[[bytes], list[tuple[str, str]]]] | None = None) -> DataFrame:
-    """(path, sections, error): text and captions natively, the rest through extractors in Arrow batches.
+    """(path, sections, error): text and captions natively, PDF words through the layout operators, the rest by extractors.
 
-    A file that can't be read has an error of at most 500 characters and no sections; the others go on.
+    A file that can't be read has an error of at most 500 characters and no sections; the others go on. Bytes that are no
+    UTF-8 are dropped, or replaced in captions.
     """
     known = EXTRACTORS | (extractors or {})
     kind = E.suffix(F.col("path"))
@@ -91,18 +138,19 @@ def sections(files: DataFrame, extractors: dict[str, Callable[[bytes], list[tupl
                 suffix = "." + path.rsplit(".", 1)[-1].lower()
                 try:
                     found, error = ([("document", content.decode("utf-8", "ignore"))] if suffix not in known else known[suffix](content)), ""
-                    if suffix == ".pdf" and suffix not in known:
-                        found, error = [], "no PDF extractor is configured"
                 except Exception as e:  # noqa: BLE001 - one bad file must not end the scan
                     found, error = [], f"{type(e).__name__}: {e}"[:500]
                 out.append((path, [{"location": a, "text": b} for a, b in found if b.strip()], error))
             yield pd.DataFrame(out, columns=["path", "sections", "error"])
 
     captions = files.where(kind.isin(".srt", ".vtt"))
-    said = E.captions(F.decode("content", "UTF-8"))
+    # A byte that is no UTF-8 becomes a replacement sign; a strict decoder would end the job.
+    said = E.captions(F.expr("make_valid_utf8(cast(content as string))"))
     spoken = captions.select("path", F.filter(F.array(F.struct(F.lit("transcript").alias("location"), said.alias("text"))), lambda s: s.text != "").alias("sections"), F.lit("").alias("error"))
-    rest = files.where(~kind.isin(".srt", ".vtt")).mapInPandas(extract, f"path string, sections {SECTIONS}, error string")
-    return spoken.unionByName(rest)
+    own = [".srt", ".vtt", *([".pdf"] if ".pdf" not in known else [])]
+    rest = files.where(~kind.isin(own)).mapInPandas(extract, f"path string, sections {SECTIONS}, error string")
+    out = spoken.unionByName(rest)
+    return out.unionByName(pdf_sections(files.where(kind == ".pdf"))) if ".pdf" in own else out
 
 
 def eval_fixture(spark: SparkSession, path: str) -> DataFrame:
@@ -112,12 +160,65 @@ def eval_fixture(spark: SparkSession, path: str) -> DataFrame:
     return found.select("notebook_id", (F.col("p") + 1).alias("nr"), F.col("q.q").alias("question"), "q.expected_filename", F.coalesce("q.expected_substrings", F.array().cast("array<string>")).alias("expected_substrings"))
 
 
-def write_chunks(chunks: DataFrame, path: str, by: str = "source_id") -> None:
-    """Replace the chunks of the sources in `chunks`, partition by partition; other sources stay.
+def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
+    """Replace the chunks of the sources in `chunks` (source_id, ...); all other sources' chunks stay.
 
-    by: the column that folders are made by, for many sources a bucket that holds whole ones.
+    The sink is a folder of versions, each a list of bucket folders. A write reads and merges the buckets that its sources
+    fall into, writes those anew beside the old ones and then puts up a list that names them: one small file, made whole
+    under another name and renamed, is what switches over. A writer that dies before leaves the old version as it was,
+    and readers keep to the version they began with. Of two writers at a time the later list is refused, for its
+    version is taken, and that writer must begin again. An empty `chunks` changes nothing.
     """
-    chunks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    spark = chunks.sparkSession
+    rows = store.written(chunks.withColumn("_bucket", F.pmod(F.xxhash64("source_id"), F.lit(buckets)).cast("int")))
+    touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most the number of buckets
+    if not touched:
+        return
+    version, folders = _version(spark, path)
+    old = [folders[b] for b in touched if b in folders]
+    merged = rows
+    if old:
+        kept = spark.read.parquet(*old).join(rows.select("source_id").distinct(), "source_id", "left_anti")
+        merged = rows.unionByName(kept, allowMissingColumns=True)
+    data = f"{path}/data-{uuid.uuid4().hex}"
+    merged.withColumn("_folder", F.col("_bucket")).repartition(F.col("_bucket")).write.partitionBy("_folder").parquet(data)
+    folders |= {b: f"{data}/_folder={b}" for b in touched}
+    _put_version(spark, path, version + 1, folders)
+
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks of a sink's present version."""
+    _, folders = _version(spark, path)
+    if not folders:
+        raise ValueError(f"no chunks were written to {path}")
+    return spark.read.option("mergeSchema", True).parquet(*folders.values()).drop("_bucket")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _version(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
+    """(number, folder by bucket) of the last version; number 0 where nothing was written."""
+    top, fs = _hadoop(spark, f"{path}/versions")
+    names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
+    numbers = [int(n) for n in names if n.isdigit()]
+    if not numbers:
+        return 0, {}
+    found = spark.read.text(f"{path}/versions/{max(numbers)}", wholetext=True).head()[0]
+    return max(numbers), {int(b): folder for b, folder in json.loads(found).items()}
+
+
+def _put_version(spark: SparkSession, path: str, number: int, folders: dict[int, str]) -> None:
+    draft, fs = _hadoop(spark, f"{path}/versions/draft-{uuid.uuid4().hex}")
+    out = fs.create(draft, False)
+    out.write(json.dumps(folders).encode())
+    out.close()
+    target, _ = _hadoop(spark, f"{path}/versions/{number}")
+    if fs.exists(target) or not fs.rename(draft, target):
+        fs.delete(draft, False)
+        raise RuntimeError(f"version {number} of {path} was written by another")
 
 
 def append_events(events: DataFrame, path: str) -> bool:

@@ -2,6 +2,7 @@ import io
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.sources import config, files
 
@@ -38,11 +39,37 @@ def test_scan_and_extract(spark, tmp_path):
 
 
 def test_chunk_sink_replaces_only_its_sources(spark, tmp_path):
-    path = str(tmp_path / "chunks")
-    put = lambda rows: files.write_chunks(spark.createDataFrame(rows, "source_id long, text string"), path)
-    put([(1, "a"), (2, "b")])
+    """Two sources in one bucket; a writer that dies, or comes second, leaves the version that stands."""
+    path = f"file://{tmp_path}/chunks"
+    put = lambda rows: files.write_chunks(spark.createDataFrame(rows, "source_id long, text string"), path, buckets=1)
+    read = lambda: sorted((r.source_id, r.text) for r in files.read_chunks(spark, path).collect())
+    put([(1, "a"), (1, "b"), (2, "b")])
     put([(1, "c")])
-    assert sorted((r.source_id, r.text) for r in spark.read.parquet(path).collect()) == [(1, "c"), (2, "b")]
+    assert read() == [(1, "c"), (2, "b")]
+    bad = spark.createDataFrame([(2, "x")], "source_id long, text string").withColumn("text", F.raise_error(F.lit("dies")).cast("string"))
+    with pytest.raises(Exception, match="dies"):
+        files.write_chunks(bad, path, buckets=1)
+    put([])
+    assert read() == [(1, "c"), (2, "b")]
+    with pytest.raises(RuntimeError, match="another"):
+        files._put_version(spark, path, 2, {})
+    assert read() == [(1, "c"), (2, "b")]
+
+
+def test_chunk_sink_reads_only_touched_buckets(spark, tmp_path):
+    path = f"file://{tmp_path}/chunks"
+    files.write_chunks(spark.range(200).select(F.col("id").alias("source_id"), F.lit("t").alias("text")), path, buckets=16)
+    _, before = files._version(spark, path)
+    files.write_chunks(spark.createDataFrame([(5, "new")], "source_id long, text string"), path, buckets=16)
+    number, after = files._version(spark, path)
+    assert number == 2 and len(before) == 16 and sum(before[b] != after[b] for b in before) == 1
+    assert files.read_chunks(spark, path).count() == 200 and files.read_chunks(spark, path).where("text = 'new'").count() == 1
+
+
+def test_one_bad_byte_in_captions(spark):
+    rows = spark.createDataFrame([("/a.srt", b"1\n00:01 --> 00:02\nHi \xff there\n"), ("/b.vtt", b"WEBVTT\n\nFine\n")], "path string, content binary")
+    got = {r.path: [s.text for s in r.sections] for r in files.sections(rows).collect()}
+    assert got == {"/a.srt": ["Hi \ufffd there"], "/b.vtt": ["Fine"]}
 
 
 def test_append_never_raises(spark, tmp_path):
