@@ -184,6 +184,31 @@ def estimate_tokens(chars: Column) -> Column:
     return F.floor((n + 3) / 4).cast("long")
 
 
+def last_wins(entries: Column) -> Column:
+    """A map of array<struct<key,value>>; of equal keys the last one's value stays, as in a JSON object read key by key."""
+
+    def once(es: Column) -> Column:
+        backward = F.reverse(F.transform(es, lambda e: e.key))
+        return F.map_from_entries(F.filter(es, lambda e, i: F.array_position(backward, e.key) == F.size(es) - i))
+
+    return let(entries, once)
+
+
+def json_int(v: Column) -> Column:
+    """A JSON value (variant) as a count: whole numbers, others without their fraction, true and false as 1 and 0, strings
+    that spell a whole number; null for all else and below 0."""
+    kind = F.schema_of_variant(v)
+    said = strip(F.try_variant_get(v, "$", "string"))
+    spelled = F.when(said.rlike("^[+-]?[0-9]+(_[0-9]+)*$"), F.regexp_replace(said, "_", "").try_cast("long"))
+    n = (
+        F.when(kind == "STRING", spelled)
+        .when(kind == "BIGINT", F.try_variant_get(v, "$", "bigint"))
+        .when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int").cast("long"))
+        .when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, "$", "double").try_cast("long"))
+    )
+    return F.when(n >= 0, n)
+
+
 def optional_int(c: Column, least: int = 0) -> Column:
     n = F.expr("null").cast("long")
     value = c.try_cast("long")

@@ -34,8 +34,9 @@ USAGE_KEYS = {
     "total_tokens": ["total_tokens", "totalTokens", "totalTokenCount", "total_token_count", "total"],
 }
 NESTED = ["usage", "token_usage", "tokens"]
-#: Stems that make a metadata key sensitive, and the context ids that events keep.
+#: Stems that make a metadata key sensitive, widths of usage columns, and the context ids that events keep.
 SENSITIVE = ["prompt", "user_prompt", "system_prompt", "source_text", "source_content", "retrieved_text", "snippet", "answer", "output", "content", "api_key", "secret"]
+USAGE_WIDTHS = {"call_type": 80, "provider": 80, "model": 160, "status": 40, "error_class": 120}
 CONTEXT_KEYS = ["user_id", "notebook_id", "conversation_id", "message_id", "source_id", "eval_run_id", "eval_set_id"]
 
 
@@ -70,14 +71,19 @@ def scan(rows: DataFrame, key: str, text: str, event_type: str, surface: str) ->
 
 
 def usage_objects(usage: Column) -> Column:
-    """array<map<string,string>>: a JSON usage object and the objects nested in it, each parsed once."""
-    entries = lambda c: F.from_json(c, "map<string,string>")
-    return X.let(entries(usage), lambda m: F.array(m, *(entries(F.try_element_at(m, F.lit(n))) for n in NESTED)))
+    """array of structs: the known keys of a JSON usage object and of the objects nested in it, each parsed once.
+
+    Of a repeated key the last value counts.
+    """
+    keys = ", ".join(f"`{k}` variant" for k in dict.fromkeys(k for names in USAGE_KEYS.values() for k in names))
+    own = F.from_json(usage, f"struct<{keys}>")
+    nested = F.from_json(usage, f"struct<{', '.join(f'{n} string' for n in NESTED)}>")
+    return X.let(nested, lambda o: F.array(own, *(F.from_json(o[n], f"struct<{keys}>") for n in NESTED)))
 
 
 def usage_int(objects: Column, field: str) -> Column:
     """The first usable count of a field: under the object's own keys, then under those of nested objects."""
-    every = F.flatten(F.transform(objects, lambda m: F.transform(F.array(*map(F.lit, USAGE_KEYS[field])), lambda k: X.optional_int(F.try_element_at(m, k)))))
+    every = F.flatten(F.transform(objects, lambda o: F.array(*(X.json_int(o[k]) for k in USAGE_KEYS[field]))))
     return F.get(F.filter(every, lambda n: n.isNotNull()), F.lit(0))
 
 
@@ -101,9 +107,9 @@ def is_sensitive(key: Column) -> Column:
 
 
 def clean_metadata(m: Column) -> Column:
-    """A map without sensitive keys and nulls, keys cut to 80 and values to 300 characters."""
-    kept = F.map_filter(m, lambda k, v: ~is_sensitive(k) & v.isNotNull())
-    return F.transform_values(F.transform_keys(kept, lambda k, v: F.substring(k, 1, 80)), lambda k, v: F.substring(v, 1, 300))
+    """A map without sensitive keys and nulls, keys cut to 80 and values to 300 characters; of keys then alike the last stays."""
+    kept = F.map_entries(F.map_filter(m, lambda k, v: ~is_sensitive(k) & v.isNotNull()))
+    return X.last_wins(F.transform(kept, lambda e: F.struct(F.substring(e.key, 1, 80).alias("key"), F.substring(e.value, 1, 300).alias("value"))))
 
 
 def clean_context(m: Column) -> Column:
@@ -112,8 +118,8 @@ def clean_context(m: Column) -> Column:
 
 
 def usage_event(rows: DataFrame) -> DataFrame:
-    """Usage rows cut to their widths: call_type 80, provider 80, model 160, status 40, error_class 120."""
-    widths = {"call_type": 80, "provider": 80, "model": 160, "status": 40, "error_class": 120}
+    """Usage rows cut to their widths."""
+    widths = USAGE_WIDTHS
     return rows.withColumns({c: F.substring(F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("unknown" if c in ("call_type", "status") else "")), 1, n) for c, n in widths.items() if c in rows.columns})
 
 

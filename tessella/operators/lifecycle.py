@@ -24,17 +24,24 @@ def clean_title(title: Column, default: str = "") -> Column:
     return F.coalesce(F.nullif(F.substring(X.collapse(F.coalesce(title, F.lit(""))), 1, 80), F.lit("")), F.lit(default))
 
 
+def last_edits(edits: DataFrame, keys: list[str], *values: str) -> DataFrame:
+    """The last edit of each key, by the column `at` where edits have one; of edits at one time that of the greatest values."""
+    order = F.struct(*(["at"] if "at" in edits.columns else []), *values)
+    return edits.groupBy(*keys).agg(F.max_by(F.struct(*values), order).alias("_last")).select(*keys, *(F.col(f"_last.{v}").alias(v) for v in values))
+
+
 def rename(rows: DataFrame, edits: DataFrame, now: Column, default: str = "") -> DataFrame:
-    """rows (id, user_id, title, updated_at, ...) with the titles of edits (id, user_id, title); of others' rows none changes."""
-    e = edits.select("id", "user_id", clean_title(F.col("title"), default).alias("_title"))
+    """rows (id, user_id, title, updated_at, ...) with the titles of edits (id, user_id, title, maybe at): the last one of a row counts, of others' rows none changes."""
+    e = last_edits(edits.withColumn("_title", clean_title(F.col("title"), default)), ["id", "user_id"], "_title")
     joined = rows.join(e, ["id", "user_id"], "left")
     mine = F.col("_title").isNotNull()
     return joined.withColumn("title", F.coalesce("_title", "title")).withColumn("updated_at", F.when(mine, now).otherwise(F.col("updated_at"))).drop("_title")
 
 
 def edit_notes(notes: DataFrame, edits: DataFrame, now: Column) -> DataFrame:
-    """notes with title and content of edits (id, user_id, title, content); an edit without content changes nothing."""
-    e = edits.withColumn("_content", X.strip(F.coalesce("content", F.lit("")))).where("_content <> ''").select("id", "user_id", clean_title(F.col("title")).alias("_title"), "_content")
+    """notes with title and content of edits (id, user_id, title, content, maybe at), the last of a note; one without content changes nothing."""
+    some = edits.withColumn("_content", X.strip(F.coalesce("content", F.lit("")))).where("_content <> ''").withColumn("_title", clean_title(F.col("title")))
+    e = last_edits(some, ["id", "user_id"], "_title", "_content")
     joined = notes.join(e, ["id", "user_id"], "left")
     mine = F.col("_content").isNotNull()
     made = {"title": F.when(mine, F.col("_title")).otherwise(F.col("title")), "content": F.coalesce("_content", "content"), "updated_at": F.when(mine, now).otherwise(F.col("updated_at"))}
@@ -70,11 +77,12 @@ def run_context(results: DataFrame, items: DataFrame, sources: DataFrame, chunks
 
 
 def patch_json(document: Column, values: dict[str, Column]) -> Column:
-    """A JSON object with these keys set to these JSON values; its other keys stay as they are. What is no object counts as empty."""
+    """A JSON object with these keys set to these JSON values; its other keys stay as they are, of a repeated one the last.
+    What is no object counts as empty."""
     every = F.coalesce(F.from_json(document, "map<string,variant>"), F.from_json(F.lit("{}"), "map<string,variant>"))
-    others = F.map_filter(every, lambda k, v: ~k.isin(list(values)))
-    new = F.create_map(*(x for k, v in values.items() for x in (F.lit(k), F.parse_json(v))))
-    return F.to_json(F.map_concat(others, new))
+    others = F.filter(F.map_entries(every), lambda e: ~e.key.isin(list(values)))
+    new = F.array(*(F.struct(F.lit(k).alias("key"), F.parse_json(v).alias("value")) for k, v in values.items()))
+    return F.to_json(X.last_wins(F.concat(others, new)))
 
 
 def followups(messages: DataFrame) -> DataFrame:
@@ -98,10 +106,10 @@ def followups(messages: DataFrame) -> DataFrame:
 
 
 def cache_followups(messages: DataFrame, made: DataFrame) -> DataFrame:
-    """messages with the follow-ups of made (id, reply) in their metadata: at most three of a model's JSON strings."""
+    """messages with the follow-ups of made (id, reply, maybe at) in their metadata: at most three of a model's JSON strings, those made last."""
     strings = F.from_json(X.extract_json(F.col("reply")), "array<string>")
     three = F.slice(F.filter(F.transform(strings, X.strip), lambda q: q != ""), 1, 3)
-    new = made.select("id", three.alias("_new")).where(F.size("_new") > 0)
+    new = last_edits(made.withColumn("_new", three).where(F.size("_new") > 0), ["id"], "_new")
     patched = patch_json(F.col("metadata_json"), {"followups": F.to_json("_new"), "followups_version": F.lit(str(FOLLOWUPS_VERSION))})
     return messages.join(new, "id", "left").withColumn("metadata_json", F.when(F.col("_new").isNotNull(), patched).otherwise(F.col("metadata_json"))).drop("_new")
 
@@ -202,7 +210,8 @@ def source_artifacts(sources: DataFrame, chunks: DataFrame, gone: DataFrame) ->
 def process_sources(sources: DataFrame, chunks: DataFrame, failures: DataFrame) -> DataFrame:
     """sources (source_id, status, error, ...) after ingest: indexed with chunks, failed with an error of at most 500 characters."""
     counts = chunks.groupBy("source_id").agg(F.count(F.lit(1)).alias("_chunks"))
-    joined = sources.join(counts, "source_id", "left").join(failures.select("source_id", F.col("error").alias("_error")), "source_id", "left")
+    broken = last_edits(failures.withColumn("_error", F.coalesce("error", F.lit(""))), ["source_id"], "_error")
+    joined = sources.join(counts, "source_id", "left").join(broken, "source_id", "left")
     fine = F.col("_error").isNull() & (F.coalesce("_chunks", F.lit(0)) > 0)
     error = F.when(fine, "").otherwise(F.substring(F.coalesce("_error", F.lit("No extractable text found.")), 1, 500))
     return joined.withColumn("error", error).withColumn("status", F.when(fine, "indexed").otherwise("failed")).withColumn("chunks", F.when(fine, F.col("_chunks")).otherwise(F.lit(0))).drop("_chunks", "_error")

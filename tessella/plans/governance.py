@@ -33,7 +33,7 @@ def _findings(table: str) -> str:
 
 
 def _laced(spark, sf_dir):
-    return model.read(spark, sf_dir, "documents").select("doc_id", F.expr(_LACED).alias("t"))
+    return model.documents(spark, sf_dir).select("doc_id", F.expr(_LACED).alias("t"))
 
 
 @PLANS.add(f"WITH l AS (SELECT doc_id, {_LACED} AS t FROM documents), f AS ({_findings('l')}) SELECT doc_id, category, severity, decision, rule_id, sha256(t) AS content_hash, redacted_summary FROM f")
@@ -49,12 +49,15 @@ def safety_scan_counts(spark, sf_dir):
     return G.scan(d, "doc_id", "t", "input", "source").groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("findings"))
 
 
-_USAGE = """CASE event_id % 6 WHEN 0 THEN '{"prompt_tokens": 10, "completion_tokens": 5}' WHEN 1 THEN '{"usage": {"inputTokenCount": "7", "total": 30}}' WHEN 2 THEN '{"prompt_tokens": -3, "input_tokens": 0}' WHEN 3 THEN '{"tokens": {"output": 4}}' WHEN 4 THEN '{"prompt_tokens": "x"}' ELSE NULL END"""
+#: Usage as providers report it: numbers with and without a fraction, in strings, as booleans, nested, negative, none.
+_USAGE = """CASE event_id % 10 WHEN 0 THEN '{"prompt_tokens": 10, "completion_tokens": 5}' WHEN 1 THEN '{"usage": {"inputTokenCount": "7", "total": 30}}' WHEN 2 THEN '{"prompt_tokens": -3, "input_tokens": 0}' WHEN 3 THEN '{"tokens": {"output": 4}}' WHEN 4 THEN '{"prompt_tokens": "x"}'
+ WHEN 5 THEN '{"usage": {"prompt_tokens": 1.0}}' WHEN 6 THEN '{"prompt_tokens": true, "completion_tokens": 3.7}' WHEN 7 THEN '{"prompt_tokens": " 8 ", "completion_tokens": "3.7", "total": [1]}' WHEN 8 THEN '{"prompt_tokens": null, "inputTokens": -0.5, "tokens": 9}' ELSE NULL END"""
 
 
 def _first(field: str) -> str:
     keys = [f"$.{k}" for k in G.USAGE_KEYS[field]] + [f"$.{n}.{k}" for n in G.NESTED for k in G.USAGE_KEYS[field]]
-    return "coalesce(" + ", ".join(f"CASE WHEN TRY_CAST(u->>'{k}' AS BIGINT) >= 0 THEN TRY_CAST(u->>'{k}' AS BIGINT) END" for k in keys) + ")"
+    count = "CASE json_type(u, k) WHEN 'BOOLEAN' THEN (u->>k = 'true')::BIGINT WHEN 'DOUBLE' THEN trunc((u->>k)::DOUBLE)::BIGINT WHEN 'VARCHAR' THEN CASE WHEN regexp_matches(trim(u->>k), '^[+-]?[0-9]+$') THEN trim(u->>k)::BIGINT END WHEN 'UBIGINT' THEN (u->>k)::BIGINT WHEN 'BIGINT' THEN (u->>k)::BIGINT END"
+    return f"list_filter(list_transform([{', '.join(f"'{k}'" for k in keys)}], lambda k: {count}), lambda n: n >= 0)[1]"
 
 
 @PLANS.add(f"""WITH {model.USAGE}, j AS (SELECT e.event_id AS id, ({_USAGE})::JSON AS u, x.input_chars, x.output_chars FROM events e JOIN usage x ON x.id = e.event_id),
@@ -73,11 +76,11 @@ def token_estimate(spark, sf_dir):
     return d.withColumn("tokens", X.estimate_tokens(F.col("chars")))
 
 
-@PLANS.add("""SELECT event_id, 'action' || chr(10) || event_type || chr(10) || 'latency' || chr(10) || substring(repeat(floor(value)::INT::VARCHAR || '-', 200), 1, 300) AS kept, 2 AS n_kept FROM events""")
+@PLANS.add("""SELECT event_id, 'action' || chr(10) || event_type || chr(10) || 'latency' || chr(10) || substring(repeat(floor(value)::INT::VARCHAR || '-', 200), 1, 300) || chr(10) || repeat('long', 20) || chr(10) || 'last' AS kept, 3 AS n_kept FROM events""")
 def metadata_redact(spark, sf_dir):
-    """X-57: of six keys two may stay"""
+    """X-57: of eight keys four may stay, two of them alike when cut"""
     e = model.read(spark, sf_dir, "events")
-    m = F.create_map(F.lit("action"), F.col("event_type"), F.lit("API-Key"), F.lit("x"), F.lit("promptTokens"), F.lit("9"), F.lit("latency"), F.repeat(F.concat(F.floor("value").cast("string"), F.lit("-")), F.lit(200)), F.lit("client_secret_id"), F.lit("s"), F.lit("nothing"), F.lit(None).cast("string"))
+    m = F.create_map(F.lit("action"), F.col("event_type"), F.lit("API-Key"), F.lit("x"), F.lit("promptTokens"), F.lit("9"), F.lit("latency"), F.repeat(F.concat(F.floor("value").cast("string"), F.lit("-")), F.lit(200)), F.lit("client_secret_id"), F.lit("s"), F.lit("nothing"), F.lit(None).cast("string"), F.lit("long" * 21), F.lit("first"), F.lit("long" * 20 + "er"), F.lit("last"))
     c = e.select("event_id", G.clean_metadata(m).alias("m"))
     pairs = F.flatten(F.transform(F.array_sort(F.map_entries("m")), lambda x: F.array(x.key, x.value)))
     return c.select("event_id", F.array_join(pairs, "\n").alias("kept"), F.size("m").alias("n_kept"))

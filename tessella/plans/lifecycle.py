@@ -28,7 +28,9 @@ def rename_conversation(spark, sf_dir):
     wanted = F.when(F.col("id") % 6 == 0, "  \n ").otherwise(F.concat(F.lit("  new "), "c_mktsegment", F.lit(" \t "), "title", F.repeat(F.lit(" tail"), 20)))
     mine = c.where("id % 3 = 0").select("id", "user_id", wanted.alias("title"))
     foreign = c.where("id % 3 = 1").select("id", (F.col("user_id") + 1).alias("user_id"), F.lit("not mine").alias("title"))
-    return L.rename(c, mine.unionByName(foreign), F.expr(NOW), "新對話").select("id", "title", "updated_at")
+    # An earlier edit of the same row is overtaken by the one above.
+    both = mine.withColumn("at", F.lit(2)).unionByName(mine.select("id", "user_id", F.lit("zz earlier").alias("title"), F.lit(1).alias("at")))
+    return L.rename(c, both.unionByName(foreign.withColumn("at", F.lit(3))), F.expr(NOW), "新對話").select("id", "title", "updated_at")
 
 
 @PLANS.add(f"""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'Edited ' || turn ELSE 'old' END AS title, CASE WHEN turn % 2 = 0 THEN 'changed: ' || {sql.strip('text')} ELSE text END AS content, CASE WHEN turn % 2 = 0 THEN {NOW} ELSE {model.BASE} END AS updated_at FROM conversations""")
@@ -36,7 +38,8 @@ def edit_note(spark, sf_dir):
     """M-10: an edit without content is refused"""
     c = model.read(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.lit(1).alias("user_id"), F.lit("old").alias("title"), F.col("text").alias("content"), F.expr(model.BASE).alias("updated_at"))
     edits = c.select("id", "user_id", F.concat(F.lit(" Edited  "), F.col("turn").cast("string")).alias("title"), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" changed: "), X.strip("content"), F.lit("\n"))).otherwise(F.lit("  ")).alias("content"))
-    return L.edit_notes(c, edits, F.expr(NOW)).select("conv_id", "turn", "title", "content", "updated_at")
+    earlier = c.where("turn % 2 = 0").select("id", "user_id", F.lit("zz").alias("title"), F.lit("earlier").alias("content"), F.lit(1).alias("at"))
+    return L.edit_notes(c, edits.withColumn("at", F.lit(2)).unionByName(earlier), F.expr(NOW)).select("conv_id", "turn", "title", "content", "updated_at")
 
 
 @PLANS.add(f"""WITH {model.SOURCES}, t AS (SELECT DISTINCT notebook_id FROM sources WHERE source_id % 13 = 0), n AS (SELECT DISTINCT notebook_id FROM sources) SELECT n.notebook_id, CASE WHEN t.notebook_id IS NOT NULL THEN {NOW} ELSE {model.BASE} END AS updated_at FROM n LEFT JOIN t USING (notebook_id)""")
@@ -75,7 +78,7 @@ def run_context(spark, sf_dir):
 def _messages(spark, sf_dir):
     c = model.messages(spark, sf_dir)
     snippets = F.when(F.col("id") % 3 == 0, F.array(F.substring("content", 1, 700), F.lit("  "), F.lit("臨床試驗的安全性與有效性資料說明文件"))).otherwise(F.array().cast("array<string>"))
-    meta = F.when(F.col("id") % 5 == 0, '{"followups": ["a"], "followups_version": 2, "mode": "x"}').when(F.col("id") % 5 == 1, '{"followups": ["a"], "followups_version": 1, "n": 7}').otherwise("{}")
+    meta = F.when(F.col("id") % 5 == 0, '{"followups": ["a"], "followups_version": 2, "mode": "x"}').when(F.col("id") % 5 == 1, '{"followups": ["a"], "followups_version": 1, "n": 6, "n": 7}').otherwise("{}")
     return c.withColumn("snippets", snippets).withColumn("metadata_json", meta)
 
 
@@ -102,7 +105,8 @@ def followups_patch(spark, sf_dir):
     """X-51, L-05, X-53: two keys of the metadata are set, the others stay with their types"""
     m = _messages(spark, sf_dir)
     reply = F.concat(F.lit('```json\n[" What about '), F.col("id").cast("string"), F.lit('? ", "", "b", "c", "d"]\n```'))
-    made = m.select("id", F.when(F.col("id") % 4 == 0, reply).otherwise("no list").alias("reply")).where("id % 4 < 2")
+    made = m.select("id", F.when(F.col("id") % 4 == 0, reply).otherwise("no list").alias("reply"), F.lit(2).alias("at")).where("id % 4 < 2")
+    made = made.unionByName(m.select("id", F.lit('["overtaken"]').alias("reply"), F.lit(1).alias("at")).where("id % 4 = 0"))
     whole = F.from_json("metadata_json", "struct<followups:array<string>,followups_version:int,mode:string,n:int>").alias("j")
     got = L.cache_followups(m, made).select("id", whole)
     return got.select("id", F.coalesce(F.size("j.followups"), F.lit(0)).alias("_n"), "j").select("id", F.greatest("_n", F.lit(0)).alias("n_followups"), F.get("j.followups", F.lit(0)).alias("first_followup"), F.col("j.followups_version").alias("version"), "j.mode", "j.n")
@@ -272,7 +276,7 @@ def source_states(spark, sf_dir):
     """K-09: indexed, or failed with a bounded error and no chunks"""
     s = model.sources(spark, sf_dir).withColumn("error", F.lit("")).drop("text")
     broken = s.where("source_id % 10 = 0").select("source_id", F.repeat(F.lit("e"), 900).alias("error"))
-    return L.process_sources(s, model.chunks(spark, sf_dir), broken).select("source_id", "status", "error", "chunks")
+    return L.process_sources(s, model.chunks(spark, sf_dir), broken.unionByName(broken)).select("source_id", "status", "error", "chunks")
 
 
 @PLANS.add("""WITH n AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) SELECT l_orderkey AS request_id, l_linenumber AS position, CASE WHEN n <= 5 THEN 'uploaded' ELSE 'refused' END AS status, CASE WHEN n <= 5 THEN 'queued' END AS job_status FROM n""")

@@ -1,8 +1,11 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from tessella import store
 from tessella.operators import governance as G
+from tessella.operators import lifecycle as L
 from tessella.operators import tables as O
 
 JOBS = "id long, source_id long, status string, attempts int, claimed_at double, error string"
@@ -72,3 +75,32 @@ def test_kept_tables_are_made_once_for_each_state(spark, tmp_path):
     assert (read(), read(), len(made)) == (3, 3, 1)
     spark.range(2).write.mode("append").parquet(path)
     assert (read(), len(made)) == (5, 2)
+
+
+def test_repeated_keys_and_edits(spark):
+    """Of repeated JSON keys, cut keys alike and edits of one row the last counts; none ends the job or adds rows."""
+    df = spark.createDataFrame([('{"a":1,"a":2,"b":{"c":null}}',), ("no object",), (None,)], "j string")
+    got = [json.loads(r[0]) for r in df.select(L.patch_json(F.col("j"), {"k": F.lit("[3]")})).collect()]
+    assert got == [{"a": 2, "b": {"c": None}, "k": [3]}, {"k": [3]}, {"k": [3]}]
+    long = "k" * 80
+    m = spark.createDataFrame([({f"{long}1": "x", f"{long}2": "y", "secret": "z"},)], "m map<string,string>")
+    assert m.select(G.clean_metadata(F.col("m"))).head()[0] in ({long: "x"}, {long: "y"})
+    rows = spark.createDataFrame([(1, 1, "old", "t"), (2, 1, "stays", "t")], "id long, user_id long, title string, updated_at string")
+    edits = spark.createDataFrame([(1, 1, "b", 5), (1, 1, "a", 9), (1, 1, "c", 7), (2, 9, "no", 1)], "id long, user_id long, title string, at int")
+    assert sorted((r.id, r.title) for r in L.rename(rows, edits, F.lit("now")).collect()) == [(1, "a"), (2, "stays")]
+
+
+def test_usage_numbers(spark):
+    cases = {
+        '{"usage": {"prompt_tokens": 1.0}}': (1, None),
+        '{"prompt_tokens": true, "completion_tokens": 3.7}': (1, 3),
+        '{"prompt_tokens": "12", "completion_tokens": "3.7"}': (12, None),
+        '{"prompt_tokens": 4, "prompt_tokens": 5}': (5, None),
+        '{"tokens": {"input": 6, "input": 7}, "output_tokens": 1e2}': (7, 100),
+        '{"prompt_tokens": -1, "completion_tokens": 1e40}': (None, None),
+        '{"usage": [1], "tokens": "x"}': (None, None),
+        "[]": (None, None),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "u string")
+    got = {r.u: (r.n.prompt_tokens, r.n.completion_tokens, r.n.is_estimated) for r in df.select("u", G.normalise_usage(F.col("u"), F.lit(40), F.lit(80)).alias("n")).collect()}
+    assert got == {k: (10 if p is None else p, 20 if c is None else c, int(p is None and c is None)) for k, (p, c) in cases.items()}
