@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import time
+from collections import deque
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +17,8 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 
 DIMENSIONS = 384
+#: Requests that a task has under way at a time.
+IN_FLIGHT = 4
 
 
 def with_prefix(c: Column, prefix: str) -> Column:
@@ -80,23 +85,66 @@ def with_retry(call: Callable, attempts: int = 3, base: float = 0.5, sleep: Call
             sleep(base * 2 ** (n - 1) + random.uniform(0, 0.25))
 
 
-def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None, *, key: str, text: str, prefix: str = "", batch: int = 64) -> DataFrame:
-    """key and embedding for each row, through any embedder that takes a list of texts: batches run in Arrow partitions.
+def in_flight(calls: Iterator[Callable], bound: int = IN_FLIGHT) -> Iterator:
+    """The results of calls in their order, at most `bound` of them running at a time.
 
-    The key travels with the text, so the order of batches doesn't matter. Without an embedder it refuses.
+    Later calls wait for the oldest result to be taken, so no more than `bound` inputs or results are held.
     """
-    if embedder is None:
-        raise ValueError("no embedding model is configured")
+    with ThreadPoolExecutor(bound) as pool:
+        window: deque = deque()
+        for call in calls:
+            if len(window) == bound:
+                yield window.popleft().result()
+            window.append(pool.submit(call))
+        while window:
+            yield window.popleft().result()
+
+
+def _batched(frames: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Frames of exactly `rows` rows but the last, whatever the sizes that they come in."""
+    held = None
+    for frame in frames:
+        held = frame if held is None or held.empty else pd.concat((held, frame), ignore_index=True)
+        for k in range(0, len(held) - rows + 1, rows):
+            yield held.iloc[k : k + rows]
+        held = held.iloc[len(held) - len(held) % rows :].reset_index(drop=True)
+    if held is not None and len(held):
+        yield held
+
+
+def embed(rows: DataFrame, embedder: Callable[[list[str]], list[list[float]]] | None, *, key: str, text: str, prefix: str = "", batch: int = 64, bound: int = IN_FLIGHT, wait: float = 0.5, errors: bool = False) -> DataFrame:
+    """key and embedding for each row, through any embedder that takes a list of texts.
+
+    Each task sends batches of `batch` texts, up to `bound` of them at a time, and puts the results back in order; one
+    that fails for a while is sent again after `wait` seconds, twice as long each time, three times in all. Without an
+    embedder it refuses. errors: what fails becomes rows without embedding that say why in a column `error` of at most
+    500 characters, a batch at a time, and the rest goes on; without it the first failure ends the job.
+    """
+    refused = "no embedding model is configured"
+    if embedder is None and not errors:
+        raise ValueError(refused)
     field = rows.schema[key].dataType.simpleString()
+    shape = f"{key} {field}, embedding array<float>" + ", error string" * errors
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        error, vectors = "", None
+        try:
+            if embedder is None:
+                raise ValueError(refused)
+            vectors = with_retry(lambda: embedder(part["t"].tolist()), base=wait)
+            if len(vectors) != len(part):
+                raise ValueError(f"{len(vectors)} vectors for {len(part)} texts")
+        except Exception as e:  # noqa: BLE001 - one batch must not end the others
+            if not errors:
+                raise
+            error = (str(e) if isinstance(e, ValueError) else f"{type(e).__name__}: {e}")[:500]
+        found = [None] * len(part) if error else [list(map(float, v)) for v in vectors]
+        return pd.DataFrame({key: part[key].to_numpy(), "embedding": found} | ({"error": error} if errors else {}))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(0, len(frame), batch):
-                part = frame.iloc[i : i + batch]
-                vectors = with_retry(lambda: embedder(part["t"].tolist()))  # noqa: B023 - called at once
-                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": [list(map(float, v)) for v in vectors]})
+        yield from in_flight((functools.partial(one, part) for part in _batched(frames, batch)), bound)
 
-    return rows.select(key, with_prefix(F.col(text), prefix).alias("t")).mapInPandas(run, f"{key} {field}, embedding array<float>")
+    return rows.select(key, with_prefix(F.col(text), prefix).alias("t")).mapInPandas(run, shape)
 
 
 def check_dimension(index: DataFrame, probe: int) -> None:

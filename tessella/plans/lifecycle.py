@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import json
+import threading
+import time
 
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions import text as X
 from ..operators import embedding
 from ..operators import lifecycle as L
@@ -221,18 +224,50 @@ def index_dimension(spark, sf_dir):
     return found.select("dimension", F.lit(not refused(64)).alias("same_accepted"), F.lit(refused(384)).alias("other_refused"), "empty_dimension")
 
 
-def _lengths(texts: list[str]) -> list[list[float]]:
-    """An embedder for checks: a text's length, and how many texts came in one call."""
-    if not texts:
-        raise embedding.TransientError
-    return [[float(len(t)), float(min(len(texts), L.EMBED_BATCH))] for t in texts]
-
-
-@PLANS.add("""SELECT doc_id, (length(text) + 9)::DOUBLE AS chars, true AS bounded FROM documents""")
+_LOCK = threading.Lock()
+_SEEN = {"now": 0, "most": 0}
+_TRIES: dict[str, int] = {}
+
+
+def _watched(texts: list[str]) -> list[list[float]]:
+    """An embedder for checks that fails twice before it answers: a text's length, how many texts came in a call, how many
+    calls were under way at most, and at which attempt it answered."""
+    if any("refuse me" in t for t in texts):
+        raise RuntimeError("bad input")
+    with _LOCK:
+        _SEEN["now"] += 1
+        _SEEN["most"] = max(_SEEN["most"], _SEEN["now"])
+        tries = _TRIES[texts[0]] = _TRIES.get(texts[0], 0) + 1
+    try:
+        time.sleep(0.01)
+        if tries < 3:
+            raise embedding.TransientError
+        with _LOCK:
+            del _TRIES[texts[0]]
+        return [[float(len(t)), float(len(texts)), float(_SEEN["most"]), float(tries)] for t in texts]
+    finally:
+        with _LOCK:
+            _SEEN["now"] -= 1
+
+
+@PLANS.add("""SELECT doc_id, (length(text) + 9)::DOUBLE AS chars, true AS bounded, 3 AS attempts, true AS window_held, true AS overlapped FROM documents""")
 def embedder_batches(spark, sf_dir):
-    """E-01, E-02, E-03, E-04, E-06: any embedder in bounded batches under a prefix, keys kept"""
-    got = embedding.embed(model.read(spark, sf_dir, "documents"), _lengths, key="doc_id", text="text", prefix="passage:")
-    return got.select("doc_id", F.col("embedding")[0].cast("double").alias("chars"), (F.col("embedding")[1] <= L.EMBED_BATCH).alias("bounded"))
+    """E-01, E-02, E-03, E-04, E-06: any embedder under a prefix in bounded batches, two to four under way at a time, each tried until it answers, keys kept"""
+    found = embedding.embed(model.read(spark, sf_dir, "documents"), _watched, key="doc_id", text="text", prefix="passage:", batch=16, wait=0.002)
+    got = store.written(found.select("doc_id", *(F.col("embedding")[k].alias(c) for k, c in enumerate(("chars", "texts", "most", "tries")))))
+    overlapped = got.agg((F.max("most") >= 2).alias("overlapped"))
+    shown = got.select("doc_id", F.col("chars").cast("double").alias("chars"), (F.col("texts") <= 16).alias("bounded"), F.col("tries").cast("int").alias("attempts"), (F.col("most") <= embedding.IN_FLIGHT).alias("window_held"))
+    return shown.crossJoin(F.broadcast(overlapped))
+
+
+@PLANS.add("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'no embedding model is configured' WHEN doc_id % 50 = 1 THEN 'RuntimeError: bad input' ELSE '' END AS error, NOT (doc_id % 2 = 0 OR doc_id % 50 = 1) AS embedded FROM documents""")
+def embedder_refusals(spark, sf_dir):
+    """E-05: without a model every row says so; with one, what it refuses fails alone"""
+    d = model.documents(spark, sf_dir)
+    none = embedding.embed(d.where("doc_id % 2 = 0"), None, key="doc_id", text="text", errors=True)
+    text = F.when(F.col("doc_id") % 50 == 1, F.concat(F.lit("refuse me "), "text")).otherwise(F.col("text")).alias("text")
+    some = embedding.embed(d.where("doc_id % 2 = 1").select("doc_id", text), _watched, key="doc_id", text="text", batch=1, wait=0.002, errors=True)
+    return none.unionByName(some).select("doc_id", "error", F.col("embedding").isNotNull().alias("embedded"))
 
 
 _OVERRIDE = """CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN '{"vector_weight": 0.5, "unknown": 9}' ELSE '{"final_chunk_count": ' || c_nationkey || '}' END"""

@@ -1,3 +1,8 @@
+import functools
+import threading
+import time
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,3 +97,29 @@ def test_retry_waits_longer_each_time():
     assert 0.5 <= waits[0] <= 0.75 and 1.0 <= waits[1] <= 1.25
     with pytest.raises(embedding.TransientError):
         embedding.with_retry(lambda: (_ for _ in ()).throw(embedding.TransientError()), sleep=waits.append)
+
+
+def test_window_of_calls_keeps_order():
+    """No more than the bound run at once, two at least do, results come in the order of calls, errors end it."""
+    lock, seen = threading.Lock(), [0, 0]
+
+    def call(k):
+        with lock:
+            seen[0] += 1
+            seen[1] = max(seen)
+        time.sleep(0.02 if k % 3 else 0.05)
+        with lock:
+            seen[0] -= 1
+        return k
+
+    assert list(embedding.in_flight((functools.partial(call, k) for k in range(30)), 4)) == list(range(30))
+    assert 2 <= seen[1] <= 4
+    with pytest.raises(ZeroDivisionError):
+        list(embedding.in_flight([lambda: 1, lambda: 1 / 0, lambda: 2], 2))
+
+
+def test_batches_cross_frames():
+    frames = [pd.DataFrame({"x": range(a, b)}) for a, b in ((0, 3), (3, 3), (3, 20), (20, 21))]
+    got = [f["x"].tolist() for f in embedding._batched(iter(frames), 8)]
+    assert [len(g) for g in got] == [8, 8, 5] and sum(got, []) == list(range(21))
+    assert list(embedding._batched(iter([]), 8)) == []
