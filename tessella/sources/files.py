@@ -10,8 +10,9 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import store
 from ..operators import extraction as E
@@ -161,37 +162,64 @@ def eval_fixture(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
-    """Replace the chunks of the sources in `chunks` (source_id, ...); all other sources' chunks stay.
+    """Replace the chunks of the sources in `chunks` (source_id, ...); all other sources' chunks stay."""
+    write_keyed(chunks, path, "source_id", buckets=buckets)
 
-    The sink is a folder of versions, each a list of bucket folders. A write reads and merges the buckets that its sources
+
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    """The chunks of a sink's present version."""
+    return read_keyed(spark, path)
+
+
+def _in_bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_keyed(rows: DataFrame, path: str, key: str, *, gone: DataFrame | None = None, buckets: int = 64) -> None:
+    """Put `rows` in place of all rows of their keys, and take away those of the keys in `gone`; all other rows stay.
+
+    The sink is a folder of versions, each a list of bucket folders. A write reads and merges the buckets that its keys
     fall into, writes those anew beside the old ones and then puts up a list that names them: one small file, made whole
     under another name and renamed, is what switches over. A writer that dies before leaves the old version as it was,
-    and readers keep to the version they began with. Of two writers at a time the later list is refused, for its
-    version is taken, and that writer must begin again. An empty `chunks` changes nothing.
+    and readers keep to the version they began with. Of two writers at a time the later list is refused where the store
+    refuses to rename onto a file, as HDFS does, and that writer must begin again. Without any key nothing changes. The
+    number of buckets is that of the first write; rows without a key are one key's rows.
     """
-    spark = chunks.sparkSession
-    rows = store.written(chunks.withColumn("_bucket", F.pmod(F.xxhash64("source_id"), F.lit(buckets)).cast("int")))
-    touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most the number of buckets
+    spark = rows.sparkSession
+    version, buckets, folders = _version(spark, path, buckets)
+    new = store.written(rows.withColumn("_bucket", _in_bucket(key, buckets)))
+    changed = new.select(key, "_bucket")
+    if gone is not None:
+        changed = changed.unionByName(gone.select(key).withColumn("_bucket", _in_bucket(key, buckets)))
+    touched = [r[0] for r in changed.select("_bucket").distinct().collect()]  # at most the number of buckets
     if not touched:
         return
-    version, folders = _version(spark, path)
     old = [folders[b] for b in touched if b in folders]
-    merged = rows
+    merged = new
     if old:
-        kept = spark.read.parquet(*old).join(rows.select("source_id").distinct(), "source_id", "left_anti")
-        merged = rows.unionByName(kept, allowMissingColumns=True)
+        keys = changed.select(F.col(key).alias("_key")).distinct()
+        kept = spark.read.parquet(*old).join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+        merged = new.unionByName(kept, allowMissingColumns=True)
     data = f"{path}/data-{uuid.uuid4().hex}"
     merged.withColumn("_folder", F.col("_bucket")).repartition(F.col("_bucket")).write.partitionBy("_folder").parquet(data)
     folders |= {b: f"{data}/_folder={b}" for b in touched}
-    _put_version(spark, path, version + 1, folders)
+    at, fs = _hadoop(spark, data)
+    filled = {f.getPath().getName() for f in fs.listStatus(at)}
+    folders = {b: f for b, f in folders.items() if b not in touched or f"_folder={b}" in filled}
+    _put_version(spark, path, version + 1, buckets, folders, merged.drop("_bucket").schema.json())
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """The chunks of a sink's present version."""
-    _, folders = _version(spark, path)
-    if not folders:
-        raise ValueError(f"no chunks were written to {path}")
-    return spark.read.option("mergeSchema", True).parquet(*folders.values()).drop("_bucket")
+def read_keyed(spark: SparkSession, path: str, keys: DataFrame | None = None, key: str = "") -> DataFrame:
+    """The rows of a sink's present version; with keys, of the buckets alone that these fall into."""
+    version, buckets, folders = _version(spark, path, 0)
+    if not version:
+        raise ValueError(f"nothing was written to {path}")
+    some = folders
+    if keys is not None:
+        asked = {r[0] for r in keys.select(_in_bucket(key, buckets)).distinct().collect()}  # at most the number of buckets
+        some = {b: f for b, f in folders.items() if b in asked}
+    schema = _schema(spark, path, version)
+    return spark.read.schema(schema).parquet(*some.values()) if some else spark.createDataFrame([], schema)
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -199,21 +227,29 @@ def _hadoop(spark: SparkSession, path: str):
     return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _version(spark: SparkSession, path: str) -> tuple[int, dict[int, str]]:
-    """(number, folder by bucket) of the last version; number 0 where nothing was written."""
+def _read_version(spark: SparkSession, path: str, number: int) -> dict:
+    return json.loads(spark.read.text(f"{path}/versions/{number}", wholetext=True).head()[0])
+
+
+def _version(spark: SparkSession, path: str, buckets: int) -> tuple[int, int, dict[int, str]]:
+    """(number, buckets, folder by bucket) of the last version; number 0 where nothing was written."""
     top, fs = _hadoop(spark, f"{path}/versions")
     names = [f.getPath().getName() for f in fs.listStatus(top)] if fs.exists(top) else []
     numbers = [int(n) for n in names if n.isdigit()]
     if not numbers:
-        return 0, {}
-    found = spark.read.text(f"{path}/versions/{max(numbers)}", wholetext=True).head()[0]
-    return max(numbers), {int(b): folder for b, folder in json.loads(found).items()}
+        return 0, buckets, {}
+    found = _read_version(spark, path, max(numbers))
+    return max(numbers), found["buckets"], {int(b): folder for b, folder in found["folders"].items()}
+
+
+def _schema(spark: SparkSession, path: str, number: int) -> StructType:
+    return StructType.fromJson(json.loads(_read_version(spark, path, number)["schema"]))
 
 
-def _put_version(spark: SparkSession, path: str, number: int, folders: dict[int, str]) -> None:
+def _put_version(spark: SparkSession, path: str, number: int, buckets: int, folders: dict[int, str], schema: str) -> None:
     draft, fs = _hadoop(spark, f"{path}/versions/draft-{uuid.uuid4().hex}")
     out = fs.create(draft, False)
-    out.write(json.dumps(folders).encode())
+    out.write(json.dumps({"buckets": buckets, "folders": folders, "schema": schema}).encode())
     out.close()
     target, _ = _hadoop(spark, f"{path}/versions/{number}")
     if fs.exists(target) or not fs.rename(draft, target):

@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..operators import chunking
 from ..operators import tables as O
+from ..sources import files
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
@@ -51,11 +53,31 @@ def ingest(sources: DataFrame, out: str, checkpoint: str) -> None:
     run_once(sources, step, checkpoint)
 
 
-def sync_index(chunks: DataFrame, index: DataFrame, out: str, checkpoint: str) -> None:
-    """Reconcile an index (vector_id) with each batch of chunk rows (id): what is missing is appended to out."""
+def put_index(vectors: DataFrame, path: str) -> None:
+    """Add or replace vectors (vector_id, ...) of a kept index; all others stay."""
+    files.write_keyed(vectors, path, "vector_id")
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        plan = O.index_plan(batch, index).where("action = 'upsert'")
-        plan.select("vector_id").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    run_once(chunks, step, checkpoint)
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return files.read_keyed(spark, path)
+
+
+def sync_index(changes: DataFrame, path: str, checkpoint: str) -> None:
+    """Keep an index in step with a stream of chunk changes (id, seq, deleted).
+
+    Of the changes of an id in a batch the last by seq counts. Each batch is planned against the index as it stands:
+    vectors that are missing are added, those of deleted chunks go, whether this stream added them or they were orphans,
+    and what is there already stays untouched. Only the index's buckets that a batch falls into are read and written
+    anew. A batch that is repeated after a crash finds its work done and changes nothing.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        last = batch.where("id is not null").groupBy("id").agg(F.max_by("deleted", "seq").alias("deleted"))
+        wanted = store.written(last.select(O.vector_id(F.col("id")).alias("vector_id"), "deleted"))
+        have = files.read_keyed(spark, path, wanted.select("vector_id"), "vector_id").select("vector_id")
+        new = wanted.where("not deleted").select("vector_id").join(have, "vector_id", "left_anti")
+        gone = wanted.where("deleted").select("vector_id").join(have, "vector_id", "left_semi")
+        files.write_keyed(store.written(new), path, "vector_id", gone=store.written(gone))
+
+    run_once(changes, step, checkpoint)

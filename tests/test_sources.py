@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.sources import config, files
+from tessella.streaming import jobs
 
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
@@ -52,16 +53,16 @@ def test_chunk_sink_replaces_only_its_sources(spark, tmp_path):
     put([])
     assert read() == [(1, "c"), (2, "b")]
     with pytest.raises(RuntimeError, match="another"):
-        files._put_version(spark, path, 2, {})
+        files._put_version(spark, path, 2, 1, {}, "{}")
     assert read() == [(1, "c"), (2, "b")]
 
 
 def test_chunk_sink_reads_only_touched_buckets(spark, tmp_path):
     path = f"file://{tmp_path}/chunks"
     files.write_chunks(spark.range(200).select(F.col("id").alias("source_id"), F.lit("t").alias("text")), path, buckets=16)
-    _, before = files._version(spark, path)
+    _, _, before = files._version(spark, path, 0)
     files.write_chunks(spark.createDataFrame([(5, "new")], "source_id long, text string"), path, buckets=16)
-    number, after = files._version(spark, path)
+    number, _, after = files._version(spark, path, 0)
     assert number == 2 and len(before) == 16 and sum(before[b] != after[b] for b in before) == 1
     assert files.read_chunks(spark, path).count() == 200 and files.read_chunks(spark, path).where("text = 'new'").count() == 1
 
@@ -87,3 +88,21 @@ def test_config_layers(tmp_path):
     with pytest.raises(ValueError):
         config.load_config(None, {"TESSELLA_JOBS_MAX_ATTEMPTS": "many"})
     assert config.fingerprint({"a": 1, "api_key": "x"}) == config.fingerprint({"a": 1, "api_key": "y"})
+
+
+def test_index_sync_as_a_stream(spark, tmp_path):
+    """Three ids in two files are three vectors; a deleted chunk's vector goes, and so does a bucket's last row."""
+    path, changes = f"file://{tmp_path}/index", f"{tmp_path}/changes"
+    schema = "id long, seq long, deleted boolean"
+    jobs.put_index(spark.createDataFrame([("chunk:1",), ("chunk:77",)], "vector_id string"), path)
+
+    def feed(*rows):
+        for row in rows:
+            spark.createDataFrame(row, schema).coalesce(1).write.mode("append").parquet(changes)
+        jobs.sync_index(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(changes), path, f"{tmp_path}/checkpoint")
+        return sorted(r.vector_id for r in jobs.read_index(spark, path).collect())
+
+    assert feed([(1, 1, False), (2, 2, False), (3, 3, False)], [(3, 4, False), (1, 5, False), (2, 6, False), (None, 7, False)]) == ["chunk:1", "chunk:2", "chunk:3", "chunk:77"]
+    assert feed([(2, 9, False), (2, 10, True), (77, 11, True), (5, 12, True)]) == ["chunk:1", "chunk:3"]
+    assert feed([(1, 13, True), (3, 14, True)]) == []
+    assert feed([(2, 15, False)]) == ["chunk:2"]
