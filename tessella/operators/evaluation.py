@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -49,6 +53,61 @@ def run_metrics(results: DataFrame, by: str = "run_id", threshold: float = 0.25)
     )
 
 
+FOUND = "array<struct<rank:int,source_id:bigint,chunk_id:bigint,text:string,score:double>>"
+RUN = "run_id long, status string, progress_total long, progress_current long, errors long, error string"
+
+
+def attempt(items: DataFrame, search: Callable[[dict], list[dict]]) -> DataFrame:
+    """(item_id, found, latency_ms, error): what a search finds for each item; one that raises has an error of at most 300
+    characters and the others go on."""
+    names = items.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False, name=None):
+                item, began, found, error = dict(zip(names, row, strict=True)), time.perf_counter(), [], ""
+                try:
+                    found = [{"rank": int(f["rank"]), "source_id": int(f["source_id"]), "chunk_id": int(f["chunk_id"]), "text": f["text"], "score": float(f["score"])} for f in search(item)]
+                except Exception as e:  # noqa: BLE001 - one item must not end the run
+                    error = (str(e) or type(e).__name__)[:300]
+                out.append((item["item_id"], found, 1000 * (time.perf_counter() - began), error))
+            yield pd.DataFrame(out, columns=["item_id", "found", "latency_ms", "error"])
+
+    return items.mapInPandas(run, f"item_id long, found {FOUND}, latency_ms double, error string")
+
+
+def run_job(run_id: int, items: DataFrame, sources: DataFrame, search: Callable[[dict], list[dict]], out: str, threshold: float = 0.25) -> tuple[DataFrame, DataFrame | None]:
+    """One run over the approved items: its record (RUN) and its results (run_id, item_id, status, hit_rank, top_score, latency_ms, error).
+
+    Items are searched in tasks, each on its own, and counted as they are written to `out`: the counts are the run's
+    progress. A run without approved items or indexed sources fails before it begins; one that breaks off fails with the
+    reason, in at most 500 characters, and has no results.
+    """
+    spark = items.sparkSession
+    wanted = items.where("approved")
+    total = wanted.count()
+
+    def record(status: str, current: int = 0, errors: int = 0, error: str = "") -> DataFrame:
+        return spark.createDataFrame([(run_id, status, total, current, errors, error[:500])], RUN)
+
+    if not total:
+        return record("failed", error="there are no approved items to run"), None
+    if not sources.where("status = 'indexed'").limit(1).count():
+        return record("failed", error="there are no indexed sources"), None
+    try:
+        progress = Observation(f"run {run_id}")
+        attempt(wanted, search).observe(progress, F.count(F.lit(1)).alias("items"), F.count_if(F.col("error") != "").alias("errors")).write.mode("overwrite").parquet(out)
+        done = spark.read.parquet(out)
+        ranks = hit_ranks(wanted, done.select("item_id", F.explode("found").alias("f")).select("item_id", "f.*")).select("item_id", "hit_rank")
+        joined = done.join(ranks, "item_id")
+        top = F.array_max(F.transform("found", lambda f: f.score))
+        results = joined.select(F.lit(run_id).cast("long").alias("run_id"), "item_id", status_of(F.col("hit_rank"), F.col("error") != "").alias("status"), F.when(F.col("hit_rank") > 0, F.col("hit_rank")).alias("hit_rank"), top.alias("top_score"), "latency_ms", "error")
+        return record("succeeded", progress.get["items"], progress.get["errors"]), results
+    except Exception as e:  # noqa: BLE001 - the run's record says why
+        return record("failed", error=str(e)), None
+
+
 def compact_retrieved(retrieved: DataFrame) -> DataFrame:
     """Ranked rows with 220-character collapsed snippets and scores to four places."""
     return retrieved.select("item_id", "rank", "chunk_id", "source_id", F.round("score", 4).alias("score"), F.substring(X.collapse(F.coalesce("text", F.lit(""))), 1, 220).alias("snippet"))

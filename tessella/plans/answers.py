@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import store
 from ..functions import text as X
+from ..operators import calls
 from ..operators import retrieval as R
 from . import model, sql
 from .registry import Plans
@@ -35,6 +37,23 @@ def answer_prompt(spark, sf_dir):
     return R.answer_prompt(ranked, q)
 
 
+def _reply(prompt: str) -> str:
+    """A model for checks: names the second excerpt, and fails on some prompts."""
+    if len(prompt) % 7 == 0:
+        raise RuntimeError("overloaded")
+    return f"Read {len(prompt)} characters [2]."
+
+
+@PLANS.add(f"""WITH {RERANKED}, tops AS (SELECT question_id, max(score) AS top_score, count(*) AS n, length(string_agg('[' || rank || '] ' || filename || ' - ' || location || chr(10) || text, chr(10) || chr(10)) || chr(10) || chr(10) || 'Question: ' || any_value(question)) AS chars FROM reranked WHERE score > 0 GROUP BY question_id),
+ o AS (SELECT q.question_id, t.*, CASE WHEN top_score IS NULL THEN 'no_retrieval' WHEN top_score < 0.25 THEN 'low_confidence' ELSE 'answered' END AS outcome FROM questions q LEFT JOIN tops t USING (question_id))
+ SELECT question_id, outcome, CASE WHEN outcome <> 'answered' THEN 'I cannot tell.' WHEN chars % 7 <> 0 THEN 'Read ' || chars || ' characters [2].' END AS answer, CASE WHEN outcome = 'answered' AND chars % 7 = 0 THEN 'RuntimeError: overloaded' ELSE '' END AS error, CASE WHEN outcome = 'answered' AND chars % 7 <> 0 AND n >= 2 THEN 1 ELSE 0 END AS n_citations FROM o""")
+def answer_flow(spark, sf_dir):
+    """L-03, R-14..R-17: gate, prompt, call and cited excerpts as one flow; a call that fails leaves its own question without an answer"""
+    ranked, q = reranked_rows(spark, sf_dir)
+    got = calls.answers(store.written(ranked), q, _reply, abstain="I cannot tell.", wait=0.001)
+    return got.select("question_id", "outcome", "answer", "error", F.greatest(F.coalesce(F.size("citations"), F.lit(0)), F.lit(0)).alias("n_citations"))
+
+
 _ANSWER = "CASE item_id % 4 WHEN 0 THEN 'See [1] and [3].' WHEN 1 THEN 'No marker here.' WHEN 2 THEN 'Only [9].' ELSE 'First [2], again [2].' END"
 
 

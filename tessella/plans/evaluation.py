@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import text as X
 from ..operators import evaluation as E
 from ..operators import retrieval as R
+from ..streaming.jobs import work_dir
 from . import model, sql
 from .registry import Plans
 from .retrieval import DIVERSE, diverse_rows
@@ -49,6 +50,41 @@ def result_status(spark, sf_dir):
     return _runs(spark, sf_dir).select("run_id", "item_id", "status", "hit_rank")
 
 
+def _search(item: dict) -> list[dict]:
+    """A search for checks: what the item brings along; every eleventh breaks."""
+    if item["item_id"] % 11 == 0:
+        raise LookupError(f"nothing answers for {item['item_id']}")
+    return [dict(f) for f in item["found"]]
+
+
+_SEARCHED = """CASE WHEN item_id % 11 = 0 THEN 'error' WHEN rank0 IS NULL THEN 'unscored' WHEN rank0 > 0 THEN 'hit' ELSE 'miss' END"""
+
+
+@PLANS.add(f"""WITH {_RUNS}, mine AS (SELECT eval_set_id AS run_id, item_id, {_SEARCHED} AS status, CASE WHEN item_id % 11 <> 0 AND rank0 > 0 THEN rank0 END AS hit_rank, CASE WHEN item_id % 11 <> 0 THEN top_score END AS top_score FROM ranked WHERE approved AND run_id = 1),
+ m AS (SELECT run_id, count(*) AS total, count(CASE WHEN status = 'error' THEN 1 END) AS errors, count(CASE WHEN status = 'hit' THEN 1 END) AS hits, count(CASE WHEN status = 'miss' THEN 1 END) AS misses,
+  round(count(CASE WHEN status = 'hit' THEN 1 END) / greatest(1, count(CASE WHEN status IN ('hit', 'miss') THEN 1 END))::DOUBLE, 4) AS recall_at_k,
+  round(coalesce(sum(CASE WHEN status = 'hit' THEN (1.0::DOUBLE / hit_rank)::DECIMAL(28,9) END)::DOUBLE, 0) / greatest(1, count(CASE WHEN status IN ('hit', 'miss') THEN 1 END)), 4) AS mrr, round(sum(coalesce(top_score, 0.0)::DECIMAL(28,9))::DOUBLE / count(*), 4) AS avg_top_score FROM mine GROUP BY run_id)
+ SELECT run_id, 'succeeded' AS status, total AS progress_total, total AS progress_current, errors, '' AS error, hits, misses, recall_at_k, mrr, avg_top_score FROM m
+ UNION ALL SELECT 8, 'failed', 0, 0, 0, 'there are no approved items to run', NULL, NULL, NULL, NULL, NULL
+ UNION ALL SELECT 9, 'failed', (SELECT count(*) FROM eval_items WHERE approved AND eval_set_id = 0), 0, 0, 'there are no indexed sources', NULL, NULL, NULL, NULL, NULL""")
+def eval_run_job(spark, sf_dir):
+    """V-11, V-04: a run for each set through a search that breaks on some items; two runs that can't begin"""
+    items, sources = model.eval_items(spark, sf_dir), model.sources(spark, sf_dir)
+    got = model.retrieved(spark, sf_dir).groupBy("item_id").agg(F.sort_array(F.collect_list(F.struct("rank", "source_id", "chunk_id", "text", "score"))).alias("found"))
+    items = items.join(got, "item_id", "left").withColumn("found", F.coalesce("found", F.array().cast(E.FOUND)))
+    out = work_dir(spark, "runs")
+    jobs = [(n, items.where(F.col("eval_set_id") == n), sources) for n in range(3)]
+    jobs += [(8, items.where("eval_set_id = 99"), sources), (9, items.where("eval_set_id = 0"), sources.where("status = 'failed'"))]
+    records, results = None, None
+    for n, some, from_ in jobs:
+        record, found = E.run_job(n, some, from_, _search, f"{out}/{n}")
+        records = record if records is None else records.unionByName(record)
+        if found is not None:
+            results = found if results is None else results.unionByName(found)
+    measured = E.run_metrics(results).select("run_id", "hits", "misses", "recall_at_k", "mrr", "avg_top_score")
+    return records.join(measured, "run_id", "left")
+
+
 _METRICS = """count(*) AS total, count(CASE WHEN status IN ('hit', 'miss') THEN 1 END) AS scored, count(CASE WHEN status = 'hit' THEN 1 END) AS hits, count(CASE WHEN status = 'miss' THEN 1 END) AS misses,
  count(CASE WHEN status = 'unscored' THEN 1 END) AS unscored, count(CASE WHEN status = 'error' THEN 1 END) AS errors,
  round(count(CASE WHEN status = 'hit' THEN 1 END) / greatest(1, count(CASE WHEN status IN ('hit', 'miss') THEN 1 END))::DOUBLE, 4) AS recall_at_k,

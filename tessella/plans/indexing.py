@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import tables as O
+from ..sources import lease
+from ..streaming.jobs import work_dir
 from . import model
 from .registry import Plans
 
@@ -76,6 +81,26 @@ def lease_state(spark, sf_dir):
     return O.lease_state(locks, NOW)
 
 
+#: Notebooks by user; the first holder by name of every round, and what came of notebooks released rightly, wrongly or not at all.
+@PLANS.add("""WITH n AS (SELECT user_id AS notebook_id, min('a' || event_id) AS a, min('c' || event_id) AS c FROM events GROUP BY user_id)
+ SELECT notebook_id, CASE WHEN notebook_id % 3 = 1 THEN c WHEN notebook_id % 3 = 2 THEN 'd' ELSE a END AS holder, CASE WHEN notebook_id % 3 = 0 THEN 1 ELSE 2 END::BIGINT AS token, CASE notebook_id % 3 WHEN 0 THEN 100.0 WHEN 1 THEN 160.0 ELSE 195.0 END::DOUBLE AS acquired_at, 1 + (notebook_id % 3 > 0)::INT AS grants FROM n""")
+def lease_contest(spark, sf_dir):
+    """K-05: of all contenders for a notebook one wins; a held lease is refused, a released or stale one goes to another under a new token"""
+    path = work_dir(spark, "leases")
+    e = model.read(spark, sf_dir, "events").select(F.col("user_id").alias("notebook_id"), "event_id")
+    named = lambda who: e.select("notebook_id", F.concat(F.lit(who), F.col("event_id").cast("string")).alias("holder"))
+    won = [lease.acquire(named("a"), path, 100.0), lease.acquire(named("b"), path, 150.0)]
+    # Only the holder's own token gives a lease back.
+    lease.release(won[0].where("notebook_id % 3 = 1"), path)
+    lease.release(won[0].where("notebook_id % 3 = 0").withColumn("token", F.col("token") + 1), path)
+    won.append(lease.acquire(named("c"), path, 160.0))
+    # What was granted at 100 is stale at 195, what was granted at 160 is not.
+    late = e.where("notebook_id % 3 > 0").select("notebook_id", F.lit("d").alias("holder"))
+    won.append(lease.acquire(late, path, 195.0))
+    grants = functools.reduce(DataFrame.unionByName, won).groupBy("notebook_id").agg(F.count(F.lit(1)).cast("int").alias("grants"))
+    return lease.leases(spark, path).join(grants, "notebook_id")
+
+
 @PLANS.add("SELECT event_id, ts > TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 24 HOURS AND event_type <> 'error' AS usable FROM events")
 def ttl_cache(spark, sf_dir):
     """K-06, X-41"""

@@ -7,6 +7,7 @@ from tessella import store
 from tessella.operators import governance as G
 from tessella.operators import lifecycle as L
 from tessella.operators import tables as O
+from tessella.sources import files, lease
 
 JOBS = "id long, source_id long, status string, attempts int, claimed_at double, error string"
 
@@ -104,3 +105,29 @@ def test_usage_numbers(spark):
     df = spark.createDataFrame([(k,) for k in cases], "u string")
     got = {r.u: (r.n.prompt_tokens, r.n.completion_tokens, r.n.is_estimated) for r in df.select("u", G.normalise_usage(F.col("u"), F.lit(40), F.lit(80)).alias("n")).collect()}
     assert got == {k: (10 if p is None else p, 20 if c is None else c, int(p is None and c is None)) for k, (p, c) in cases.items()}
+
+
+def test_leases(spark, tmp_path):
+    """One winner of many; a stale holder can't release; two drivers at once don't both get it."""
+    path = f"file://{tmp_path}/leases"
+    want = lambda *names: spark.createDataFrame([(1, n) for n in names], "notebook_id long, holder string")
+    won = lease.acquire(want("y", "x", "z"), path, 10.0)
+    assert [tuple(r) for r in won.collect()] == [(1, "x", 1)]
+    assert lease.acquire(want("q"), path, 100.0).collect() == []
+    assert [tuple(r) for r in lease.acquire(want("q"), path, 100.5).collect()] == [(1, "q", 2)]
+    assert lease.release(won, path).collect() == []
+    # Another driver puts up the next version between this one's look and its write.
+    put, beaten = files._put_version, []
+
+    def beat(*args):
+        if not beaten:
+            beaten.append(1)
+            raise RuntimeError("version was written by another")
+        put(*args)
+
+    files._put_version = beat
+    try:
+        assert [r.notebook_id for r in lease.release(spark.createDataFrame([(1, 2)], "notebook_id long, token long"), path).collect()] == [1]
+    finally:
+        files._put_version = put
+    assert beaten and [tuple(r) for r in lease.acquire(want("r"), path, 101.0).collect()] == [(1, "r", 3)]
