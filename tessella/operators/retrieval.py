@@ -15,7 +15,8 @@ from pyspark.sql.window import Window
 
 from .. import store
 from ..functions import text as X
-from . import embedding
+from . import embedding, postings
+from .matching import like_any, top
 
 
 @dataclass(frozen=True)
@@ -84,11 +85,6 @@ def query_set(question: Column, rewrites: Column | None = None, cap: int = 5) ->
     return F.slice(X.unique_nonempty(all_), 1, cap)
 
 
-def top(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
-    """The first k rows of each group; Spark limits groups before it shuffles them."""
-    return rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_rank") <= k)
-
-
 def asked_vectors(asked: DataFrame) -> DataFrame:
     """(question_id, user_id, asked_vectors): the dense vectors of a question's few variants, from rows of entries."""
     each = embedding.sparse(asked, "question_id", "variant", "user_id").withColumn("weights", embedding.dense(F.col("entries")))
@@ -118,21 +114,36 @@ def first_tokens(queries: Column, cap: int = 12) -> Column:
     return F.slice(F.array_distinct(F.flatten(F.transform(queries, X.search_tokens))), 1, cap)
 
 
-def like_any(text: Column, low: Column, tokens: Column) -> Column:
-    """Whether any token occurs, whatever the case; an underscore in a token stands for any character."""
-    return F.exists(tokens, lambda t: F.when(F.contains(t, F.lit("_")), F.ilike(text, F.concat(F.lit("%"), t, F.lit("%")))).otherwise(F.contains(low, t)))
+def lexical_arm(chunks: DataFrame, questions: DataFrame, k: int, index: postings.Postings | None = None) -> DataFrame:
+    """(question_id, id, keyword_score): the newest 4 k chunks with any of the first tokens, then the best k of them.
 
-
-def lexical_arm(chunks: DataFrame, questions: DataFrame, k: int, source_ids: str | None = None) -> DataFrame:
-    """(question_id, id, keyword_score): the newest 4 k chunks with any of the first tokens, then the best k of them."""
+    With an index (of depth 4 k at least) only the chunks that it names are read; without one all of a tenant's are.
+    """
     q = questions.select("question_id", "user_id", "queries", first_tokens(F.col("queries")).alias("tokens"), F.transform("queries", lambda x: F.struct(X.search_tokens(x).alias("tokens"), F.lower(x).alias("low"))).alias("asked"))
-    q = store.small_enough(q, 2_000)
-    found = chunks.select("id", "user_id", "source_id", "text", F.lower("text").alias("low")).join(q, "user_id").where(like_any(F.col("text"), F.col("low"), F.col("tokens")))
-    newest = top(found, ["question_id"], [F.desc("id")], 4 * k)
+    texts = chunks.select("id", "user_id", "source_id", "text", F.lower("text").alias("low"))
+    if index is None:
+        found = texts.join(store.small_enough(q, 2_000), "user_id").where(like_any(F.col("text"), F.col("low"), F.col("tokens")))
+        newest = top(found, ["question_id"], [F.desc("id")], 4 * k)
+    else:
+        named = store.written(_named(texts, q.select("question_id", "user_id", F.explode("tokens").alias("token")), 4 * k, index))
+        newest = texts.drop("user_id").join(store.small_enough(named, 40), "id").join(store.small_enough(q, 2_000), "question_id")
     scored = newest.withColumn("keyword_score", X.let(X.search_tokens(F.col("text")), lambda have: X.keyword_score_of(F.col("asked"), have, F.col("low"))))
     return top(scored, ["question_id"], [F.desc("keyword_score"), F.desc("id")], k).select("question_id", "id", "keyword_score")
 
 
+def _named(texts: DataFrame, asked: DataFrame, n: int, index: postings.Postings) -> DataFrame:
+    """(question_id, id): the newest n chunks that an index finds for the tokens (question_id, user_id, token)."""
+    if index.depth < n:
+        raise ValueError(f"the index keeps {index.depth} chunks of a word, {n} are wanted")
+    hits = store.written(postings.newest_with(index, asked))
+    odd = hits.where("id is null").drop("id")
+    if odd.limit(1).count():
+        read = texts.join(store.small_enough(odd, 100), "user_id").where(like_any(F.col("text"), F.col("low"), F.array("token")))
+        hits = hits.where("id is not null").unionByName(top(read.select("user_id", "token", "id"), ["user_id", "token"], [F.desc("id")], n).drop("_rank"))
+    ids = hits.join(store.small_enough(asked, 100), ["user_id", "token"]).select("question_id", "id").distinct()
+    return top(ids, ["question_id"], [F.desc("id")], n).select("question_id", "id")
+
+
 def blend(vector: DataFrame, lexical: DataFrame, chunks: DataFrame, questions: DataFrame, params: RetrievalParams = RetrievalParams()) -> DataFrame:
     """Candidates of both arms with vector_score (0 for lexical ones), keyword_score and score; only scores above 0.
 
@@ -200,10 +211,10 @@ def degraded_scan(chunks: DataFrame, vectors: DataFrame, asked: DataFrame, quest
     return pairs.drop("entries", "have", "low", "asked", "asked_vectors").withColumn("score", score).where("score > 0")
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, asked: DataFrame, questions: DataFrame, scores: DataFrame | None = None, params: RetrievalParams = RetrievalParams()) -> DataFrame:
-    """The whole pipeline: arms, blend, diversification, rerank."""
+def retrieve(chunks: DataFrame, vectors: DataFrame, asked: DataFrame, questions: DataFrame, scores: DataFrame | None = None, params: RetrievalParams = RetrievalParams(), index: postings.Postings | None = None) -> DataFrame:
+    """The whole pipeline: arms, blend, diversification, rerank; index: of the chunks' words, for the lexical arm."""
     k = params.candidate_pool_size
-    found = blend(vector_arm(vectors, asked, k), lexical_arm(chunks, questions, k), chunks, questions, params)
+    found = blend(vector_arm(vectors, asked, k), lexical_arm(chunks, questions, k, index), chunks, questions, params)
     return rerank(diversify(found, k), scores, params)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import store
 from ..functions import text as X
 from ..operators import chunking, embedding
+from ..operators import postings as P
 from . import sql
 
 BASE = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -50,6 +51,13 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.kept(spark, f"vectors of {sf_dir} {store.state_of(spark, f'{sf_dir}/documents.parquet')}", make)
 
 
+def postings(spark: SparkSession, sf_dir: str) -> P.Postings:
+    """The index of all indexed chunks' words, its tables made once like the chunks."""
+    state = store.state_of(spark, f"{sf_dir}/documents.parquet")
+    live = chunks(spark, sf_dir).where("status = 'indexed'").select("id", "user_id", "text")
+    return P.build(live, 80, lambda name, make: store.kept(spark, f"postings {name} of {sf_dir} {state}", make))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.spread(read(spark, sf_dir, "documents"))
 

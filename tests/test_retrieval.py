@@ -1,4 +1,5 @@
 import functools
+import random
 import threading
 import time
 
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import text as X
-from tessella.operators import embedding
+from tessella.operators import embedding, postings
 from tessella.operators import retrieval as R
 
 
@@ -123,3 +124,21 @@ def test_batches_cross_frames():
     got = [f["x"].tolist() for f in embedding._batched(iter(frames), 8)]
     assert [len(g) for g in got] == [8, 8, 5] and sum(got, []) == list(range(21))
     assert list(embedding._batched(iter([]), 8)) == []
+
+
+def test_index_finds_what_reading_finds(spark, monkeypatch):
+    """Frequent and rare tokens, parts of words, Han, wildcards, tenants apart: the same rows with and without the index."""
+    rng = random.Random(11)
+    words = ["alpha", "alphabet", "beta.max", "of", "zq", "x_y", "xay", "x y", "臨床試驗", "rare-word", "Ünder", "9", "a", "İx"]
+    rows = [(n, n % 3, n, " ".join(rng.choice(words[:5] if n % 5 else words) for _ in range(6))) for n in range(300)]
+    chunks = spark.createDataFrame([*rows, (300, 0, 1, None), (301, 0, 1, "")], "id long, user_id long, source_id long, text string")
+    asked = ["alpha zq", "phab", "x_y", "臨床", "rare-w", "nothing here", "of 9 ünder", "eta.m", "q", ""]
+    q = spark.createDataFrame([(n, n % 4, [t]) for n, t in enumerate(asked * 4)], "question_id long, user_id long, queries array<string>")
+    want = sorted(map(tuple, R.lexical_arm(chunks, q, 5).collect()))
+    for recent in (30, 3):
+        monkeypatch.setattr(postings, "RECENT", recent)
+        made = {}
+        index = postings.build(chunks, 20, lambda name, make: made.setdefault(name, make().cache()))  # noqa: B023
+        assert sorted(map(tuple, R.lexical_arm(chunks, q, 5, index).collect())) == want and len(want) > 50
+    with pytest.raises(ValueError):
+        R.lexical_arm(chunks, q, 6, index)
