@@ -7,6 +7,7 @@ text). Both arms join on the tenant, so a question only ever meets its tenant's
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields
 
 from pyspark.sql import Column, DataFrame
@@ -114,23 +115,52 @@ def first_tokens(queries: Column, cap: int = 12) -> Column:
     return F.slice(F.array_distinct(F.flatten(F.transform(queries, X.search_tokens))), 1, cap)
 
 
-def lexical_arm(chunks: DataFrame, questions: DataFrame, k: int, index: postings.Postings | None = None) -> DataFrame:
+#: Pairs of a chunk and a question of one tenant up to which texts are read rather than an index.
+READ_PAIRS = 20_000_000
+
+
+def lexical_arm(chunks: DataFrame, questions: DataFrame, k: int, index: Callable[[], postings.Postings] | None = None) -> DataFrame:
     """(question_id, id, keyword_score): the newest 4 k chunks with any of the first tokens, then the best k of them.
 
-    With an index (of depth 4 k at least) only the chunks that it names are read; without one all of a tenant's are.
+    With an index (of depth 4 k at least, asked for when it is needed) only the chunks that it names are read, if a
+    tenant's chunks times its questions, counted, come to more than READ_PAIRS in all. Fewer, or without an index, are
+    compared as they are, which takes less than the index's lookups. The rows are the same either way.
     """
-    q = questions.select("question_id", "user_id", "queries", first_tokens(F.col("queries")).alias("tokens"), F.transform("queries", lambda x: F.struct(X.search_tokens(x).alias("tokens"), F.lower(x).alias("low"))).alias("asked"))
-    texts = chunks.select("id", "user_id", "source_id", "text", F.lower("text").alias("low"))
-    if index is None:
-        found = texts.join(store.small_enough(q, 2_000), "user_id").where(like_any(F.col("text"), F.col("low"), F.col("tokens")))
-        newest = top(found, ["question_id"], [F.desc("id")], 4 * k)
-    else:
-        named = store.written(_named(texts, q.select("question_id", "user_id", F.explode("tokens").alias("token")), 4 * k, index))
-        newest = texts.drop("user_id").join(store.small_enough(named, 40), "id").join(store.small_enough(q, 2_000), "question_id")
+    q = _asked(questions)
+    if index is not None and _pairs(chunks, q) > READ_PAIRS:
+        return lexical_by_index(chunks, questions, k, index())
+    found = _texts(chunks).join(store.small_enough(q, 2_000), "user_id").where(like_any(F.col("text"), F.col("low"), F.col("tokens")))
+    return _best_words(top(found, ["question_id"], [F.desc("id")], 4 * k), k)
+
+
+def lexical_by_index(chunks: DataFrame, questions: DataFrame, k: int, index: postings.Postings) -> DataFrame:
+    """The rows of lexical_arm by way of an index: no chunk is compared with a question that the index hasn't named it for."""
+    q, texts = _asked(questions), _texts(chunks)
+    named = store.written(_named(texts, q.select("question_id", "user_id", F.explode("tokens").alias("token")), 4 * k, index))
+    newest = texts.drop("user_id").join(store.small_enough(named, 40), "id").join(store.small_enough(q, 2_000), "question_id")
+    return _best_words(newest, k)
+
+
+def _asked(questions: DataFrame) -> DataFrame:
+    words = F.transform("queries", lambda x: F.struct(X.search_tokens(x).alias("tokens"), F.lower(x).alias("low")))
+    return questions.select("question_id", "user_id", "queries", first_tokens(F.col("queries")).alias("tokens"), words.alias("asked"))
+
+
+def _texts(chunks: DataFrame) -> DataFrame:
+    return chunks.select("id", "user_id", "source_id", "text", F.lower("text").alias("low"))
+
+
+def _best_words(newest: DataFrame, k: int) -> DataFrame:
     scored = newest.withColumn("keyword_score", X.let(X.search_tokens(F.col("text")), lambda have: X.keyword_score_of(F.col("asked"), have, F.col("low"))))
     return top(scored, ["question_id"], [F.desc("keyword_score"), F.desc("id")], k).select("question_id", "id", "keyword_score")
 
 
+def _pairs(chunks: DataFrame, questions: DataFrame) -> int:
+    counts = (d.groupBy("user_id").agg(F.count(F.lit(1)).alias(name)) for d, name in ((chunks, "c"), (questions, "q")))
+    both = functools.reduce(lambda a, b: a.join(b, "user_id"), counts)
+    return both.agg(F.sum(F.col("c").cast("double") * F.col("q"))).head()[0] or 0
+
+
 def _named(texts: DataFrame, asked: DataFrame, n: int, index: postings.Postings) -> DataFrame:
     """(question_id, id): the newest n chunks that an index finds for the tokens (question_id, user_id, token)."""
     if index.depth < n:
@@ -211,7 +241,7 @@ def degraded_scan(chunks: DataFrame, vectors: DataFrame, asked: DataFrame, quest
     return pairs.drop("entries", "have", "low", "asked", "asked_vectors").withColumn("score", score).where("score > 0")
 
 
-def retrieve(chunks: DataFrame, vectors: DataFrame, asked: DataFrame, questions: DataFrame, scores: DataFrame | None = None, params: RetrievalParams = RetrievalParams(), index: postings.Postings | None = None) -> DataFrame:
+def retrieve(chunks: DataFrame, vectors: DataFrame, asked: DataFrame, questions: DataFrame, scores: DataFrame | None = None, params: RetrievalParams = RetrievalParams(), index: Callable[[], postings.Postings] | None = None) -> DataFrame:
     """The whole pipeline: arms, blend, diversification, rerank; index: of the chunks' words, for the lexical arm."""
     k = params.candidate_pool_size
     found = blend(vector_arm(vectors, asked, k), lexical_arm(chunks, questions, k, index), chunks, questions, params)

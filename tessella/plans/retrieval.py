@@ -52,7 +52,7 @@ def _tables(spark, sf_dir):
 
 def _blended(spark, sf_dir):
     chunks, vectors, asked, q = _tables(spark, sf_dir)
-    return R.blend(R.vector_arm(vectors, asked, 20), R.lexical_arm(chunks, q, 20, model.postings(spark, sf_dir)), chunks, q), q
+    return R.blend(R.vector_arm(vectors, asked, 20), R.lexical_arm(chunks, q, 20, lambda: model.postings(spark, sf_dir)), chunks, q), q
 
 
 def _diverse(spark, sf_dir):
@@ -67,7 +67,7 @@ _K9 = "round(keyword_score, 9) AS keyword_score"
 def hybrid_retrieve_topk(spark, sf_dir):
     """R-01, R-04, R-06..R-10, R-13, R-20"""
     chunks, vectors, asked, q = _tables(spark, sf_dir)
-    got = R.retrieve(chunks, vectors, asked, q, index=model.postings(spark, sf_dir))
+    got = R.retrieve(chunks, vectors, asked, q, index=lambda: model.postings(spark, sf_dir))
     return got.select("question_id", "rank", "id", "source_id", "filename", "score", "vector_score", F.round("keyword_score", 9).alias("keyword_score"))
 
 
@@ -81,7 +81,14 @@ def hybrid_blend(spark, sf_dir):
 def lexical_candidates(spark, sf_dir):
     """R-06, F-05"""
     chunks, _, _, q = _tables(spark, sf_dir)
-    return R.lexical_arm(chunks, q, 20, model.postings(spark, sf_dir)).select("question_id", "id", F.round("keyword_score", 9).alias("keyword_score"))
+    return R.lexical_arm(chunks, q, 20, lambda: model.postings(spark, sf_dir)).select("question_id", "id", F.round("keyword_score", 9).alias("keyword_score"))
+
+
+@PLANS.add(f"WITH {_BASE} SELECT question_id, id, {_K9} FROM lex")
+def lexical_index(spark, sf_dir):
+    """R-06, F-05 through the inverted index whatever the size: words by their rarest gram, newest postings, then the chunks that these name"""
+    chunks, _, _, q = _tables(spark, sf_dir)
+    return R.lexical_by_index(chunks, q, 20, model.postings(spark, sf_dir)).select("question_id", "id", F.round("keyword_score", 9).alias("keyword_score"))
 
 
 @PLANS.add(f"WITH {_DIVERSE} SELECT question_id, id, position::INT AS position, score FROM diverse")

@@ -139,6 +139,8 @@ def test_index_finds_what_reading_finds(spark, monkeypatch):
         monkeypatch.setattr(postings, "RECENT", recent)
         made = {}
         index = postings.build(chunks, 20, lambda name, make: made.setdefault(name, make().cache()))  # noqa: B023
-        assert sorted(map(tuple, R.lexical_arm(chunks, q, 5, index).collect())) == want and len(want) > 50
+        assert sorted(map(tuple, R.lexical_by_index(chunks, q, 5, index).collect())) == want and len(want) > 50
+    monkeypatch.setattr(R, "READ_PAIRS", 100)
+    assert sorted(map(tuple, R.lexical_arm(chunks, q, 5, lambda: index).collect())) == want
     with pytest.raises(ValueError):
-        R.lexical_arm(chunks, q, 6, index)
+        R.lexical_by_index(chunks, q, 6, index)
