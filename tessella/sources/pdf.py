@@ -395,22 +395,27 @@ class Page:
         self.word = []
 
     def _show(self, shown: bytes, s: dict, m: Matrix) -> None:
+        whole = _times(s["tm"], m)
+        at = _times((s["size"] * s["scale"], 0, 0, s["size"], 0, s["rise"]), whole)
+        size = abs(at[3]) or abs(at[1])
+        left, top, wide, moved, word = at[4] - self.left, self.high - at[5] - 0.8 * size, at[0] / 1000, 0.0, self.word
         for text, width, spaced in s["font"].glyphs(shown):
-            at = _times((s["size"] * s["scale"], 0, 0, s["size"], 0, s["rise"]), _times(s["tm"], m))
-            size = abs(at[3]) or abs(at[1])
-            step = (width / 1000 * s["size"] + s["char"] + (s["space"] if spaced else 0)) * s["scale"]
-            x0, top = at[4] - self.left, self.high - at[5] - 0.8 * size
-            x1 = x0 + width / 1000 * at[0]
-            s["tm"] = _times((1, 0, 0, 1, step, 0), s["tm"])
-            if not text.strip("\x00") or text.isspace():
+            x0, up = left + moved * whole[0], top - moved * whole[1]
+            moved += (width / 1000 * s["size"] + s["char"] + (s["space"] if spaced else 0)) * s["scale"]
+            if text.isspace() or not text.strip("\x00"):
                 self._end()
+                word = self.word
                 continue
-            if self.word and not (abs(self.word[3] - top) <= NEAR and abs(x0 - self.word[2]) <= NEAR):
+            x1 = x0 + width * wide
+            if word and not (-NEAR <= word[3] - up <= NEAR and -NEAR <= x0 - word[2] <= NEAR):
                 self._end()
-            if self.word:
-                self.word = [self.word[0] + text, self.word[1], max(self.word[2], x1), min(self.word[3], top), max(self.word[4], top + size)]
+                word = self.word
+            if word:
+                word[0] += text
+                word[2], word[3], word[4] = max(word[2], x1), min(word[3], up), max(word[4], up + size)
             else:
-                self.word = [text, x0, x1, top, top + size]
+                word[:] = text, x0, x1, up, up + size
+        s["tm"] = _times((1, 0, 0, 1, moved, 0), s["tm"])
 
     def _run(self, data: bytes, resources: dict, m: Matrix, depth: int) -> None:
         get = self.file.get
