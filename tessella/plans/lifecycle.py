@@ -226,7 +226,8 @@ def index_dimension(spark, sf_dir):
 
 _LOCK = threading.Lock()
 _SEEN = {"now": 0, "most": 0}
-_TRIES: dict[str, int] = {}
+#: By thread, in which one call makes all its attempts.
+_TRIES: dict[int, int] = {}
 
 
 def _watched(texts: list[str]) -> list[list[float]]:
@@ -237,13 +238,13 @@ def _watched(texts: list[str]) -> list[list[float]]:
     with _LOCK:
         _SEEN["now"] += 1
         _SEEN["most"] = max(_SEEN["most"], _SEEN["now"])
-        tries = _TRIES[texts[0]] = _TRIES.get(texts[0], 0) + 1
+        tries = _TRIES[threading.get_ident()] = _TRIES.get(threading.get_ident(), 0) + 1
     try:
         time.sleep(0.01)
         if tries < 3:
             raise embedding.TransientError
         with _LOCK:
-            del _TRIES[texts[0]]
+            del _TRIES[threading.get_ident()]
         return [[float(len(t)), float(len(texts)), float(_SEEN["most"]), float(tries)] for t in texts]
     finally:
         with _LOCK:
