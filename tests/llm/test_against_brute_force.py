@@ -72,9 +72,11 @@ def near_truth(found):
     return union_find(found, links + [(s[0], x) for s in sequences.values() for x in s[1:]])
 
 
-def test_near_groups(spark, data_dir):
-    got = {r.doc_id: (r.group_id, r.kept) for r in queries.op2_minhash(spark, data_dir).collect()}
-    truth = near_truth(texts(spark, data_dir))
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_near_groups(spark, data_dir, size):
+    where = data_dir.replace("sf0.001", size)
+    got = {r.doc_id: (r.group_id, r.kept) for r in queries.op2_minhash(spark, where).collect()}
+    truth = near_truth(texts(spark, where))
     assert got == {i: (g, g == i) for i, g in truth.items()}
 
 
