@@ -12,15 +12,17 @@ a word has one encoding, and a word's last id follows an earlier prefix's encodi
 holds, for each place from which an id may still reach further, the place in the trie of ids, the id before it and the
 count up to it; a transition is annotated with how many ids its byte adds to the prefix's encoding (it may take some
 back), and the last byte of a token, being a symbol of its own, leads back to the first state. States and transitions
-are compiled when first met; a worker process keeps at most `MAX_STATES` of them, and `MAX_COUNTED` counts of whole
-tokens under their bytes, and starts anew beyond that.
+are compiled when first met; a worker process keeps at most `MAX_STATES` states, and `MAX_COUNTED` counts of whole
+tokens under their bytes. Beyond that it starts anew, in the middle of a token from the state it is in.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -28,13 +30,14 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, normalizers, pre_tokenizers
 
 from .common import with_python
 from .textvec import BLOCK_CHARS, blocks, byte_offsets, code_points, eight_bytes
 
 LANE = 256
-#: Bounds of what a worker keeps (about 500 and 100 bytes each).
-MAX_STATES, MAX_COUNTED = 400_000, 1_000_000
+#: Bounds of what a worker keeps (about 500 and 100 bytes each), held within a token too. Transitions: so many a state.
+MAX_STATES, MAX_COUNTED, STEPS_A_STATE = 400_000, 1_000_000, 4
 
 SPACE, DIGIT, OTHER, APOSTROPHE, SINGLE, R, V, L, E, LETTER = range(10)
 FREE, WORD, RUN, QUOTE, QUOTE_R, QUOTE_V, QUOTE_L = range(7)
@@ -48,11 +51,14 @@ CONTRACTIONS = {"single": "stmd", "r": "re", "v": "ve", "l": "ll"}
 
 @functools.cache
 def char_classes() -> np.ndarray:
-    out = np.full(0x110000, OTHER, dtype=np.uint8)
-    for c in range(0x110000):
-        kind = unicodedata.category(chr(c))[0]
-        if kind in "LN":
-            out[c] = LETTER if kind == "L" else DIGIT
+    """Class of each code point. Letters and numbers are those of the library's Unicode version, asked once a process."""
+    points = [c for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    every, index = "".join(map(chr, points)), np.array(points)
+    out = np.full(sys.maxunicode + 1, OTHER, dtype=np.uint8)
+    for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", DIGIT)):
+        runs = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every)
+        for _, (start, end) in runs:
+            out[index[start:end]] = kind
     out[[ord(c) for c in WHITE]] = SPACE
     out[ord("'")] = APOSTROPHE
     out[[ord(c) for c in CONTRACTIONS["single"]]] = SINGLE
@@ -214,14 +220,26 @@ class Emission:
         self.steps[state << self.BITS | symbol] = to, adds
         return to, adds
 
+    def restart(self, state: int) -> int:
+        """Forget what was compiled but for this state; its number from now on."""
+        kept = self.states[state]
+        self.clear()
+        number = self.numbers.setdefault(kept, len(self.states))
+        if number == len(self.states):
+            self.states.append(kept)
+        return number
+
     def count(self, token: bytes) -> int:
-        if len(self.states) > MAX_STATES:
-            self.clear()
         state = total = 0
         steps, bits = self.steps, self.BITS
-        for symbol in (*token[:-1], token[-1] + self.LAST):
+        for symbol in itertools.chain(token[:-1], (token[-1] + self.LAST,)):
             found = steps.get(state << bits | symbol)
-            state, adds = found if found else self.step(state, symbol)
+            if not found:
+                if len(self.states) > MAX_STATES or len(steps) > STEPS_A_STATE * MAX_STATES:
+                    state = self.restart(state)
+                    steps = self.steps
+                found = self.step(state, symbol)
+            state, adds = found
             total += adds
         return total
 
@@ -241,10 +259,13 @@ class Compiled:
     def emitted(self, text: str, cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Ids of each span of code points of the text."""
         raw = text.encode("utf-8", "surrogatepass")
-        at = byte_offsets(cp) if len(raw) != len(cp) else np.arange(len(cp) + 1)
-        begin, size = at[start], at[end] - at[start]
-        zeros = np.concatenate(([0], np.cumsum(np.frombuffer(raw, np.uint8) == 0)))
-        short = (size <= 8) & (zeros[at[end]] == zeros[begin])
+        if len(raw) != len(cp):
+            at = byte_offsets(cp)
+            begin, size = at[start], at[end] - at[start]
+        else:
+            begin, size = start, end - start
+        zeros = np.flatnonzero(np.frombuffer(raw, np.uint8) == 0)
+        short = (size <= 8) & (np.searchsorted(zeros, begin + size) == np.searchsorted(zeros, begin))
         out = np.zeros(len(start), np.int64)
         keys, back = np.unique(eight_bytes(raw + bytes(8), begin[short], size[short]), return_inverse=True)
         place = np.searchsorted(self.keys, keys)
@@ -282,9 +303,25 @@ def compiled(path: str) -> Compiled:
     return Compiled(path)
 
 
+@functools.cache
+def unassigned() -> re.Pattern:
+    """Code points that Python's Unicode version doesn't know; the library's may."""
+    kinds = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], kinds, [False])).astype(np.int8)))
+    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2)) + "]")
+
+
+_BY_LIBRARY = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+
+
 def normalised(text: str) -> str:
-    """NFC, then each character in lower case by itself (a final sigma is no special case)."""
+    """NFC, then each character in lower case by itself (a final sigma is no special case).
+
+    Both are stable for characters once assigned, so the library is only asked where a character is newer than Python's.
+    """
     if not text.isascii():
+        if unassigned().search(text):
+            return _BY_LIBRARY.normalize_str(text)
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
     return text.lower()
 

@@ -487,6 +487,26 @@ def test_full_tables_of_counts_start_anew(monkeypatch):
     assert [int(token_counts.count_tokens([t], path)[0]) for t in some] == want
 
 
+def test_one_endless_token_keeps_few_states(monkeypatch):
+    monkeypatch.setattr(token_counts, "MAX_STATES", 300)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rng = random.Random(4)
+    some = ["".join(rng.choice("etaoinshé") for _ in range(20_000)), "ab" * 9_000]
+    emission = token_counts.Compiled(path).emission
+    want = [len(x.ids) for x in Tokenizer.from_file(path).encode_batch_fast(some, add_special_tokens=False)]
+    assert [emission.count(t.encode()) for t in some] == want
+    assert len(emission.states) <= 302 and len(emission.steps) <= 300 * token_counts.STEPS_A_STATE + 1
+
+
+@pytest.mark.parametrize("around", ["{}", "a{}b", "1{}' {}s"])
+def test_every_code_point_counts_as_in_the_library(around):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    some = [around.format(c, c) for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    want = [len(x.ids) for x in Tokenizer.from_file(path).encode_batch_fast(some, add_special_tokens=False)]
+    got = token_counts.count_tokens(some, path).tolist()
+    assert [(ascii(t), a, b) for t, a, b in zip(some, got, want) if a != b] == []
+
+
 def test_word_hashes_tell_words_apart():
     words = [turned(p, n) for n in (8, 16, 32, 64, 1_024) for p in ("ac", "ca", "én", "né")] + ["a" * n for n in range(1, 40)]
     text = " ".join(words)
