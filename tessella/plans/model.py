@@ -9,6 +9,7 @@ from .. import store
 from ..functions import text as X
 from ..operators import chunking, embedding
 from ..operators import postings as P
+from ..operators import vector_index as V
 from . import sql
 
 BASE = "TIMESTAMP '2024-01-01 00:00:00'"
@@ -51,6 +52,12 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.kept(spark, f"vectors of {sf_dir} {store.state_of(spark, f'{sf_dir}/documents.parquet')}", make)
 
 
+def vector_index(spark: SparkSession, sf_dir: str) -> V.VectorIndex:
+    """The index of all embeddings' cells, built once like the chunks."""
+    state = store.state_of(spark, f"{sf_dir}/embeddings.parquet")
+    return store.kept_in_folder(spark, f"cells of {sf_dir} {state}", lambda path: V.build(read(spark, sf_dir, "embeddings"), path))
+
+
 def postings(spark: SparkSession, sf_dir: str) -> P.Postings:
     """The index of all indexed chunks' words, its tables made once like the chunks."""
     state = store.state_of(spark, f"{sf_dir}/documents.parquet")

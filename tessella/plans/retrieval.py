@@ -8,6 +8,7 @@ from .. import store
 from ..functions import text as X
 from ..operators import embedding
 from ..operators import retrieval as R
+from ..operators import vector_index as V
 from . import model, sql
 from .registry import Plans
 
@@ -162,6 +163,12 @@ def vector_topk_filtered(spark, sf_dir):
     return R.dense_topk(index, _queries(spark, sf_dir).drop("query_label"), 20).select("query_id", "id", "score", "rank")
 
 
+@PLANS.add(None)
+def vector_index_topk(spark, sf_dir):
+    """R-04, W-04: the stated query set through the kept index of cells; tests hold its recall against vector_topk's rows"""
+    return V.search(spark, model.vector_index(spark, sf_dir), _queries(spark, sf_dir).drop("query_label"), 20)
+
+
 @PLANS.add("SELECT vec_id, round(list_sum(list_transform(list_zip(embedding[1:32], embedding[33:64]), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)), 6) AS dot FROM embeddings")
 def dot_product(spark, sf_dir):
     """R-05: over the shorter length"""

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 BROADCAST_BYTES = 64 << 20
 
 _kept: dict[tuple[str, str], str] = {}
+_made: dict[tuple[str, str], object] = {}
 _local: dict[str, str] = {}
 
 
@@ -57,6 +58,16 @@ def kept(spark: SparkSession, key: str, make: Callable[[], DataFrame]) -> DataFr
     return spark.read.parquet(_kept[name])
 
 
+def kept_in_folder[T](spark: SparkSession, key: str, make: Callable[[str], T]) -> T:
+    """What make returns, made once a session; it has a folder of the shared one to write to."""
+    name = spark.sparkContext.applicationId, key
+    if name not in _made:
+        path = f"{shared_dir(spark)}/tessella/kept-{uuid.uuid4().hex}"
+        atexit.register(_forget, spark, path)
+        _made[name] = make(path)
+    return _made[name]
+
+
 def written(df: DataFrame) -> DataFrame:
     """The rows of df, written once to the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/tessella/written-{uuid.uuid4().hex}"
