@@ -304,11 +304,9 @@ def compiled(path: str) -> Compiled:
 
 
 @functools.cache
-def unassigned() -> re.Pattern:
-    """Code points that Python's Unicode version doesn't know; the library's may."""
-    kinds = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], kinds, [False])).astype(np.int8)))
-    return re.compile("[" + "".join(f"\\U{a:08x}-\\U{b - 1:08x}" for a, b in edges.reshape(-1, 2)) + "]")
+def unassigned() -> np.ndarray:
+    """True for code points that Python's Unicode version doesn't know; the library's may."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(sys.maxunicode + 1)])
 
 
 _BY_LIBRARY = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
@@ -320,7 +318,7 @@ def normalised(text: str) -> str:
     Both are stable for characters once assigned, so the library is only asked where a character is newer than Python's.
     """
     if not text.isascii():
-        if unassigned().search(text):
+        if unassigned()[code_points(text)].any():
             return _BY_LIBRARY.normalize_str(text)
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
     return text.lower()
