@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import store
 from ..operators import chunking
-from ..sources import files
+from ..sources import files, formats
 from ..streaming.jobs import work_dir
 from . import model, sql
 from .registry import Plans
@@ -117,12 +117,15 @@ def _pdfs(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]
 
 _LINE = sql.collapse("line")
 
-
-@PLANS.add(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE doc_id % 10 <> 7),
+#: Lines of documents in PDF files, on pages of their own, as paragraphs, of the documents that :which names.
+_PARAGRAPHS = f"""l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE :which),
  said AS (SELECT doc_id, (n - 1) // {PAGE_LINES} + 1 AS page, n, {_LINE} AS line FROM l WHERE {_LINE} <> ''),
  begun AS (SELECT *, CASE WHEN n - lag(n) OVER (PARTITION BY doc_id, page ORDER BY n) > 1 THEN 1 ELSE 0 END AS new FROM said),
- nrs AS (SELECT *, 1 + sum(new) OVER (PARTITION BY doc_id, page ORDER BY n) AS nr FROM begun)
- SELECT doc_id, 'page ' || page || ' paragraph ' || nr::BIGINT AS location, string_agg(line, chr(10) ORDER BY n) AS text, '' AS error FROM nrs GROUP BY doc_id, page, nr
+ nrs AS (SELECT *, 1 + sum(new) OVER (PARTITION BY doc_id, page ORDER BY n) AS nr FROM begun),
+ paragraphs AS (SELECT doc_id, 'page ' || page || ' paragraph ' || nr::BIGINT AS location, string_agg(line, chr(10) ORDER BY n) AS text, '' AS error FROM nrs GROUP BY doc_id, page, nr)"""
+
+
+@PLANS.add(f"""WITH {_PARAGRAPHS.replace(":which", "doc_id % 10 <> 7")} SELECT * FROM paragraphs
  UNION ALL SELECT doc_id, NULL, NULL, 'ValueError: no PDF heading' FROM documents WHERE doc_id % 10 = 7""")
 def pdf_text(spark, sf_dir):
     """S-07, T-07, T-08: every document as the bytes of a PDF file, read back as words with boxes, lines and paragraphs; broken files have an error"""
@@ -188,3 +191,83 @@ def file_chunks(spark, sf_dir):
     found = files.sections(d.select(F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").cast("binary").alias("content")))
     cut = found.select(F.regexp_extract("path", r"/in/(\d+)\.", 1).cast("long").alias("source_id"), F.posexplode(chunking.chunk_array(F.col("sections"))).alias("p", "c"))
     return cut.select("source_id", F.col("p").cast("long").alias("chunk_index"), "c.text")
+
+
+#: What a caption file says, by lines: a block that a heading begins is passed over up to the next empty line.
+_TAGLESS = sql.strip("regexp_replace(x, '<[^>]*>', '', 'g')")
+_SPOKEN = f"""cl AS (SELECT doc_id, generate_subscripts(ls, 1) AS n, unnest(ls) AS x FROM (SELECT doc_id, list_transform(regexp_split_to_array(text, '\\r\\n|[\\n\\x{{0b}}\\f\\r\\x{{85}}\\x{{2028}}\\x{{2029}}]'), lambda x: {sql.strip("x")}) AS ls FROM documents WHERE doc_id % 10 = 9)),
+ cb AS (SELECT *, count(*) FILTER (x = '') OVER (PARTITION BY doc_id ORDER BY n) AS block FROM cl),
+ ch AS (SELECT *, bool_or(regexp_matches(x, '^(WEBVTT|NOTE|STYLE|REGION)')) OVER (PARTITION BY doc_id, block ORDER BY n) AS skip FROM cb),
+ ck AS (SELECT doc_id, n, {_TAGLESS} AS said FROM ch WHERE x <> '' AND NOT skip AND NOT contains(x, '-->') AND NOT regexp_matches(x, '^\\p{{Nd}}+$') AND {_TAGLESS} <> ''),
+ cd AS (SELECT *, lag(said) OVER (PARTITION BY doc_id ORDER BY n) AS before FROM ck),
+ spoken AS (SELECT doc_id, 'transcript' AS location, string_agg(said, chr(10) ORDER BY n) AS text, '' AS error FROM cd WHERE said IS DISTINCT FROM before GROUP BY doc_id)"""
+
+_FOLDER = f"""WITH {_PARAGRAPHS.replace(":which", "doc_id % 10 = 8")}, {_SPOKEN}, d AS (SELECT doc_id, source, text, doc_id % 10 AS kind FROM documents)
+ SELECT * FROM paragraphs UNION ALL SELECT * FROM spoken UNION ALL SELECT doc_id, 'document', text, '' FROM d WHERE kind < 5 AND {_SAID}
+ UNION ALL SELECT doc_id, 'document', 'First' || chr(10) || 'Table:' || chr(10) || 'Name of | ' || source || ' Table: in' || chr(10) || 'Last', '' FROM d WHERE kind IN (5, 6) UNION ALL SELECT doc_id, 'header', 'Head', '' FROM d WHERE kind IN (5, 6)
+ UNION ALL SELECT doc_id, NULL, NULL, 'BadZipFile' FROM d WHERE kind = 7"""
+
+
+def _mixed_files(documents):
+    """(name, content): every document as a file of one of six kinds, in a hundred folders."""
+    d = store.spread(documents).withColumn("text", F.coalesce("text", F.lit("")))
+    kind, name = F.col("doc_id") % 10, F.col("doc_id").cast("string")
+    suffixes = F.array(*map(F.lit, (".txt", ".MD", ".markdown", ".txt", ".md", ".docx", ".DOCX", ".docx", ".pdf", ".vtt")))
+    made = F.when(kind.isin(5, 6), F.pandas_udf(_docx, "binary")(F.col("source"))).when(kind == 7, F.lit("no package").cast("binary"))
+    made = made.when(kind == 8, F.pandas_udf(_pdfs, "binary")(name, F.col("text"))).otherwise(F.col("text").cast("binary"))
+    return d.select("doc_id", F.concat((F.col("doc_id") % 100).cast("string"), F.lit("/"), name, F.element_at(suffixes, (kind + 1).cast("int"))).alias("name"), made.alias("content"))
+
+
+def _put_files(rows, folder: str) -> None:
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["name"], frame["content"], strict=True):
+                formats.put_file(f"{folder}/{name}", bytes(content))
+            yield pd.DataFrame({"files": [len(frame)]})
+
+    rows.select("name", "content").mapInPandas(put, "files long").agg(F.sum("files")).collect()
+
+
+def _by_document(sections):
+    found = sections.select(F.regexp_extract("path", r"/(\d+)\.[^/]*$", 1).cast("long").alias("doc_id"), F.explode_outer("sections").alias("s"), F.regexp_extract("error", "^([^:]*)", 1).alias("error"))
+    return found.select("doc_id", "s.location", "s.text", "error").where("text is not null or error <> ''")
+
+
+@PLANS.add(_FOLDER)
+def file_source(spark, sf_dir):
+    """S-01, S-02, S-03, S-04, S-06, S-07: a folder of files of six kinds through spark.read.format"""
+    formats.register(spark)
+    folder = work_dir(spark, "files")
+    _put_files(_mixed_files(model.read(spark, sf_dir, "documents")), folder)
+    return _by_document(spark.read.format("tessella_files").load(folder))
+
+
+@PLANS.add(_FOLDER)
+def file_stream(spark, sf_dir):
+    """S-02, S-21: files that arrive in two lots, read by a stream that stops between them, into a sink that appends"""
+    formats.register(spark)
+    base = work_dir(spark, "files")
+    made = _mixed_files(model.read(spark, sf_dir, "documents"))
+    for lot in (F.col("doc_id") % 3 == 0, F.col("doc_id") % 3 != 0):
+        _put_files(made.where(lot), f"{base}/in")
+        stream = spark.readStream.format("tessella_files").option("log", f"{base}/log").load(f"{base}/in")
+        query = stream.writeStream.format("tessella_append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start(f"{base}/out")
+        query.awaitTermination()
+    return _by_document(formats.appended(spark, f"{base}/out", formats.SCHEMA))
+
+
+@PLANS.add("SELECT event_type, 2 * count(*) AS rows_appended, true AS failure_raised FROM events GROUP BY event_type")
+def event_append(spark, sf_dir):
+    """S-21: events through df.write.format, twice; a write that dies on its way leaves none of its rows"""
+    formats.register(spark)
+    path = work_dir(spark, "events")
+    e = model.read(spark, sf_dir, "events").select("event_id", "event_type")
+    dying = e.withColumn("event_type", F.when(F.col("event_id") % 97 == 5, F.raise_error(F.lit("no")).cast("string")).otherwise(F.col("event_type")))
+    raised = False
+    for rows in (e, dying, e):
+        try:
+            rows.write.format("tessella_append").mode("append").save(path)
+        except Exception:  # noqa: BLE001 - the second write is meant to die
+            raised = rows is dying
+    found = formats.appended(spark, path, e.schema)
+    return found.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows_appended")).withColumn("failure_raised", F.lit(raised))
