@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, small_enough, with_python, written
+from .common import BROADCAST_BYTES, fresh, small_enough, with_python, written
 from .textvec import _BASE, mix
 
 LENGTH, CORE = 100, 40
@@ -511,7 +511,10 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """
     with_python(docs.sparkSession)
     keyed = _keyed(docs, id_col, text_col)
-    runs = small_enough(removed_runs(keyed), 128)
+    runs = written(removed_runs(keyed), "runs")
+    # A row is as large as its document has removed runs, so these are counted, not the rows.
+    size = runs.agg(F.sum(F.lit(128) + 16 * F.size("starts").cast("long"))).head()[0] or 0
+    runs = F.broadcast(runs) if size <= BROADCAST_BYTES else runs
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
