@@ -296,10 +296,19 @@ class Font:
     widths: dict[int, float] = field(default_factory=dict)
     default: float = 500.0
 
-    def glyphs(self, shown: bytes) -> Iterator[tuple[str, float, bool]]:
-        for k in range(0, len(shown) - self.size + 1, self.size):
-            code = int.from_bytes(shown[k : k + self.size], "big")
-            yield self.text.get(code, chr(code) if self.size == 2 else bytes([code]).decode("cp1252", "replace")), self.widths.get(code, self.default), code == 32 and self.size == 1
+    known: dict[int, tuple[str, float, bool, bool]] = field(default_factory=dict)
+
+    def _glyph(self, code: int) -> tuple[str, float, bool, bool]:
+        text = self.text.get(code, chr(code) if self.size == 2 else bytes([code]).decode("cp1252", "replace"))
+        blank = text.isspace() or not text.strip("\x00")
+        self.known[code] = text, self.widths.get(code, self.default), code == 32 and self.size == 1, blank
+        return self.known[code]
+
+    def glyphs(self, shown: bytes) -> list[tuple[str, float, bool, bool]]:
+        """(text, width, is the space of one byte, ends a word) of a string's codes; a font's codes are looked up once."""
+        codes = shown if self.size == 1 else [a << 8 | b for a, b in zip(shown[::2], shown[1::2], strict=False)]
+        known = self.known
+        return [known.get(c) or self._glyph(c) for c in codes]
 
 
 def _units(raw: bytes) -> str:
@@ -391,31 +400,59 @@ class Page:
 
     def _end(self) -> None:
         if self.word:
-            self.words.append((_units(_units_of(self.word[0])), *self.word[1:]))
+            text = self.word[0]
+            self.words.append((text if text.isascii() else _units(_units_of(text)), *self.word[1:]))
         self.word = []
 
     def _show(self, shown: bytes, s: dict, m: Matrix) -> None:
         whole = _times(s["tm"], m)
         at = _times((s["size"] * s["scale"], 0, 0, s["size"], 0, s["rise"]), whole)
         size = abs(at[3]) or abs(at[1])
-        left, top, wide, moved, word = at[4] - self.left, self.high - at[5] - 0.8 * size, at[0] / 1000, 0.0, self.word
-        for text, width, spaced in s["font"].glyphs(shown):
+        left, top, wide, moved = at[4] - self.left, self.high - at[5] - 0.8 * size, at[0] / 1000, 0.0
+        glyphs = s["font"].glyphs(shown)
+        if s["char"] == 0 and whole[1] == 0 and wide > 0 and all(g[1] >= 0 for g in glyphs):
+            moved = self._straight(glyphs, s, left, whole[0], wide, top, size)
+            glyphs = ()
+        for text, width, spaced, blank in glyphs:
             x0, up = left + moved * whole[0], top - moved * whole[1]
             moved += (width / 1000 * s["size"] + s["char"] + (s["space"] if spaced else 0)) * s["scale"]
-            if text.isspace() or not text.strip("\x00"):
+            if blank:
                 self._end()
-                word = self.word
                 continue
-            x1 = x0 + width * wide
-            if word and not (-NEAR <= word[3] - up <= NEAR and -NEAR <= x0 - word[2] <= NEAR):
+            self._add(text, x0, x0 + width * wide, up, size)
+        s["tm"] = _times((1, 0, 0, 1, moved, 0), s["tm"])
+
+    def _straight(self, glyphs: list[tuple[str, float, bool, bool]], s: dict, left: float, far: float, wide: float, up: float, size: float) -> float:
+        """Glyphs that follow each other to the right without gaps: only blanks part their words. How far they go."""
+        moved, run, first, x1 = 0.0, [], 0.0, 0.0
+        points, space, scale = s["size"], s["space"], s["scale"]
+        for text, width, spaced, blank in glyphs:
+            if blank:
+                if run:
+                    self._add("".join(run), first, x1, up, size)
+                    run = []
                 self._end()
-                word = self.word
-            if word:
-                word[0] += text
-                word[2], word[3], word[4] = max(word[2], x1), min(word[3], up), max(word[4], up + size)
             else:
-                word[:] = text, x0, x1, up, up + size
-        s["tm"] = _times((1, 0, 0, 1, moved, 0), s["tm"])
+                x0 = left + moved * far
+                x1 = x0 + width * wide
+                if not run:
+                    first = x0
+                run.append(text)
+            moved += (width / 1000 * points + (space if spaced else 0)) * scale
+        if run:
+            self._add("".join(run), first, x1, up, size)
+        return moved
+
+    def _add(self, text: str, x0: float, x1: float, up: float, size: float) -> None:
+        word = self.word
+        if word and not (-NEAR <= word[3] - up <= NEAR and -NEAR <= x0 - word[2] <= NEAR):
+            self._end()
+            word = self.word
+        if word:
+            word[0] += text
+            word[2], word[3], word[4] = max(word[2], x1), min(word[3], up), max(word[4], up + size)
+        else:
+            word[:] = text, x0, x1, up, up + size
 
     def _run(self, data: bytes, resources: dict, m: Matrix, depth: int) -> None:
         get = self.file.get
