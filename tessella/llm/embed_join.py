@@ -2,23 +2,26 @@
 
 For unit vectors a cosine of at least t is a squared distance of at most 2 - 2t. Vectors are rotated onto the principal
 axes of a bounded sample and cut into `BLOCKS` blocks; each block gets a part of the squared distance in proportion to
-its share of the variance, so a pair within the whole distance is within the budget of one block at least. Each block
-is range-joined by itself: its leading coordinate cuts the vectors into tiles of about `TILE`, and a vector meets the
-tiles that its budget reaches, each pair of tiles once. A pair found in a block counts in the first block that admits
-it, and is verified there in double precision on the vectors as given.
+its share of the variance, so a pair within the whole distance is within the budget of one block at least. The leading
+coordinate cuts the vectors into tiles of at most about `TILE`, and a vector meets the tiles that the whole distance
+reaches, each pair of tiles once. Inside a pair of tiles each block is joined by itself, unless the tiles lie further
+apart in it than its budget. A pair found in a block counts in the first block that admits it, and is verified there in
+double precision on the vectors as given.
 
 What leaves a pair of tiles is bounded by their vectors, not their pairs: each vector's number of links, and a tree of
 links for the components. Vectors with the same bytes are one class and meet others once.
 
 Vectors of one leading coordinate, however many, are spread over several tiles by a hash.
 
-On vectors without structure the tiles' leading coordinates rule out little; the number of tiles that a vector meets
-then grows with the input. The filter inside a pair of tiles still leaves few pairs to verify.
+On vectors without structure the tiles' leading coordinates rule out little; a vector is then shuffled once for each
+tile. Tiles are as large as a task may hold, and vectors go as they were given, without their rotated coordinates. The
+filter inside a pair of tiles still leaves few pairs to verify.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,11 @@ from .common import small_enough, with_python, written
 from .graph import connected_components, tree
 from .textvec import mix
 
-SIMILARITY, BLOCKS, TILE = 0.9, 4, 16_384
+SIMILARITY, BLOCKS = 0.9, 4
+#: Vectors of up to 64 dimensions in a tile, of longer ones fewer in proportion; a small table is cut further, for all cores, into tiles of at least LEAST_TILE.
+TILE, LEAST_TILE = 65_536, 4_096
+#: Vectors of a tile that are multiplied at once.
+ROWS, COLUMNS = 256, 16_384
 #: Vectors of the sample that the rotation and the budgets come from.
 SAMPLE = 4_096
 #: Copies of vectors that leave the dealing step at once.
@@ -55,6 +62,12 @@ def _units(raw: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def box_gap(x: np.ndarray, y: np.ndarray) -> float:
+    """The squared distance between the boxes around two sets of points."""
+    gap = np.maximum(0, np.maximum(x.min(axis=0) - y.max(axis=0), y.min(axis=0) - x.max(axis=0))).astype(np.float64)
+    return float((gap * gap).sum())
+
+
 def tile_links(block: int, blocks: list[tuple[int, int, float]], left: tuple, right: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of two tiles (ids, counts, raw vectors, rotated vectors): each id's links, and its root or itself; left is right: within one."""
     same = left is right
@@ -68,11 +81,13 @@ def tile_links(block: int, blocks: list[tuple[int, int, float]], left: tuple, ri
     norm = [np.linalg.norm(t[2].astype(np.float64), axis=1) for t in (left, right)]
     counts = left[1] if same else np.concatenate((left[1], right[1]))
     label = np.arange(len(ids))
-    for r in range(0, len(left[0]), 256):
-        x = left[3][r : r + 256, a:z]
-        near = np.hstack((x, -half(x), np.ones((len(x), 1), np.float32))) @ columns
+    for r, s in ((r, s) for r in range(0, len(left[0]), ROWS) for s in range(0, len(y), COLUMNS)):
+        if same and s + COLUMNS <= r:
+            continue
+        x = left[3][r : r + ROWS, a:z]
+        near = np.hstack((x, -half(x), np.ones((len(x), 1), np.float32))) @ columns[:, s : s + COLUMNS]
         i, j = np.nonzero(near >= -bound / 2 - SLACK)
-        i += r
+        i, j = i + r, j + s
         if same:
             i, j = i[i < j], j[i < j]
         for c in range(0, len(i), 65_536):
@@ -94,6 +109,26 @@ def tile_links(block: int, blocks: list[tuple[int, int, float]], left: tuple, ri
     return ids, links, ids[label]
 
 
+def tiles_for(total: int, dim: int, cores: int, tile: int = TILE) -> int:
+    """Into how many tiles vectors are cut: as few as tasks can hold, but enough pairs of tiles for all cores."""
+    return max(1, -(-total // max(1, min(tile, tile * 64 // dim))), min(-(-total // LEAST_TILE), math.isqrt(6 * cores) + 1))
+
+
+def meetings(rid: np.ndarray, lead: np.ndarray, cuts: list[float], reach: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(row, i, j, whether it is of the right tile) of every pair of tiles i <= j that a row takes part in, DEAL_ROWS at a time."""
+    some = mix(rid.view(np.uint64)).astype(np.int64) & 0x7FFFFFFF
+    # Between equal cuts lie tiles of one coordinate; a vector of that coordinate is in any of them.
+    least, most = (np.searchsorted(cuts, lead, side=side) for side in ("left", "right"))
+    own = least + some % (most - least + 1)
+    low, high = np.searchsorted(cuts, lead - reach, side="left"), np.searchsorted(cuts, lead + reach, side="right")
+    upto = np.cumsum(high - low + 1)
+    for first in range(0, int(upto[-1]) if len(upto) else 0, DEAL_ROWS):
+        nth = np.arange(first, min(first + DEAL_ROWS, int(upto[-1])))
+        at = np.searchsorted(upto, nth, side="right")
+        j = high[at] - (upto[at] - 1 - nth)
+        yield at, np.minimum(own[at], j), np.maximum(own[at], j), own[at] > j
+
+
 def _links(classes: DataFrame, dim: int, threshold: float, kind: str, tile: int) -> DataFrame:
     """(rid, links, root) parts of vectors (rid, n, x) of one length."""
     spark = classes.sparkSession
@@ -101,56 +136,51 @@ def _links(classes: DataFrame, dim: int, threshold: float, kind: str, tile: int)
     sample = classes.orderBy(F.xxhash64("rid")).limit(SAMPLE).select("x").collect()
     axes, blocks = rotation(_units(np.stack([np.frombuffer(r["x"], kind) for r in sample])), BLOCKS, 2 - 2 * threshold)
 
+    def turn(x: np.ndarray) -> np.ndarray:
+        return (_units(x) @ axes).astype(np.float32)
+
+    def unpack(raw: pd.Series) -> np.ndarray:
+        return np.frombuffer(b"".join(raw), kind).reshape(-1, dim)
+
     def rotate(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            y = (_units(np.stack([np.frombuffer(b, kind) for b in frame["x"]])) @ axes).astype(np.float32) if len(frame) else np.zeros((0, dim), np.float32)
-            yield frame.assign(y=[r.tobytes() for r in y], lead=[r.tolist() for r in y[:, [a for a, _, _ in blocks]].astype(np.float64)])
+            yield frame.assign(lead=turn(unpack(frame["x"]))[:, 0].astype(np.float64))
 
-    turned = written(classes.mapInPandas(rotate, "rid long, n long, x binary, y binary, lead array<double>"), "turned")
-    tiles = max(1, -(-total // tile))
-    cuts = [[] for _ in blocks]
+    turned = written(classes.mapInPandas(rotate, "rid long, n long, x binary, lead double"), "turned")
+    tiles = tiles_for(total, dim, spark.sparkContext.defaultParallelism, tile)
+    cuts = []
     if tiles > 1:
         quantiles = [i / tiles for i in range(1, tiles)]
-        got = turned.agg(*(F.percentile_approx(F.get("lead", F.lit(b)), quantiles, 20 * tiles + 1_000).alias(f"q{b}") for b in range(len(blocks)))).head()
-        cuts = [sorted(got[b]) for b in range(len(blocks))]
+        cuts = sorted(turned.agg(F.percentile_approx("lead", quantiles, 20 * tiles + 1_000)).head()[0])
+    reach = (2 - 2 * threshold) ** 0.5 + SLACK
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            lead = np.stack(frame["lead"].to_numpy()) if len(frame) else np.zeros((0, len(blocks)))
-            some = mix(frame["rid"].to_numpy(np.int64).view(np.uint64)).astype(np.int64) & 0x7FFFFFFF
-            for b, (_, _, bound) in enumerate(blocks):
-                reach, c = bound**0.5 + SLACK, lead[:, b]
-                # Between equal cuts lie tiles of one coordinate; a vector of that coordinate is in any of them.
-                least, most = (np.searchsorted(cuts[b], c, side=side) for side in ("left", "right"))
-                own = least + some % (most - least + 1)
-                low, high = np.searchsorted(cuts[b], c - reach, side="left"), np.searchsorted(cuts[b], c + reach, side="right")
-                upto = np.cumsum(high - low + 1)
-                for first in range(0, int(upto[-1]) if len(upto) else 0, DEAL_ROWS):
-                    nth = np.arange(first, min(first + DEAL_ROWS, int(upto[-1])))
-                    at = np.searchsorted(upto, nth, side="right")
-                    j = high[at] - (upto[at] - 1 - nth)
-                    yield frame.iloc[at][["rid", "n", "x", "y"]].assign(block=b, i=np.minimum(own[at], j), j=np.maximum(own[at], j), right=own[at] > j)
+            for at, i, j, right in meetings(frame["rid"].to_numpy(np.int64), frame["lead"].to_numpy(np.float64), cuts, reach):
+                yield frame.iloc[at][["rid", "n", "x"]].assign(i=i, j=j, right=right)
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         def side(part: pd.DataFrame) -> tuple:
-            unpack = lambda c, d: np.frombuffer(b"".join(part[c]), d).reshape(-1, dim)
-            return part["rid"].to_numpy(), part["n"].to_numpy(), unpack("x", kind), unpack("y", np.float32)
+            x = unpack(part["x"])
+            return part["rid"].to_numpy(), part["n"].to_numpy(), x, turn(x)
 
-        b = int(frame["block"].iloc[0])
+        found = [pd.DataFrame({"rid": [], "links": [], "root": []}).astype("int64")]
         if frame["i"].iloc[0] == frame["j"].iloc[0]:
             both = left = side(frame)
         else:
             left, both = side(frame[~frame["right"]]), side(frame[frame["right"]])
         if not len(left[0]) or not len(both[0]):
-            return pd.DataFrame({"rid": [], "links": [], "root": []}).astype("int64")
-        ids, links, root = tile_links(b, blocks, left, both, threshold)
-        some = links > 0
-        return pd.DataFrame({"rid": ids[some], "links": links[some], "root": root[some]})
-
-    dealt = turned.mapInPandas(deal, "rid long, n long, x binary, y binary, block int, i int, j int, right boolean")
-    pairs = sum(len(c) + 1 for c in cuts) * (tiles + 1) // 2
-    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(pairs, 20_000))
-    return dealt.repartition(wide, "block", "i", "j").groupBy("block", "i", "j").applyInPandas(join, "rid long, links long, root long")
+            return found[0]
+        for b, (a, z, bound) in enumerate(blocks):
+            if box_gap(left[3][:, a:z], both[3][:, a:z]) <= bound:
+                ids, links, root = tile_links(b, blocks, left, both, threshold)
+                some = links > 0
+                found.append(pd.DataFrame({"rid": ids[some], "links": links[some], "root": root[some]}))
+        return pd.concat(found)
+
+    dealt = turned.mapInPandas(deal, "rid long, n long, x binary, i int, j int, right boolean")
+    wide = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * tiles * (tiles + 1), 20_000))
+    return dealt.repartition(wide, "i", "j").groupBy("i", "j").applyInPandas(join, "rid long, links long, root long")
 
 
 def near_vectors(vectors: DataFrame, *, threshold: float = SIMILARITY, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -150,6 +150,16 @@ def test_vectors_of_one_leading_coordinate(spark):
     assert sorted(map(tuple, embed_join.near_vectors(df, tile=16).collect())) == vector_truth(list(enumerate(v)))
 
 
+def test_a_vector_is_shuffled_once_a_tile():
+    """A vector without neighbours to rule out went to each pair of tiles four times over, in tiles of 16,384."""
+    n, rng = 600_000, np.random.default_rng(1)
+    tiles = embed_join.tiles_for(n, 64, 12)
+    lead = rng.normal(size=n) / 8
+    cuts = sorted(np.quantile(lead, np.arange(1, tiles) / tiles))
+    copies = sum(len(at) for at, *_ in embed_join.meetings(np.arange(n), lead, cuts, 2.0))
+    assert copies == n * tiles <= 13 * n
+
+
 @pytest.mark.parametrize("parts", [1, 2])
 def test_dense_tiles_need_no_memory_for_pairs(parts):
     """4,000 near copies link in 8 million pairs (128 MB as two arrays); what is kept is a few numbers a vector."""
