@@ -4,6 +4,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.operators import markup
 from tessella.sources import config, files
 from tessella.streaming import jobs
 
@@ -106,3 +107,8 @@ def test_index_sync_as_a_stream(spark, tmp_path):
     assert feed([(2, 9, False), (2, 10, True), (77, 11, True), (5, 12, True)]) == ["chunk:1", "chunk:3"]
     assert feed([(1, 13, True), (3, 14, True)]) == []
     assert feed([(2, 15, False)]) == ["chunk:2"]
+
+
+def test_character_references_cut_short_stay():
+    """Texts of pages are cut at any place, and the SQL reads whole references alone."""
+    assert markup.visible("<p>a&amp</p><p>b&am</p><p>&lt;&notit;&copy=1 &#39;&#39 &amp;lt;</p><!-- & --><img alt='x&ampy'>") == ("a&amp\nb&am\n<&notit;&copy=1 '&#39 &lt;", "[image: x&ampy]")
