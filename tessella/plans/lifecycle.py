@@ -254,7 +254,7 @@ def _watched(texts: list[str]) -> list[list[float]]:
 @PLANS.add("""SELECT doc_id, (length(text) + 9)::DOUBLE AS chars, true AS bounded, 3 AS attempts, true AS window_held, true AS overlapped FROM documents""")
 def embedder_batches(spark, sf_dir):
     """E-01, E-02, E-03, E-04, E-06: any embedder under a prefix in bounded batches, two to four under way at a time, each tried until it answers, keys kept"""
-    found = embedding.embed(model.read(spark, sf_dir, "documents"), _watched, key="doc_id", text="text", prefix="passage:", batch=16, wait=0.002)
+    found = embedding.embed(model.documents(spark, sf_dir), _watched, key="doc_id", text="text", prefix="passage:", batch=16, wait=0.002)
     got = store.written(found.select("doc_id", *(F.col("embedding")[k].alias(c) for k, c in enumerate(("chars", "texts", "most", "tries")))))
     overlapped = got.agg((F.max("most") >= 2).alias("overlapped"))
     shown = got.select("doc_id", F.col("chars").cast("double").alias("chars"), (F.col("texts") <= 16).alias("bounded"), F.col("tries").cast("int").alias("attempts"), (F.col("most") <= embedding.IN_FLIGHT).alias("window_held"))

@@ -144,3 +144,12 @@ def test_index_finds_what_reading_finds(spark, monkeypatch):
     assert sorted(map(tuple, R.lexical_arm(chunks, q, 5, lambda: index).collect())) == want
     with pytest.raises(ValueError):
         R.lexical_by_index(chunks, q, 6, index)
+
+
+def test_retries_wait_in_proportion_to_their_base():
+    """A quarter second of jitter stood beside a base of two milliseconds."""
+    for _ in range(50):
+        waits = []
+        with pytest.raises(embedding.TransientError):
+            embedding.with_retry(lambda: (_ for _ in ()).throw(embedding.TransientError()), base=0.002, sleep=waits.append)
+        assert 0.002 <= waits[0] <= 0.003 and 0.004 <= waits[1] <= 0.005
