@@ -7,9 +7,11 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tessella import catalogue
 from tessella.functions import text as X
 from tessella.operators import embedding, postings
 from tessella.operators import retrieval as R
+from tessella.plans import model
 
 
 def chunk_rows(spark):
@@ -153,3 +155,30 @@ def test_retries_wait_in_proportion_to_their_base():
         with pytest.raises(embedding.TransientError):
             embedding.with_retry(lambda: (_ for _ in ()).throw(embedding.TransientError()), base=0.002, sleep=waits.append)
         assert 0.002 <= waits[0] <= 0.003 and 0.004 <= waits[1] <= 0.005
+
+
+def test_questions_of_frequent_words_need_neither_index_nor_old_chunks(spark, monkeypatch):
+    """Beyond READ_PAIRS every chunk's words were indexed, also where the newest chunks answer all questions."""
+    rows = [(k, k % 2, k, f"Alpha word{k % 7} {'rare' if k < 4 else ''}") for k in range(400)]
+    chunks = spark.createDataFrame(rows, "id long, user_id long, source_id long, text string")
+    asked = [(1, 0, ["alpha word3"]), (2, 1, ["word5 alpha"])]
+    shape = "question_id long, user_id long, queries array<string>"
+    q, more = (spark.createDataFrame(r, shape) for r in (asked, [*asked, (3, 0, ["rare thing"]), (4, 5, ["alpha"])]))
+    want, wider = (sorted(map(tuple, R.lexical_arm(chunks, x, 5).collect())) for x in (q, more))
+    monkeypatch.setattr(R, "READ_PAIRS", 100)
+    monkeypatch.setattr(R, "NEWEST", 40)
+
+    def index():
+        raise AssertionError("an index is built")
+
+    assert sorted(map(tuple, R.lexical_arm(chunks, q, 5, index).collect())) == want and len(want) == 10
+    assert sorted(map(tuple, R.lexical_arm(chunks, more, 5).collect())) == wider and [r[1] for r in wider if r[0] == 3] == [0, 2]
+
+
+def test_lexical_plans_make_no_vectors(spark, data_dir, monkeypatch):
+    def vectors(*_):
+        raise AssertionError("vectors are made")
+
+    monkeypatch.setattr(model, "vectors", vectors)
+    for name in ("lexical_candidates", "lexical_index"):
+        assert catalogue.QUERIES[name](spark, data_dir).columns == ["question_id", "id", "keyword_score"]
