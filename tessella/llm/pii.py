@@ -7,8 +7,8 @@ the log-likelihood from a small labelled table, at most `LABELLED` windows of ea
 bounded task, and finds what the rules let go: numbers that a rule runs together with their neighbours, other ways to
 write a prefix or an at sign.
 
-Everything that a span of these kinds can be holds a digit or an at sign, so the field decodes (Viterbi, many windows
-at once in numpy) the surroundings of every digit and at sign of the whole text.
+Everything that a span of these kinds can be holds a digit, an at sign or the word "at" (`plausible` asks for it), so the
+field decodes (Viterbi, many windows at once in numpy) the surroundings of every one of these in the whole text.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 #: Windows of each kind, and of none, that the field is trained on; each has LABELLED_CHARS characters at most.
 LABELLED, LABELLED_CHARS = 150, 300
-#: Characters around a digit or at sign that a window takes in.
+#: Characters around a digit, an at sign or the word "at" that a window takes in.
 AROUND = 48
 #: A longer window is decoded a stretch at a time, each with this much of its neighbours.
 STRETCH, OVERLAP = 2_048, 256
@@ -92,7 +92,9 @@ def base_spans(text: str) -> list[Span]:
 # tokens, shapes, windows
 
 TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\S")
-TRIGGER = re.compile("[0-9@]+")
+TRIGGER = re.compile(r"[0-9@]+|\bat\b")
+#: What the windows of the labelled table lie around.
+SIGN = re.compile("[0-9@]+")
 _SIGNS = {c: k for k, c in enumerate("@.-+():/,;_\"'#=&*!?%$|")}
 _LETTERS, _DIGITS = 16, 28
 #: Shapes: letters, digits, signs, others, each with and without white space before; 0 stands for no token.
@@ -129,10 +131,10 @@ def tokens(text: str, begin: int, end: int) -> tuple[list[int], list[int], list[
     return starts, ends, shapes
 
 
-def windows(text: str) -> Iterator[tuple[int, int, int, int]]:
-    """(begin, end, own begin, own end) around all digits and at signs; long ones in stretches that overlap."""
+def windows(text: str, trigger: re.Pattern = TRIGGER) -> Iterator[tuple[int, int, int, int]]:
+    """(begin, end, own begin, own end) around all digits, at signs and words "at"; long ones in stretches that overlap."""
     begin = end = -1
-    for m in TRIGGER.finditer(text):
+    for m in trigger.finditer(text):
         s, e = max(0, m.start() - AROUND), min(len(text), m.end() + AROUND)
         if s > end:
             if end >= 0:
@@ -307,7 +309,7 @@ def labelled(docs: DataFrame, text_col: str = "text", each: int = LABELLED) -> D
         for frame in frames:
             for text in frame["text"].tolist():
                 found = sorted(matches(text))
-                for begin, end, _, _ in windows(text):
+                for begin, end, _, _ in windows(text, SIGN):
                     end = min(end, begin + LABELLED_CHARS)
                     here = [m for m in found if m[2] > begin and m[0] < end] if found else []
                     if any(m[1] == 3 and not m[3] or m[0] < begin or m[2] > end for m in here):

@@ -130,3 +130,11 @@ def test_long_windows_are_decoded_whole():
     text = "1 2 3 " * 5_000
     covered = [w[2:] for w in pii.windows(text)]
     assert covered[0][0] == 0 and covered[-1][1] == len(text) and all(a[1] == b[0] for a, b in itertools.pairwise(covered))
+
+
+def test_an_address_in_words_is_looked_at():
+    """An address with its at sign in words, far from any digit, lay in no window."""
+    text = "x " * 100 + "write to anna at example.org please" + " y" * 100
+    at = text.index("anna")
+    assert any(begin <= at and at + 19 <= end for begin, end, _, _ in pii.windows(text))
+    assert list(pii.windows("a cat and matte hats")) == []
