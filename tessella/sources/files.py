@@ -7,6 +7,8 @@ import json
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -107,15 +109,66 @@ def pdf_words(files: DataFrame) -> DataFrame:
     return files.mapInPandas(read, "path string, page long, text string, x0 double, x1 double, top double, bottom double, error string")
 
 
+def _lines(words: list[tuple]) -> list[tuple[float, str, float]]:
+    """(top, text, bottom) of the lines of a page's words (text, x0, x1, top, bottom)."""
+    lines: list[list[tuple]] = []
+    for word in sorted((top, x0, bottom, text.strip(" ")) for text, x0, _, top, bottom in words):
+        if lines and abs(word[0] - lines[-1][0][0]) <= E.LINE_TOLERANCE:
+            lines[-1].append(word)
+        else:
+            lines.append([word])
+    out = [(min(w[0] for w in ws), " ".join(t for _, _, t in sorted((x0, top, t) for top, x0, _, t in ws) if t), max(w[2] for w in ws)) for ws in lines]
+    return sorted(line for line in out if line[1])
+
+
+def _paragraphs(words: list[tuple], page: int) -> list[tuple[str, str]]:
+    """What operators.extraction.paragraphs_of says of one page's words."""
+    found: list[list[str]] = []
+    last = None
+    for top, text, bottom in _lines(words):
+        if last is None or top - last > E.PARAGRAPH_GAP:
+            found.append([])
+        found[-1].append(text)
+        last = bottom
+    return [(f"page {page} paragraph {k}", "\n".join(lines)) for k, lines in enumerate(found, start=1)]
+
+
+def pdf_paragraphs(raw: bytes) -> Iterator[tuple[str, str]]:
+    """(location, text) of the paragraphs of a PDF file's pages in reading order."""
+    for page, found in groupby(pdf.words(raw), itemgetter(0)):
+        yield from _paragraphs([w[1:] for w in found], page)
+
+
 def pdf_sections(files: DataFrame) -> DataFrame:
-    """(path, sections, error) of PDF files: the paragraphs of their pages in reading order."""
-    words = store.written(pdf_words(files.select("path", "content")))
-    paragraphs = E.paragraphs_of(E.lines_of(words.where("page is not null"), "page", "path"), "page", "path")
-    ordered = F.array_sort(F.collect_list(F.struct("page", "nr", "location", "text")))
-    found = paragraphs.groupBy("path").agg(F.transform(ordered, lambda p: F.struct(p.location.alias("location"), p.text.alias("text"))).alias("_found"))
-    ends = words.where("page is null").select("path", "error").join(found, "path", "left")
-    return ends.select("path", F.coalesce("_found", F.array().cast(SECTIONS)).alias("sections"), "error")
+    """(path, sections, error) of PDF files: the paragraphs of their pages in reading order.
+
+    A page's words lie in one task, so lines and paragraphs are made there and no word is shuffled. What was read before
+    an error stays. Rows leave a task when their texts come to FRAME_CHARS.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
+        for frame in frames:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                found, error = [], ""
+                try:
+                    for location, text in pdf_paragraphs(bytes(content)):
+                        found.append({"location": location, "text": text.encode("utf-8", "replace").decode()})
+                        size += len(text)
+                except Exception as e:  # noqa: BLE001 - one bad file must not end the scan
+                    error = f"{type(e).__name__}: {e}"[:500]
+                rows.append((path, found, error))
+                if size > FRAME_CHARS or len(rows) == 500:
+                    yield pd.DataFrame(rows, columns=["path", "sections", "error"])
+                    rows, size = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=["path", "sections", "error"])
+
+    return files.select("path", "content").mapInPandas(read, f"path string, sections {SECTIONS}, error string")
+
 
+#: Characters of sections in one frame on its way from a task.
+FRAME_CHARS = 8 << 20
 
 WORDS_A_FRAME = 20_000
 

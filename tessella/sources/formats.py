@@ -12,8 +12,6 @@ import re
 import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import groupby
-from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -24,7 +22,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from pyspark.sql.types import StructType
 
 from ..operators import extraction as E
-from . import files, pdf
+from . import files
 
 SCHEMA = f"path string, sections {files.SECTIONS}, error string"
 _ARROW = pa.schema([("path", pa.string()), ("sections", pa.list_(pa.struct([("location", pa.string()), ("text", pa.string())]))), ("error", pa.string())])
@@ -84,35 +82,10 @@ def spoken(raw: bytes) -> list[tuple[str, str]]:
     return [("transcript", "\n".join(said))]
 
 
-def _lines(words: list[tuple]) -> list[tuple[float, str, float]]:
-    """(top, text, bottom) of the lines of a page's words (text, x0, x1, top, bottom)."""
-    lines: list[list[tuple]] = []
-    for word in sorted((top, x0, bottom, text.strip(" ")) for text, x0, _, top, bottom in words):
-        if lines and abs(word[0] - lines[-1][0][0]) <= E.LINE_TOLERANCE:
-            lines[-1].append(word)
-        else:
-            lines.append([word])
-    out = [(min(w[0] for w in ws), " ".join(t for _, _, t in sorted((x0, top, t) for top, x0, _, t in ws) if t), max(w[2] for w in ws)) for ws in lines]
-    return sorted(line for line in out if line[1])
-
-
-def paragraphs(words: list[tuple], page: int) -> list[tuple[str, str]]:
-    """What operators.extraction.paragraphs_of says of one page's words."""
-    found: list[list[str]] = []
-    last = None
-    for top, text, bottom in _lines(words):
-        if last is None or top - last > E.PARAGRAPH_GAP:
-            found.append([])
-        found[-1].append(text)
-        last = bottom
-    return [(f"page {page} paragraph {k}", "\n".join(lines)) for k, lines in enumerate(found, start=1)]
-
-
 def _sections(path: str, raw: bytes) -> Iterator[tuple[str, str]]:
     kind = "." + path.rsplit(".", 1)[-1].lower()
     if kind == ".pdf":
-        for page, words in groupby(pdf.words(raw), itemgetter(0)):
-            yield from paragraphs([w[1:] for w in words], page)
+        yield from files.pdf_paragraphs(raw)
     elif kind in (".srt", ".vtt"):
         yield from spoken(raw)
     elif kind in files.EXTRACTORS:
