@@ -1,8 +1,11 @@
 """What keeps a query's cost in step with its input: how work is dealt out, and what isn't shuffled or held."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from tessella import store
+from tessella.operators import chunking, embedding
 from tessella.operators import extraction as E
 from tessella.plans import files as plans
 from tessella.sources import files
@@ -36,3 +39,25 @@ def test_rows_of_one_row_group_are_dealt_out(spark, tmp_path):
         assert max(r["count"] for r in d.groupBy(F.spark_partition_id().alias("p")).count().collect()) <= 1_100
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_cut_text_is_the_fold(spark):
+    odd = [
+        None, "", " \t\n", "a", "One. Two! Three?\nFour\n\nfive.Six  seven\t\teight", "。。！a。b？！c\n。", "x" * 2_000, ("word, " * 300) + "end.", "漢字" * 500 + "。", "，、" * 500, "a;" + "b" * 799 + ";c. d",
+        " ".join(f"Sentence number {k} of a text." for k in range(200)), " ".join("w" * (k * 37 % 830) + "." for k in range(60)), "檢索增強生成。" * 200 + "\U0001f600" * 900, "a\x1c. \x85b　. c !", "\r\f a \v\v b. \r\n c", "s" * 799 + ". " + "t" * 800 + ". u.", "k. " * 700,
+    ]
+    d = spark.createDataFrame(list(enumerate(odd)), "source_id long, text string")
+    for overlap in (0, 1, 3):
+        got = {r.source_id: r.t for r in chunking.chunk_sources(d, overlap=overlap).groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda c: c.text).alias("t")).collect()}
+        for r in d.select("source_id", chunking.chunk_text(F.col("text"), overlap=overlap).alias("t")).collect():
+            assert got.get(r.source_id, []) == r.t, (overlap, r.source_id)
+
+
+def test_texts_are_cut_in_plain_steps(spark):
+    d = spark.createDataFrame([(1, "a. b.")], "source_id long, text string")
+    assert "ArrowEvalPython" in planned(chunking.chunk_sources(d)) and "aggregate(" not in planned(chunking.chunk_sources(d))
+
+
+def test_hashed_texts_are_dealt_out_by_their_number(spark):
+    d = spark.range(3 * store.TASK_ROWS * spark.sparkContext.defaultParallelism).select("id", F.lit("a b").alias("text"))
+    assert f"hashpartitioning(id#{{}}, {3 * spark.sparkContext.defaultParallelism})".replace("#{}", "") in re.sub(r"#\d+L?", "", planned(embedding.hash_entries(d, "id", "text")))
