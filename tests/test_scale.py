@@ -1,5 +1,6 @@
 """What keeps a query's cost in step with its input: how work is dealt out, and what isn't shuffled or held."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella import store
 from tessella.operators import chunking, embedding
 from tessella.operators import extraction as E
+from tessella.operators import retrieval as R
 from tessella.plans import files as plans
 from tessella.sources import files
 
@@ -61,3 +63,29 @@ def test_texts_are_cut_in_plain_steps(spark):
 def test_hashed_texts_are_dealt_out_by_their_number(spark):
     d = spark.range(3 * store.TASK_ROWS * spark.sparkContext.defaultParallelism).select("id", F.lit("a b").alias("text"))
     assert f"hashpartitioning(id#{{}}, {3 * spark.sparkContext.defaultParallelism})".replace("#{}", "") in re.sub(r"#\d+L?", "", planned(embedding.hash_entries(d, "id", "text")))
+
+
+def _vectors(spark):
+    rng = random.Random(5)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(8)], k % 3 if k % 7 else None) for k in range(400)]
+    rows += [(400 + k, rows[0][1], 1) for k in range(150)]  # copies of a query
+    rows += [(600, None, 1), (601, [], 2), (602, [1.0, 2.0], 1), (603, [float("nan")] * 8, 0), (604, [None] + [1.0] * 7, 2), (605, [1e120] * 8, 1)]
+    return spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+
+
+def test_tiles_score_like_the_fold(spark, same):
+    index = _vectors(spark)
+    queries = index.where("vec_id % 50 = 0 or vec_id > 600").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+    pairs = R.dense_scores(index, queries)
+    same(R.dense_topk(index, queries, 20).toPandas(), R.top(pairs.select("query_id", "id", "score"), ["query_id"], [F.desc("score"), F.asc("id")], 20).withColumnRenamed("_rank", "rank").toPandas())
+    same(R.dense_best(index, queries, "label").toPandas(), pairs.groupBy("label", "id").agg(F.max("score").alias("score")).toPandas())
+    assert "NestedLoopJoin" not in planned(R.dense_topk(index.where("vec_id < 500"), queries.where("query_id < 500"), 20))
+    nothing = index.where("vec_id < 0")
+    assert R.dense_topk(nothing, queries, 20).count() == 0 and R.dense_topk(index, queries.where("query_id < 0"), 20).count() == 0
+
+
+def test_newest_chunks_are_those_of_the_window(spark, same):
+    rows = [(k % 3, k // 2 * 2 if k % 4 == 0 else k, f"t{k}") for k in range(60)] + [(7, None, "n"), (7, 3, "o"), (None, 5, "p")]
+    chunks = spark.createDataFrame(rows, "user_id long, id long, text string")
+    got = R.newest_chunks(chunks, 9)
+    same(got.toPandas(), R.top(chunks, ["user_id"], [F.desc("id")], 9).where("user_id is not null").drop("_rank").toPandas())
