@@ -214,6 +214,10 @@ def eval_fixture(spark: SparkSession, path: str) -> DataFrame:
     return found.select("notebook_id", (F.col("p") + 1).alias("nr"), F.col("q.q").alias("question"), "q.expected_filename", F.coalesce("q.expected_substrings", F.array().cast("array<string>")).alias("expected_substrings"))
 
 
+#: Rows that one task of the keyed sink writes.
+SINK_ROWS = 50_000
+
+
 def write_chunks(chunks: DataFrame, path: str, buckets: int = 64) -> None:
     """Replace the chunks of the sources in `chunks` (source_id, ...); all other sources' chunks stay."""
     write_keyed(chunks, path, "source_id", buckets=buckets)
@@ -254,7 +258,10 @@ def write_keyed(rows: DataFrame, path: str, key: str, *, gone: DataFrame | None
         kept = spark.read.parquet(*old).join(keys, F.col(key).eqNullSafe(F.col("_key")), "left_anti")
         merged = new.unionByName(kept, allowMissingColumns=True)
     data = f"{path}/data-{uuid.uuid4().hex}"
-    merged.withColumn("_folder", F.col("_bucket")).repartition(F.col("_bucket")).write.partitionBy("_folder").parquet(data)
+    # A bucket is written by as many tasks as its share of the counted rows takes, each with keys of its own.
+    tasks = store.tasks_for(merged, SINK_ROWS)
+    share = F.pmod(F.xxhash64(key, F.lit("share")), F.lit(-(-tasks // len(touched))))
+    merged.withColumn("_folder", F.col("_bucket")).repartition(tasks, "_bucket", share).write.partitionBy("_folder").parquet(data)
     folders |= {b: f"{data}/_folder={b}" for b in touched}
     at, fs = _hadoop(spark, data)
     filled = {f.getPath().getName() for f in fs.listStatus(at)}
