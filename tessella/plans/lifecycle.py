@@ -267,7 +267,7 @@ def embedder_refusals(spark, sf_dir):
     d = model.documents(spark, sf_dir)
     none = embedding.embed(d.where("doc_id % 2 = 0"), None, key="doc_id", text="text", errors=True)
     text = F.when(F.col("doc_id") % 50 == 1, F.concat(F.lit("refuse me "), "text")).otherwise(F.col("text")).alias("text")
-    some = embedding.embed(d.where("doc_id % 2 = 1").select("doc_id", text), _watched, key="doc_id", text="text", batch=1, wait=0.002, errors=True)
+    some = embedding.embed(d.where("doc_id % 2 = 1").select("doc_id", text), _watched, key="doc_id", text="text", wait=0.002, errors=True)
     return none.unionByName(some).select("doc_id", "error", F.col("embedding").isNotNull().alias("embedded"))
 
 

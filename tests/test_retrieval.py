@@ -182,3 +182,26 @@ def test_lexical_plans_make_no_vectors(spark, data_dir, monkeypatch):
     monkeypatch.setattr(model, "vectors", vectors)
     for name in ("lexical_candidates", "lexical_index"):
         assert catalogue.QUERIES[name](spark, data_dir).columns == ["question_id", "id", "keyword_score"]
+
+
+def test_what_is_refused_fails_alone_in_a_batch(spark):
+    """A request a text was the only way to tell a refused one from its batch."""
+
+    def embedder(texts):
+        if any(t.startswith("down") for t in texts):
+            raise embedding.TransientError("later")
+        if any(t.startswith("bad") for t in texts):
+            raise RuntimeError("no " * 300)
+        return [[float(len(texts))] for _ in texts]
+
+    rows = spark.range(0, 200, 1, 1).select("id", F.when(F.col("id").isin(5, 6, 70), "bad").when(F.col("id") == 150, "down").otherwise("fine").alias("text"))
+    got = {r.id: r for r in embedding.embed(rows, embedder, key="id", text="text", wait=0.001, errors=True).collect()}
+    assert {k for k, r in got.items() if r.error.startswith("RuntimeError: no") and len(r.error) == 500 and r.embedding is None} == {5, 6, 70}
+    # What is down for a while is not asked text by text.
+    assert {k for k, r in got.items() if r.error == "TransientError: later" and r.embedding is None} == set(range(128, 192))
+    fine = {k: r.embedding[0] for k, r in got.items() if not r.error}
+    assert len(fine) == 200 - 3 - 64 and fine[40] == 32.0 and fine[4] == 1.0 and fine[199] == 8.0 and fine[100] == 32.0
+    with pytest.raises(Exception, match="RuntimeError: no"):
+        embedding.embed(rows.where("id < 100"), embedder, key="id", text="text").collect()
+    none = embedding.embed(rows, None, key="id", text="text", errors=True).select("error").distinct().collect()
+    assert [r.error for r in none] == ["no embedding model is configured"]
