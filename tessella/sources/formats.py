@@ -7,11 +7,15 @@ seen as a whole or not at all. Both reach folders through pyarrow's file systems
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import uuid
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain, groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -30,6 +34,13 @@ _ARROW = pa.schema([("path", pa.string()), ("sections", pa.list_(pa.struct([("lo
 #: Bytes of files in one task unless the option splitBytes says otherwise, and what opening a file counts for.
 SPLIT_BYTES, OPEN_BYTES = 64 << 20, 1 << 20
 
+#: Tasks of a scan after which opening a file counts for a sixteenth: few files still keep all cores at work, and of many
+#: small ones the driver has a task for a thousand, not for each 64.
+MANY_TASKS = 256
+
+#: Files in one line of a log entry.
+LINE_FILES = 1_000
+
 #: Characters in one batch of rows on its way from a task.
 FRAME_CHARS = 8 << 20
 
@@ -55,12 +66,18 @@ def _below(path: str) -> list[pafs.FileInfo]:
 
 def put_file(path: str, data: bytes) -> None:
     """A file under its name only when it is whole."""
+    put_lines(path, [data])
+
+
+def put_lines(path: str, data: Iterable[bytes]) -> None:
+    """put_file of parts that needn't be held together."""
     fs, at = _open(path)
     folder, name = at.rsplit("/", 1)
     fs.create_dir(folder, recursive=True)
     draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
     with fs.open_output_stream(draft) as out:
-        out.write(data)
+        for part in data:
+            out.write(part)
     fs.move(draft, at)
 
 
@@ -106,9 +123,23 @@ def _row(path: str) -> dict:
     return {"path": path, "sections": found, "error": error}
 
 
+def _pack(names: list[str]) -> bytes:
+    return zlib.compress(json.dumps(names).encode())
+
+
+def _unpack(packed: bytes) -> list[str]:
+    return json.loads(zlib.decompress(packed))
+
+
 @dataclass
 class Split(InputPartition):
-    paths: list[str]
+    """The files of one task, packed: the driver holds those of a whole scan."""
+
+    packed: bytes
+
+    @property
+    def paths(self) -> list[str]:
+        return _unpack(self.packed)
 
 
 class _Folder:
@@ -121,23 +152,32 @@ class _Folder:
         self.limit = int(options.get("splitBytes", SPLIT_BYTES))
         self.suffixes = tuple(s.strip().lower() for s in options.get("suffixes", ",".join(E.SUFFIXES)).split(","))
 
-    def listed(self) -> list[tuple[str, int]]:
-        """(path, bytes) of the wanted files, in the order of their names; names with a leading . or _ are drafts."""
-        at = _open(self.path)[1].rstrip("/")
-        inside = [(f.path[len(at) :], f.size or 0) for f in _below(self.path)]
-        wanted = ((p, n) for p, n in inside if p.lower().endswith(self.suffixes) and not any(part[:1] in "._" for part in p.split("/") if part))
-        return sorted((self.path + p, n) for p, n in wanted)
-
-    def dealt(self, found: list[tuple[str, int]]) -> list[Split]:
-        """Files in tasks of about as many bytes; a larger file has a task of its own."""
-        splits, size = [], 0
+    def folders(self) -> Iterator[tuple[str, list[tuple[str, int]]]]:
+        """Each folder with its wanted files (name, bytes), in the order of their names; a leading . or _ marks drafts.
+
+        No more than one folder's files are held at a time.
+        """
+        fs, at = _open(self.path)
+        waiting = [""]
+        while waiting:
+            below = waiting.pop()
+            found = fs.get_file_info(pafs.FileSelector(at.rstrip("/") + below, allow_not_found=True))
+            inside = sorted(((f.base_name, f.type, f.size or 0) for f in found if f.base_name[0] not in "._"), key=itemgetter(0))
+            waiting += [f"{below}/{name}" for name, kind, _ in reversed(inside) if kind == pafs.FileType.Directory]
+            wanted = [(name, n) for name, kind, n in inside if kind == pafs.FileType.File and name.lower().endswith(self.suffixes)]
+            if wanted:
+                yield self.path + below, wanted
+
+    def dealt(self, found: Iterable[tuple[str, int]]) -> list[Split]:
+        """Files (path, bytes) in tasks of about as many bytes; a larger file has a task of its own."""
+        splits, paths, size = [], [], 0
         for path, n in found:
-            if not splits or size + n > self.limit:
-                splits.append(Split([]))
-                size = 0
-            splits[-1].paths.append(path)
-            size += n + OPEN_BYTES
-        return splits
+            if paths and size + n > self.limit:
+                splits.append(Split(_pack(paths)))
+                paths, size = [], 0
+            paths.append(path)
+            size += n + (OPEN_BYTES if len(splits) < MANY_TASKS else OPEN_BYTES // 16)
+        return [*splits, Split(_pack(paths))] if paths else splits
 
     def read(self, partition: Split) -> Iterator[pa.RecordBatch]:
         rows, size = [], 0
@@ -153,7 +193,7 @@ class _Folder:
 
 class FolderReader(_Folder, DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
-        return self.dealt(self.listed()) or [Split([])]
+        return self.dealt((f"{folder}/{name}", n) for folder, files in self.folders() for name, n in files) or [Split(_pack([]))]
 
 
 class FolderStream(_Folder, DataSourceStreamReader):
@@ -161,8 +201,9 @@ class FolderStream(_Folder, DataSourceStreamReader):
 
     The log lives in the folder that the option `log` names, one for each stream. An entry is put up before its number
     is told to Spark, so a stream that starts again finds every file in one entry, and none in two. A file is known by
-    its path: one that is written anew under its name does not come again. Names of all files seen are kept on the
-    driver, as many as a listing of the folder holds.
+    its path: one that is written anew under its name does not come again. Entries are written and read line by line;
+    names of all files seen are kept on the driver, packed by folder, and one folder's at a time are compared with its
+    listing. So the driver holds a few bytes a file, and more only of its largest folder.
     """
 
     def __init__(self, options: dict[str, str]):
@@ -172,26 +213,49 @@ class FolderStream(_Folder, DataSourceStreamReader):
             raise ValueError("a stream of tessella_files needs the option log, a folder of its own")
         self.last, self.seen = -1, None
 
-    def _entry(self, number: int) -> list[tuple[str, int]]:
-        return [tuple(f) for f in json.loads(_get(f"{self.log}/{number:020d}"))]
+    def _lines(self, number: int) -> Iterator[list[tuple[str, int]]]:
+        """The files (path, bytes) of an entry, a line's at a time."""
+        fs, at = _open(f"{self.log}/{number:020d}")
+        with fs.open_input_stream(at) as file:
+            for line in io.BufferedReader(file, 1 << 20):
+                yield [tuple(f) for f in json.loads(line)]
+
+    def _look(self) -> None:
+        """Take up what the log says."""
+        numbers = sorted(int(f.base_name) for f in _below(self.log) if f.base_name.isdigit())
+        self.seen = {}
+        for line in chain.from_iterable(map(self._lines, numbers)):
+            for folder, paths in groupby((path.rsplit("/", 1) for path, _ in line), itemgetter(0)):
+                self.seen.setdefault(folder, []).append(_pack([name for _, name in paths]))
+        self.last = max(numbers, default=-1)
+
+    def _new(self, seen: dict[str, list[bytes]]) -> Iterator[bytes]:
+        """Lines of an entry of the files that no entry has; what is seen then of their folders is put into `seen`."""
+        for folder, files in self.folders():
+            known = set(chain.from_iterable(map(_unpack, self.seen.get(folder, ()))))
+            new = [f for f in files if f[0] not in known]
+            for k in range(0, len(new), LINE_FILES):
+                yield json.dumps([(f"{folder}/{name}", n) for name, n in new[k : k + LINE_FILES]]).encode() + b"\n"
+            if new:
+                seen[folder] = [_pack(sorted(known.union(map(itemgetter(0), new))))]
 
     def initialOffset(self) -> dict:
         return {"entry": -1}
 
     def latestOffset(self) -> dict:
         if self.seen is None:
-            numbers = sorted(int(f.base_name) for f in _below(self.log) if f.base_name.isdigit())
-            self.seen = {path for n in numbers for path, _ in self._entry(n)}
-            self.last = max(numbers, default=-1)
-        new = [f for f in self.listed() if f[0] not in self.seen]
-        if new:
-            put_file(f"{self.log}/{self.last + 1:020d}", json.dumps(new).encode())
+            self._look()
+        seen: dict[str, list[bytes]] = {}
+        lines = self._new(seen)
+        first = next(lines, None)
+        if first is not None:
+            put_lines(f"{self.log}/{self.last + 1:020d}", chain([first], lines))
             self.last += 1
-            self.seen.update(path for path, _ in new)
+            self.seen.update(seen)
         return {"entry": self.last}
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
-        return self.dealt([f for n in range(start["entry"] + 1, end["entry"] + 1) for f in self._entry(n)])
+        return self.dealt(chain.from_iterable(chain.from_iterable(map(self._lines, range(start["entry"] + 1, end["entry"] + 1)))))
 
 
 class Files(DataSource):

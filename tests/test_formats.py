@@ -1,5 +1,9 @@
 """The formats of their own: a mixed folder in batch and as a stream, and the sink that appends."""
 
+import json
+import pickle
+import tracemalloc
+
 import pytest
 from pyspark.sql import functions as F
 from test_sources import docx
@@ -109,3 +113,55 @@ def test_an_aborted_write_leaves_nothing(spark, tmp_path):
     found = formats.appended(spark, out, good.schema)
     assert found.count() == 100 and found.where("text = 'y'").count() == 0
     assert "PushedFilters: [IsNotNull(id), GreaterThan(id,5)]" in found.where("id > 5")._jdf.queryExecution().toString()
+
+
+def many(folder, n, folders=20):
+    for k in range(folders):
+        (folder / f"{k}").mkdir(parents=True)
+    for k in range(n):
+        (folder / f"{k % folders}" / f"{k}.txt").write_text("x")
+
+
+def test_the_driver_holds_little_of_many_files(tmp_path):
+    """Of each file a path, its size, a log entry and a split were held, several times over."""
+    many(tmp_path / "in", 20_000)
+    options = {"path": f"file://{tmp_path}/in", "log": f"file://{tmp_path}/log"}
+    stream = formats.FolderStream(options)
+    tracemalloc.start()
+    try:
+        assert stream.latestOffset() == stream.latestOffset() == {"entry": 0}
+        dealt = stream.partitions({"entry": -1}, {"entry": 0})
+        again = formats.FolderStream(options)
+        assert again.latestOffset() == {"entry": 0}
+        listed = formats.FolderReader(options).partitions()
+        assert tracemalloc.get_traced_memory()[1] < 2_500_000
+    finally:
+        tracemalloc.stop()
+    want = sorted(f"file://{p}" for p in (tmp_path / "in").glob("*/*.txt"))
+    for splits in (dealt, listed):
+        assert sorted(p for s in splits for p in s.paths) == want
+        assert sum(len(pickle.dumps(s)) for s in splits) < 20 * len(want)
+    (tmp_path / "in" / "3" / "0.txt").touch()
+    (tmp_path / "in" / "x").mkdir()
+    (tmp_path / "in" / "x" / "y.txt").touch()
+    assert again.latestOffset() == {"entry": 1}
+    assert [p.rsplit("/in/")[1] for s in again.partitions({"entry": 0}, {"entry": 1}) for p in s.paths] == ["3/0.txt", "x/y.txt"]
+
+
+def test_many_small_files_share_tasks(tmp_path, monkeypatch):
+    monkeypatch.setattr(formats, "MANY_TASKS", 4)
+    many(tmp_path, 3_256, 3)
+    sizes = [len(s.paths) for s in formats.FolderReader({"path": str(tmp_path)}).partitions()]
+    assert sizes == [64] * 4 + [1_024, 1_024, 952]
+
+
+def test_a_log_of_one_line_is_read(tmp_path):
+    """So entries were written once."""
+    many(tmp_path / "in", 6, 2)
+    (tmp_path / "log").mkdir()
+    old = [(f"{tmp_path}/in/{k % 2}/{k}.txt", 0) for k in (0, 1, 3)]
+    (tmp_path / "log" / f"{0:020d}").write_text(json.dumps(old))
+    stream = formats.FolderStream({"path": str(tmp_path / "in"), "log": str(tmp_path / "log")})
+    assert stream.latestOffset() == {"entry": 1}
+    names = [[p.rsplit("/", 1)[1] for s in stream.partitions({"entry": k - 1}, {"entry": k}) for p in s.paths] for k in (0, 1)]
+    assert names == [["0.txt", "1.txt", "3.txt"], ["2.txt", "4.txt", "5.txt"]]
